@@ -59,3 +59,47 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from planquant.llm.packing import pack
 
     return pack(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"))
+
+
+@query
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from planquant.llm.line_dedup import dedup_lines
+
+    return dedup_lines(documents(spark, sf_dir), columns=["doc_id", "text"])
+
+
+ORACLE_SQL["op9_line_dedup"] = r"""
+with lines as (
+  select doc_id, text, i - 1 as pos, string_split(text, chr(10))[i] as line
+  from (select doc_id, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) as i from (select distinct doc_id, text from documents where text is not null))
+), counted as (
+  select *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) as w from lines
+), worded as (
+  select *, row_number() over (partition by doc_id, text order by pos) as k,
+         sum(w) over (partition by doc_id, text order by pos) as c
+  from counted where w > 0
+), ends as (
+  select s.doc_id, s.text, s.k as k1, min(e.k) as k2
+  from worded s join worded e on s.doc_id = e.doc_id and s.text = e.text and e.k between s.k and s.k + 50 and e.c - s.c + s.w > 50
+  group by all
+  union
+  select e.doc_id, e.text, max(s.k), e.k
+  from worded s join worded e on s.doc_id = e.doc_id and s.text = e.text and s.k between e.k - 50 and e.k and e.c - s.c + s.w > 50
+  group by e.doc_id, e.text, e.k
+), bodies as (
+  select n.doc_id, n.text, min(w.pos) as first_at, max(w.pos) as last_at, string_agg(w.line, chr(10) order by w.k) as body
+  from ends n join worded w on n.doc_id = w.doc_id and n.text = w.text and w.k between n.k1 and n.k2
+  group by n.doc_id, n.text, n.k1, n.k2
+), again as (
+  select doc_id, text, first_at, last_at from bodies
+  qualify row_number() over (partition by body order by doc_id, first_at) > 1
+), gone as (
+  select distinct l.doc_id, l.text, l.pos from lines l join again a on l.doc_id = a.doc_id and l.text = a.text and l.pos between a.first_at and a.last_at
+), left_over as (
+  select l.doc_id, l.text, coalesce(string_agg(l.line, chr(10) order by l.pos) filter (where g.pos is null), '') as kept, count(*) as n_lines, count(g.pos) as n_removed
+  from lines l left join gone g on l.doc_id = g.doc_id and l.text = g.text and l.pos = g.pos
+  group by l.doc_id, l.text
+)
+select d.doc_id, case when d.text is null then null else k.kept end as text, cast(coalesce(k.n_lines, 0) as bigint) as n_lines, cast(coalesce(k.n_removed, 0) as bigint) as n_removed
+from documents d left join left_over k on d.doc_id = k.doc_id and d.text = k.text
+"""
