@@ -6,10 +6,12 @@ shared folder and reads them again as the next one's docs.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from planquant.llm.common import documents, shared_table, table, tokenizer_file
 from planquant.llm.decontamination import contamination
+from planquant.llm.line_dedup import dedup_lines
+from planquant.llm.near_duplicates import classes
 from planquant.llm.packing import pack
 from planquant.llm.quality_rules import quality_rules
 
@@ -21,12 +23,31 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules(docs, table(spark, sf_dir, "labels"), keep_columns=COLUMNS)
 
 
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of over 50 words that repeat an earlier one go; what a document keeps stays, documents left without a word go."""
+    out = dedup_lines(docs, columns=COLUMNS).select(*COLUMNS[:-1], F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars"), "n_removed")
+    return out.filter("n_removed = 0 or text rlike '[^\\\\x20\\\\x09-\\\\x0D]'").select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates stays, the one with the smallest id; a row that repeats it goes too."""
+    firsts = classes(docs).filter("id <=> class_id").groupBy("id").agg(F.count(F.lit(1)).alias("n_rows"))
+    kept = docs.select(*COLUMNS).join(firsts.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(firsts["id"])).select(*COLUMNS, "n_rows")
+    once, again = kept.filter("n_rows = 1").select(*COLUMNS), kept.filter("n_rows > 1 and doc_id is not null").select(*COLUMNS)
+    return once.unionByName(again.dropDuplicates(["doc_id", "text"])).unionByName(kept.filter("n_rows > 1 and doc_id is null").select(*COLUMNS))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the contract's rule calls contaminated go."""
+    return contamination(docs, table(spark, sf_dir, "benchmark"), keep_columns=COLUMNS)
+
+
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of training sequences."""
     return pack(docs, tokenizer_file("byte_bpe_50k.json"))
 
 
-STAGES = [("quality_rules", quality), ("packing", packing)]
+STAGES = [("quality_rules", quality), ("line_dedup", lines), ("ngram_jaccard_join", near_duplicates), ("decontamination", decontamination), ("packing", packing)]
 
 #: The verdicts of fitted trees and of tokenizers are beyond SQL; see tests/llm.
 ORACLE_SQL = None

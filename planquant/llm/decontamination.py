@@ -111,15 +111,19 @@ _RANGES = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
-def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = WINDOW, share: int = 20, with_spans: bool = False) -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = WINDOW, share: int = 20, with_spans: bool = False, keep_columns: list[str] | None = None) -> DataFrame:
     """doc_id, n_words, n_hit, items (sorted ids), contaminated (n_hit > 0 and share * n_hit >= n_words), and with
-    `with_spans` the covered code-point spans of the original text."""
+    `with_spans` the covered code-point spans of the original text. With `keep_columns`, these columns of docs instead,
+    of the rows that aren't contaminated."""
     sc = docs.sparkSession.sparkContext
     items = items.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text")).filter("item_id is not null and text is not null")
     total = items.agg(F.sum(F.octet_length("text"))).head()[0] or 0
     n = max(1, -(-2 * total // SHARD_BYTES)) if total > SHARD_BYTES else 1  # hashed shards are uneven: twice as many
     kind = docs.select(id_col).dtypes[0][1]
-    out = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rest = F.struct(*keep_columns) if keep_columns else F.lit(None)
+    out = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), rest.alias("rest"))
+    whole = out.schema
+    body = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in whole["rest"].dataType.fields) if keep_columns else ""
     for k in range(n):
         shard = items if n == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
         rows = [(r[0], r[1]) for r in shard.toLocalIterator()]
@@ -136,19 +140,29 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
                     n_words = pa.array([x[0] for x in found], pa.int64())
                     ranges, who = [x[1] for x in found], [x[2] for x in found]
                     if not first:
-                        ranges = [_merged(r, [(x["first"], x["end"]) for x in old]) for r, old in zip(ranges, part.column(3).to_pylist(), strict=True)]
-                        who = [w.union(old) for w, old in zip(who, part.column(4).to_pylist(), strict=True)]
+                        ranges = [_merged(r, [(x["first"], x["end"]) for x in old]) for r, old in zip(ranges, part.column(4).to_pylist(), strict=True)]
+                        who = [w.union(old) for w, old in zip(who, part.column(5).to_pylist(), strict=True)]
                     if not last:
-                        yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), n_words, pa.array([[{"first": a, "end": b} for a, b in r] for r in ranges], _RANGES), pa.array([sorted(w) for w in who], pa.list_(pa.string()))], ["doc_id", "text", "n_words", "ranges", "items"])
+                        yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), n_words, pa.array([[{"first": a, "end": b} for a, b in r] for r in ranges], _RANGES), pa.array([sorted(w) for w in who], pa.list_(pa.string()))], ["doc_id", "text", "rest", "n_words", "ranges", "items"])
                         continue
                     hit = np.array([sum(b - a for a, b in r) for r in ranges], dtype=np.int64)
-                    columns = [part.column(0), n_words, pa.array(hit), pa.array([sorted(w) for w in who], pa.list_(pa.string())), pa.array((hit > 0) & (share * hit >= np.asarray(n_words)))]
+                    bad = (hit > 0) & (share * hit >= np.asarray(n_words))
+                    if keep_columns:
+                        kept = part.column(2).filter(pa.array(~bad))
+                        yield pa.RecordBatch.from_arrays(kept.flatten(), keep_columns)
+                        continue
+                    columns = [part.column(0), n_words, pa.array(hit), pa.array([sorted(w) for w in who], pa.list_(pa.string())), pa.array(bad)]
                     names = ["doc_id", "n_words", "n_hit", "items", "contaminated"]
                     if with_spans:
                         columns.append(pa.array([original_spans((t or b"").decode(), r) for t, r in zip(texts, ranges, strict=True)], _SPANS))
                         names.append("spans")
                     yield pa.RecordBatch.from_arrays(columns, names)
 
-        schema = f"doc_id {kind}, n_words long, n_hit long, items array<string>, contaminated boolean" + ", spans array<struct<start: long, end: long>>" * with_spans if last else f"doc_id {kind}, text string, n_words long, ranges array<struct<first: long, end: long>>, items array<string>"
+        if not last:
+            schema = f"doc_id {kind}, text string, rest {whole['rest'].dataType.simpleString()}, n_words long, ranges array<struct<first: long, end: long>>, items array<string>"
+        elif keep_columns:
+            schema = body
+        else:
+            schema = f"doc_id {kind}, n_words long, n_hit long, items array<string>, contaminated boolean" + ", spans array<struct<start: long, end: long>>" * with_spans
         out = arrow_map(out, run, schema)
     return out

@@ -103,3 +103,34 @@ with lines as (
 select d.doc_id, case when d.text is null then null else k.kept end as text, cast(coalesce(k.n_lines, 0) as bigint) as n_lines, cast(coalesce(k.n_removed, 0) as bigint) as n_removed
 from documents d left join left_over k on d.doc_id = k.doc_id and d.text = k.text
 """
+
+
+@query
+def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from planquant.llm.near_duplicates import classes
+
+    return classes(documents(spark, sf_dir)).select(F.col("id").alias("doc_id"), "class_id", "n_links")
+
+
+ORACLE_SQL["op8_ngram_jaccard_join"] = r"""
+with recursive words as (
+  select doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as w from documents where text is not null
+), sets as (
+  select distinct doc_id, unnest([list_aggregate(w[i:i + 4], 'string_agg', ' ') for i in range(1, greatest(len(w) - 4, 1) + 1)]) as s
+  from words where len(w) > 0
+), sizes as (
+  select doc_id, count(*) as n from sets group by doc_id
+), pairs as (
+  select a.doc_id as x, b.doc_id as y from sets a join sets b on a.s = b.s and a.doc_id <> b.doc_id
+  group by a.doc_id, b.doc_id
+  having 9 * count(*) >= 4 * ((select n from sizes where doc_id = a.doc_id) + (select n from sizes where doc_id = b.doc_id))
+), reach as (
+  select x as doc_id, x as to_id from (select distinct x from pairs)
+  union
+  select r.doc_id, p.y from reach r join pairs p on r.to_id = p.x
+)
+select d.doc_id, coalesce(c.class_id, d.doc_id) as class_id, coalesce(l.n, 0) as n_links
+from documents d
+left join (select doc_id, min(to_id) as class_id from reach group by doc_id) c on d.doc_id = c.doc_id
+left join (select x, count(*) as n from pairs group by x) l on d.doc_id = l.x
+"""
