@@ -134,3 +134,11 @@ from documents d
 left join (select doc_id, min(to_id) as class_id from reach group by doc_id) c on d.doc_id = c.doc_id
 left join (select x, count(*) as n from pairs group by x) l on d.doc_id = l.x
 """
+
+
+@query
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from planquant.llm.language_id import identify, learn
+
+    docs = documents(spark, sf_dir)
+    return identify(docs, learn(docs))
