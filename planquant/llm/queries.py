@@ -142,3 +142,11 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = documents(spark, sf_dir)
     return identify(docs, learn(docs))
+
+
+@query
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from planquant.llm.quality_classifier import classify, fit, label
+
+    docs = documents(spark, sf_dir)
+    return classify(docs, fit(docs, label(docs)))
