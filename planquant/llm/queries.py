@@ -150,3 +150,13 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = documents(spark, sf_dir)
     return classify(docs, fit(docs, label(docs)))
+
+
+@query
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from planquant.llm.pii import KINDS, personal_data
+
+    found = personal_data(documents(spark, sf_dir))
+    base = F.filter("spans", lambda s: s["base"])
+    count = lambda k: F.size(F.filter(base, lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
+    return found.select("doc_id", *map(count, KINDS), sha256_of(span_text(base)).alias("base_sha256"), F.array_join(span_text(F.col("spans")), ",").alias("spans"))
