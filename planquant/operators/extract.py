@@ -25,11 +25,12 @@ ORDER = ["strategy", "pattern", "hit"]
 def _hits(pages: DataFrame, keys: list[str], text_col: str, patterns: list[tuple[str, int]], with_start: bool = False) -> DataFrame:
     """keys, text, pattern (its number), hit (its number) and the groups of every match of the patterns."""
     most = max(n for _, n in patterns)
-    arrays = []
-    for k, (p, n) in enumerate(patterns):
-        found = matches(F.col(text_col), "(?i)" + p, n, with_start)
-        pad = [F.lit(None).cast("string").alias(f"g{j}") for j in range(n + 1, most + 1)]
-        arrays.append(F.transform(found, lambda x, i, k=k, n=n, pad=pad: F.struct(F.lit(k).alias("pattern"), i.alias("hit"), x["m"].alias("m"), *[x[f"g{j}"].alias(f"g{j}") for j in range(1, n + 1)], *pad, *([x["start"].alias("start")] if with_start else []))))
+
+    def padded(k: int, n: int):
+        groups = lambda x: [x[f"g{j}"].alias(f"g{j}") if j <= n else F.lit(None).cast("string").alias(f"g{j}") for j in range(1, most + 1)]
+        return lambda x, i: F.struct(F.lit(k).alias("pattern"), i.alias("hit"), x["m"].alias("m"), *groups(x), *([x["start"].alias("start")] if with_start else []))
+
+    arrays = [F.transform(matches(F.col(text_col), "(?i)" + p, n, with_start), padded(k, n)) for k, (p, n) in enumerate(patterns)]
     return pages.select(*keys, F.col(text_col).alias("_text"), F.explode(F.concat(*arrays)).alias("_h")).select(*keys, "_text", "_h.*")
 
 

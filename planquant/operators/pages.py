@@ -39,14 +39,15 @@ def page_class(text: Column, page: Column) -> Column:
 
 
 def classified(pages: DataFrame, file_col: str = "file_id", page_col: str = "page_num", text_col: str = "text") -> DataFrame:
-    """Pages with page_type, confidence, keywords and should_ocr. Files of up to three pages are payload throughout, pages
+    """Pages with page_type, class_confidence, keywords and should_ocr. Files of up to three pages are payload throughout, pages
     beyond the fiftieth are payload unseen; title, contents and notes are skipped where that is sure (over 0.7)."""
     total = F.count(F.lit(1)).over(Window.partitionBy(file_col))
     found = pages.withColumn("_n", total).withColumn("_c", page_class(F.col(text_col), F.col(page_col)))
     fixed = lambda c: F.struct(F.lit("payload").alias("page_type"), F.lit(c).alias("confidence"), F.array().cast("array<string>").alias("keywords"))
     c = F.when(F.col("_n") <= 3, fixed(1.0)).when(F.col(page_col) > 50, fixed(0.7)).otherwise(F.col("_c"))
-    skip = F.col("page_type").isin("title", "toc", "notes") & (F.col("confidence") > 0.7)
-    return found.withColumn("_c", c).select(*pages.columns, "_c.*").withColumn("should_ocr", ~skip)
+    skip = F.col("page_type").isin("title", "toc", "notes") & (F.col("class_confidence") > 0.7)
+    classes = [F.col("_c.page_type"), F.col("_c.confidence").alias("class_confidence"), F.col("_c.keywords")]
+    return found.withColumn("_c", c).select(*pages.columns, *classes).withColumn("should_ocr", ~skip)
 
 
 def is_blank(white_ratio: Column, threshold: float = 0.98) -> Column:

@@ -13,7 +13,7 @@ def review_reason(confidence: Column, ocr_confidence: Column, flagged: Column, q
     parts = F.concat_ws(
         ", ",
         F.when(confidence == "low", "low confidence extraction"),
-        F.when(c < LOW_CONFIDENCE, F.concat(F.lit("low OCR confidence ("), F.format_number(c, "0.00"), F.lit(")"))),
+        F.when(c < LOW_CONFIDENCE, F.concat(F.lit("low OCR confidence ("), F.format_number(c, 2), F.lit(")"))),
         F.when(flagged, "flagged for verification"),
         F.when(F.coalesce(quantity, F.lit(0.0)) == 0, "zero quantity"),
     )

@@ -110,7 +110,7 @@ def csv_rows(items: DataFrame) -> DataFrame:
     return items.select(
         blank("pay_item_no").alias("Pay Item No"), blank("description").alias("Description"), blank("unit").alias("Unit"), F.coalesce(F.col("quantity"), F.lit(0.0)).alias("Quantity"),
         money("unit_price").alias("Unit Price"), money("line_cost").alias("Line Cost"), blank("page").alias("Page"), blank("source").alias("Source"), blank("confidence").alias("Confidence"),
-        F.format_number(score, "0.00").alias("Confidence Score"), F.when(review, "Yes").otherwise("").alias("Needs Review"), F.when(m, "Yes").otherwise("No").alias("Matched"),
+        F.format_number(score, 2).alias("Confidence Score"), F.when(review, "Yes").otherwise("").alias("Needs Review"), F.when(m, "Yes").otherwise("No").alias("Matched"),
         F.when(m, F.coalesce(F.col("match_source"), F.lit("rules"))).otherwise("").alias("Match Source"), blank("ai_match_reason").alias("AI Match Reason"),
     )
 

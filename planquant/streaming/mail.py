@@ -54,7 +54,7 @@ def rate_limited(events: DataFrame, key: str, ts: str, order: list[str], per_hou
     times; a key's events stream through it in order, in batches of rows that are never gathered."""
     columns = events.columns
     fields = ", ".join(f"`{n}` {t}" for n, t in events.dtypes)
-    part = events.withColumn("_us", F.unix_micros(ts)).repartition(key).sortWithinPartitions(key, "_us", *order)
+    part = events.withColumn("_us", F.unix_micros(F.col(ts).cast("timestamp"))).repartition(key).sortWithinPartitions(key, "_us", *order)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from collections import deque
