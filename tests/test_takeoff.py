@@ -222,7 +222,7 @@ def test_pipeline(spark, tmp_path):
         ],
         "file_id string, page_num int, text string",
     )
-    cat = spark.createDataFrame([(0, "RCP_Price_List", "Round RCP", '18"', "CL III", 50.0, "LF", "FDOT 430-175")], "row_no long, category string, product_type string, size string, configuration string, price double, unit string, fdot_code string")
+    cat = spark.createDataFrame([(0, "RCP_18_III", "RCP_Price_List", "Round RCP", '18"', "CL III", 50.0, "LF", "FDOT 430-175")], "row_no long, id string, category string, product_type string, size string, configuration string, price double, unit string, fdot_code string")
     out = analyze(pages, cat)
     items = out.items.collect()
     assert any(r["pay_item_no"] == "430-175-118" and r["quantity"] == 450.0 and r["line_cost"] == 22500.0 for r in items)
