@@ -160,3 +160,28 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.filter("spans", lambda s: s["base"])
     count = lambda k: F.size(F.filter(base, lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     return found.select("doc_id", *map(count, KINDS), sha256_of(span_text(base)).alias("base_sha256"), F.array_join(span_text(F.col("spans")), ",").alias("spans"))
+
+
+_ITEM_WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+ORACLE_SQL["op7_decontamination"] = f"""
+with d as (
+  select doc_id, {_ITEM_WORDS} as w from documents where text is not null
+), i as (
+  select item_id, {_ITEM_WORDS} as w from benchmark where text is not null and item_id is not null
+), starts as (
+  select item_id, w, least(13, len(w)) as n, unnest(range(1, len(w) - least(13, len(w)) + 2)) as k from i where len(w) > 0
+), win as (
+  select distinct item_id, n, array_to_string(w[k:k + n - 1], ' ') as s from starts
+), places as (
+  select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as k from d, (select distinct n from win) where len(w) >= n
+), hits as (
+  select p.doc_id, p.n, p.k, x.item_id from (select doc_id, n, k, array_to_string(w[k:k + n - 1], ' ') as s from places) p join win x on p.n = x.n and p.s = x.s
+), covered as (
+  select doc_id, count(distinct pos) as n_hit from (select doc_id, unnest(range(k, k + n)) as pos from hits) group by doc_id
+), who as (
+  select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as items from (select distinct doc_id, cast(item_id as varchar) as item from hits) group by doc_id
+)
+select x.doc_id, coalesce(len(d.w), 0) as n_words, coalesce(c.n_hit, 0) as n_hit, coalesce(h.n_items, 0) as n_items, sha256(coalesce(h.items, '')) as items_sha256,
+       coalesce(c.n_hit, 0) > 0 and 20 * coalesce(c.n_hit, 0) >= coalesce(len(d.w), 0) as contaminated
+from documents x left join d on x.doc_id = d.doc_id left join covered c on x.doc_id = c.doc_id left join who h on x.doc_id = h.doc_id
+"""
