@@ -6,9 +6,10 @@ nothing but its own lines, whatever stands around them, and a passage of over `o
 covered by its chunks from its first to its last line. (Boundaries where a rolling hash hits a modulus leave passages
 of two or three lines without a whole chunk; see the README.) A chunk's key chains the hashes of its lines.
 
-Keys that occur once drop out by a count with map-side combining. For the others the chunk's bytes are taken from the
-text, and equal bytes form a group. Its first occurrence, by doc_id, then a hash of the text, then position, stays; the
-lines of all others go. Joins on keys are plain equi-joins, which Spark splits where a key is hot.
+Keys that occur once drop out by a count with map-side combining; the places of the others go to the shared folder.
+Of each key the first place (by doc_id, then a hash of the text, then position) stays; its bytes are taken from its text
+and sent to the other places, and their lines go where their own bytes are equal. Joins on keys are plain equi-joins,
+which Spark splits where a key is hot.
 
 Null texts stay null, empty ones empty. Rows that repeat both id and text are one document: all keep the same lines.
 Null ids come first. Texts of any length are read whole: a chunk has at most `over_words` + 1 lines.
@@ -16,7 +17,9 @@ Null ids come first. Texts of any length are read whole: a chunk has at most `ov
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from planquant.llm.common import shared_table
 
 OVER_WORDS = 50
 
@@ -44,29 +47,15 @@ def _chunks(over: int) -> Column:
     return F.expr(f"filter(concat(transform(a, (x, i) -> {ahead}), transform(a, (x, i) -> {back})), c -> c is not null)")
 
 
-def repeated_chunks(docs: DataFrame, over_words: int = OVER_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, hash, first, last): line ranges, in the text they come from, that repeat an earlier occurrence."""
-    found = (
-        docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-        .filter("text is not null")
-        .select("id", F.xxhash64("text").alias("hash"), _lines("text").alias("a"))
-        .select("id", "hash", F.explode(_chunks(over_words)).alias("c"))
-        .select("id", "hash", "c.key", "c.first", "c.last")
-    )
-    often = found.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
-    ranges = found.join(often, "key").groupBy("id", "hash").agg(F.collect_set(F.struct("key", "first", "last")).alias("ranges"))
-    texts = _keyed(docs, id_col, text_col)
-    bare = texts.join(ranges, _same(texts, ranges)).select(texts["id"], texts["hash"], F.split("text", "\n").alias("lines"), F.explode("ranges").alias("c"))
-    # Lines without words between those of a chunk are no part of it.
-    body = F.expr(f"array_join(filter(slice(lines, c.first + 1, c.last - c.first + 1), l -> l rlike '{_WORDS}'), '\\n')")
-    chunks = bare.select("id", "hash", "c.key", "c.first", "c.last", body.alias("body"))
-    order = F.struct("id", "hash", "first")
-    firsts = chunks.groupBy("key", "body").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("kept")).filter("n > 1")
-    return chunks.join(firsts, ["key", "body"]).filter(~order.eqNullSafe(F.col("kept"))).select("id", "hash", "first", "last")
+def _places(docs: DataFrame, over_words: int, id_col: str, text_col: str) -> DataFrame:
+    """(key, id, hash, first, last) of every chunk."""
+    given = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("text is not null")
+    lines = given.select("id", F.xxhash64("text").alias("hash"), _lines("text").alias("a"))
+    return lines.select("id", "hash", F.explode(_chunks(over_words)).alias("c")).select("c.key", "id", "hash", "c.first", "c.last")
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"), F.col(text_col).alias("text"))
+#: A chunk's bytes: the lines from c.first to c.last that have words.
+_BODY = f"array_join(filter(slice(lines, c.first + 1, c.last - c.first + 1), l -> l rlike '{_WORDS}'), '\\n')"
 
 
 def _same(a: DataFrame, b: DataFrame) -> Column:
@@ -76,24 +65,30 @@ def _same(a: DataFrame, b: DataFrame) -> Column:
 def dedup_lines(docs: DataFrame, over_words: int = OVER_WORDS, id_col: str = "doc_id", text_col: str = "text", columns: list[str] | None = None) -> DataFrame:
     """The columns of docs (or those named), text without repeated chunks, and n_lines and n_removed."""
     columns = columns if columns is not None else docs.columns
-    ranges = repeated_chunks(docs, over_words, id_col, text_col).distinct()
-    by = Window.partitionBy("id", "hash").orderBy("first", "last")
-    # Ranges that touch or overlap become one, so that a line is held against few of them.
-    islands = (
-        ranges.withColumn("starts", (F.col("first") > F.coalesce(F.max("last").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-2)) + 1).cast("int"))
-        .withColumn("island", F.sum("starts").over(by.rowsBetween(Window.unboundedPreceding, 0)))
-        .groupBy("id", "hash", "island")
-        .agg(F.min("first").alias("first"), F.max("last").alias("last"))
-        .groupBy("id", "hash")
-        .agg(F.collect_list(F.struct("first", "last")).alias("gone"))
-    )
-    plain = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"), F.col(text_col).alias("text"), F.struct(*[F.col(c) for c in columns if c not in (id_col, text_col)]).alias("rest") if set(columns) - {id_col, text_col} else F.lit(None).alias("rest"))
-    joined = plain.join(islands, _same(plain, islands), "left").select(plain["id"], "text", "rest", "gone")
-    kept = F.expr("array_join(filter(split(text, '\\n'), (l, i) -> not exists(gone, g -> i between g.first and g.last)), '\\n')")
-    lost = F.coalesce(F.expr("aggregate(gone, 0L, (s, g) -> s + g.last - g.first + 1)"), F.lit(0).cast("long"))
-    taken = {id_col: F.col("id"), text_col: F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept)}
-    return joined.select(
-        *[taken.get(c, F.col("rest").getField(c)).alias(c) for c in columns],
-        F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"),
-        lost.alias("n_removed"),
+    others = [c for c in columns if c not in (id_col, text_col)]
+    # Every use of the texts below is over this one shuffle.
+    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"), F.col(text_col).alias("text"), *([F.struct(*others).alias("rest")] if others else []))
+
+    found = _places(docs, over_words, id_col, text_col)
+    often = found.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
+    places = shared_table(found.join(often, "key"), "chunks")
+    kept = places.groupBy("key").agg(F.min(F.struct("id", "hash", "first", "last")).alias("kept"))
+
+    # The bytes of each kept chunk, from its own text.
+    of_text = kept.select("key", "kept.*").groupBy("id", "hash").agg(F.collect_list(F.struct("key", "first", "last")).alias("c"))
+    bodies = texts.join(of_text, _same(texts, of_text)).select(F.split("text", "\n").alias("lines"), F.explode("c").alias("c")).select("c.key", F.expr(_BODY).alias("body"))
+
+    # The other places of the chunk, held against those bytes where their own text is.
+    more = places.join(kept, "key").filter(~F.struct("id", "hash", "first").eqNullSafe(F.struct("kept.id", "kept.hash", "kept.first"))).select("key", "id", "hash", "first", "last")
+    claims = more.join(bodies, "key").groupBy("id", "hash").agg(F.collect_list(F.struct("first", "last", "body")).alias("claims"))
+    joined = texts.join(claims, _same(texts, claims), "left").select(texts["id"], "text", *(["rest"] if others else []), "claims", F.split("text", "\n").alias("lines"))
+    true = F.expr(f"filter(claims, c -> c.body = {_BODY})")
+    gone = F.expr("array_distinct(flatten(transform(true_claims, c -> sequence(c.first, c.last))))")
+    left = F.expr("if(size(gone) > 0, array_join(transform(array_except(sequence(0, size(lines) - 1), gone), i -> lines[i]), '\\n'), text)")
+    cleaned = joined.withColumn("true_claims", true).withColumn("gone", gone)
+    taken = {id_col: F.col("id"), text_col: F.when(F.col("claims").isNull(), F.col("text")).otherwise(left)}
+    return cleaned.select(
+        *[taken[c].alias(c) if c in taken else F.col("rest").getField(c).alias(c) for c in columns],
+        F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("n_lines"),
+        F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"),
     )
