@@ -58,7 +58,7 @@ def inline_item(line: Column, code: Column) -> Column:
     first number behind it, else the last number before it that is no pipe size."""
     rest = strip(F.replace(line, code, F.lit("")))
     units = matches(rest, _UNIT, 1, with_start=True)
-    u = F.element_at(units, -1)
+    u = F.get(F.reverse(units), F.lit(0))
     before = strip(F.left(rest, u["start"]))
     after = strip(F.substring(rest, u["start"] + F.length(u["m"]) + 1, F.length(rest)))
     behind = F.get(F.regexp_extract_all(after, F.lit(_QUANTITY), F.lit(1)), F.lit(0))

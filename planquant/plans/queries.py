@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from planquant.functions import rules, text as T
-from planquant.operators import catalog as C, extract as E, gates as G, geometry, layout, pages as P, pricing, products, review, rollup, structures, summary
+from planquant.operators import catalog as C, extract as E, gates as G, geometry, layout, messy, pages as P, pricing, products, review, rollup, structures, summary
 from planquant.plans.registry import register
 from planquant.sources import files
 from planquant.streaming import mail
@@ -363,3 +363,14 @@ register("sender_acl", lambda s, d: _table(s, d, "customer").select("c_custkey",
 register("link_extract", lambda s, d: _table(s, d, "pages").select("page_id", F.explode(mail.cloud_links(cat("see https://drive.google.com/f/", c("page_id"), " or http://x.org and https://we.tl/", c("page_id") % 7, " https://we.tl/", c("page_id") % 7))).alias("link")), "select page_id, 'https://drive.google.com/f/' || page_id as link from pages union all select page_id, 'https://we.tl/' || page_id % 7 from pages")
 register("rate_limit_fold", lambda s, d: mail.rate_limited(_table(s, d, "events").select("event_id", "ts", "user_id"), "user_id", "ts", ["event_id"], 2, 20))
 register("mail_totals", lambda s, d: rollup.job_totals(rollup.file_results(_rolled(s, d), _table(s, d, "orders").select(c("o_orderkey").alias("file_id"), c("o_custkey").alias("message_id"), (c("o_orderstatus") != "F").alias("success")))).select("message_id", "n_files", "n_ok", "n_items", "status"), f"with {_ROLLED}, f as (select o_custkey as message_id, o_orderstatus <> 'F' as ok, (select count(*) from r where file_id = o_orderkey) as n from orders) select message_id, count(*) as n_files, count(*) filter (ok) as n_ok, cast(sum(n) as bigint) as n_items, case when bool_and(ok) then 'success' when bool_or(ok) then 'partial' else 'failed' end as status from f group by message_id")
+register(
+    "messy_materials",
+    lambda s, d: messy.messy_materials(page_of(base(s, d), cat(c("sz"), F.when(c("pk") % 2 == 0, ' ROP ; ').otherwise(" pvc ; "), "manhoi3 #", c("q"), " ;")), ["file_id"]).select("file_id", "type", "size", "material", "id"),
+    f"""with {BASE} select distinct file_id, 'pipe' as type, sz || '"' as size, case when pk % 2 = 0 then 'RCP' else 'PVC' end as material, cast(null as varchar) as id from base
+    union all select distinct file_id, 'manhole', null, null, cast(q as varchar) from base""",
+)
+register(
+    "nearby_items",
+    lambda s, d: messy.nearby_items(messy.code_lines(_parts(s, d).select("file_id", cat("999-1 BASE WORK\n", c("n"), " SY\n", c("n") + 1000).alias("text")), ["file_id"]), ["file_id"]).select("file_id", "pay_item_no", "description", "quantity", "unit"),
+    f"with {_PARTS} select file_id, '999-1' as pay_item_no, 'BASE WORK' as description, cast(n + 1000 as double) as quantity, 'SY' as unit from parts",
+)

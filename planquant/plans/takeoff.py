@@ -14,7 +14,7 @@ from planquant.operators.layout import document_text
 
 @dataclass
 class Takeoff:
-    """Results of one run; every field is lazy."""
+    """Results of one run; every field is lazy. Cleaned pages and gated items feed many of them and are kept until `release`."""
 
     items: DataFrame
     warnings: DataFrame
@@ -23,15 +23,21 @@ class Takeoff:
     structures: DataFrame
     report: DataFrame
     projects: DataFrame
+    kept: tuple[DataFrame, ...] = ()
+
+    def release(self) -> None:
+        for df in self.kept:
+            df.unpersist()
 
 
 KEYS = ["file_id", "page_num"]
 
 
 def raw_items(pages: DataFrame, catalog: DataFrame | None, use_product_first: bool = True) -> DataFrame:
-    """Items of summary sheets by their tables, of other pages by products first (if asked) and patterns."""
-    sheet = page_ops.is_summary_page(F.col("text"))
-    sheets, others = pages.filter(sheet), pages.filter(~sheet)
+    """Items of summary sheets by their tables, of other pages by products first (if asked) and patterns.
+
+    `pages` says which are sheets (is_sheet)."""
+    sheets, others = pages.filter("is_sheet"), pages.filter("not is_sheet")
     of_sheets = summary.to_pay_items(summary.summary_items(sheets, KEYS))
     of_pages = extract.extract_items(others, KEYS)
     if catalog is None or not use_product_first:
@@ -49,14 +55,18 @@ def numbered(items: DataFrame) -> DataFrame:
     return items.withColumn("item_no", F.row_number().over(Window.partitionBy("file_id").orderBy(*order)))
 
 
-def analyze(pages: DataFrame, catalog: DataFrame | None = None, clean: bool = True, validate: bool = True, use_product_first: bool = True) -> Takeoff:
-    """pages(file_id, page_num, text) to priced items and reports. With `clean`, misreadings of recognition are mended first."""
+def analyze(pages: DataFrame, catalog: DataFrame | None = None, clean: bool = False, validate: bool = True, use_product_first: bool = True) -> Takeoff:
+    """pages(file_id, page_num, text) to priced items and reports. With `clean`, misreadings of recognition are mended
+    first; for recognised text only, since the rules also take the end of a code before PIPE for a size."""
     read = pages.withColumn("text", clean_ocr(F.col("text"))) if clean else pages
+    # Every strategy reads the pages: they are cleaned and classified once, and their rules stay out of the later plans.
+    read = read.select(*KEYS, "text", page_ops.is_summary_page(F.col("text")).alias("is_sheet")).persist()
     items = raw_items(read, catalog, use_product_first)
     for c, kind in (("unit_price", "double"), ("line_cost", "double"), ("matched", "boolean"), ("confidence_score", "double"), ("needs_verification", "boolean")):
         if c not in items.columns:
             items = items.withColumn(c, F.lit(None).cast(kind))
-    items = numbered(items)
+    items = numbered(items).persist()
+    kept = (read, items)
     warnings = gates.warnings_of(items, "file_id", "item_no")
     if validate:
         items = gates.accepted(items)
@@ -65,4 +75,4 @@ def analyze(pages: DataFrame, catalog: DataFrame | None = None, clean: bool = Tr
         items = pricing.priced(items, catalog, "item_key")
     text = document_text(pages)
     facts = text.select("file_id", project_facts(F.col("text"), F.col("file_id")).alias("p")).select("file_id", "p.*")
-    return Takeoff(items, warnings, rollup.categorized(items, "file_id", "item_no"), rollup.material_pipes(items, "file_id"), rollup.material_structures(items, "file_id"), rollup.takeoff_report(items, "file_id"), facts)
+    return Takeoff(items, warnings, rollup.categorized(items, "file_id", "item_no"), rollup.material_pipes(items, "file_id"), rollup.material_structures(items, "file_id"), rollup.takeoff_report(items, "file_id"), facts, kept)

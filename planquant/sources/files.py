@@ -20,7 +20,7 @@ MAX_MB, MAX_PAGES, SAFE_MB = 25, 90, 30
 def scan_pdfs(spark: SparkSession, path: str, with_content: bool = False) -> DataFrame:
     """PDF files of a folder (not below it) or a single file: path, name, project, length; by name without case."""
     raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.{pdf,PDF}").load(path)
-    name = F.element_at(F.split("path", "/"), -1)
+    name = F.substring_index("path", "/", -1)
     files = raw.select("path", name.alias("filename"), project_of(name).alias("project"), "length", "modificationTime", *(["content"] if with_content else []))
     return files.orderBy(F.lower("filename"))
 
