@@ -132,7 +132,8 @@ def quality_rules(docs: DataFrame, labels: DataFrame | None, fit_rows: int = FIT
     With `keep_columns`, these columns of docs instead, of the rows that are kept."""
     model = fit_on(docs, labels, fit_rows, id_col, text_col) if labels is not None else None
     held = docs.sparkSession.sparkContext.broadcast(model)
-    text_at = 1 if keep_columns is None else len(keep_columns)
+    columns = [id_col, text_col] if keep_columns is None else keep_columns if text_col in keep_columns else [*keep_columns, text_col]
+    text_at = columns.index(text_col) if keep_columns is not None else 1
 
     def run(batches):
         trees = held.value
@@ -146,11 +147,10 @@ def quality_rules(docs: DataFrame, labels: DataFrame | None, fit_rows: int = FIT
                 if keep_columns is None:
                     yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(rows[:, k]) for k in range(5)), pa.array(failed), pa.array(score), pa.array(kept)], ["doc_id", *NAMES[:5], "base_failed", "score", "kept"])
                 else:
-                    out = pa.Table.from_batches([part]).filter(pa.array(kept)).select(range(text_at))
-                    yield from out.to_batches()
+                    yield part.filter(pa.array(kept)).select(list(range(len(keep_columns))))
 
     if keep_columns is None:
         kind = docs.select(id_col).dtypes[0][1]
         return arrow_map(docs.select(id_col, text_col), run, f"doc_id {kind}, " + ", ".join(f"{n} long" for n in NAMES[:5]) + ", base_failed boolean, score double, kept boolean")
     given = docs.select(*keep_columns)
-    return arrow_map(docs.select(*keep_columns, F.col(text_col).alias("_scored_text")), run, given.schema)
+    return arrow_map(docs.select(*columns), run, given.schema)
