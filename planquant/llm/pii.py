@@ -44,7 +44,8 @@ LOOSE = {
 _HINT = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
 _LOOSE_HINT = {"email": r"(?i)[(\[{]at[)\]}]|@\x20|\x20@", "ip": r"[0-9A-Fa-f]:[0-9A-Fa-f]{1,4}:", "card": r"[0-9][._/][0-9]{4}[._/]", "phone": r"[0-9]{3}[\x20.-][0-9]{4}"}
 
-_BYTE = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
+#: A part of an address: zeros in front don't count, and zeros alone are a part as well.
+_BYTE = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9][0-9]?)?"
 _TLD = r"(?i)(?:\.|[)\]}]\x20?)(?:com|org|net|edu|gov|io|info|biz|de|fr|es|uk|eu|us|ca|ch|at|it|nl|be)$"
 _CONTEXT = {
     "email": r"(?i)(?:e-?mail|mailto|contact|correo|courriel|kontakt|write to|address)[^\n]{0,20}$",

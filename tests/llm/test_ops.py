@@ -329,6 +329,17 @@ def test_personal_base_spans(spark, odd, empty):
     assert PI.personal_data(odd).count() == odd.count() and PI.personal_data(empty).count() == 0
 
 
+def test_personal_base_spans_of_mixed_parts(spark):
+    import random
+
+    rng = random.Random(5)
+    parts = ["a", "b@c.d", "@", ".", "-", "1", "0", "10.0.0.1", "255", "256.", "4111 1111 1111 1111", "4111111111111111", "+", "+49 (0) 30 123456", "é", "😀", " ", "\n", "00.1", "x_", "%", "١", "0.0.0.0", "378282246310005", "(", ")", ":"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(3000)]
+    found = PI.personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    for r in found:
+        assert [f"{s['kind']}:{s['start']}:{s['end']}" for s in r["spans"] if s["base"]] == brute_personal(texts[r["doc_id"]]), texts[r["doc_id"]]
+
+
 def test_personal_candidates_are_added(spark):
     rows = [(k, f"please call us: +1 (415) 555-{1000 + k} or email me{k}@site{k}.com today") for k in range(60)] + [(k, f"please call us: (415) 555-{1000 + k} today") for k in range(60, 90)]
     found = PI.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()
