@@ -4,8 +4,8 @@ Base kinds, found in every whole text: assign, access, hex (see `base_spans`). T
 itself and takes, from each layer, the layers below it:
 
 * the layer with every run of URL escapes (%41) or Unicode escapes (\\u0041, \\x41) replaced, position by position;
-* every base64 run (20 characters or more, both alphabets) that decodes to text, or to zlib or gzip data that
-  inflates to text (`INFLATED` bytes at most, against compression bombs), as a layer of its own.
+* every base64 run (20 characters or more, both alphabets) that decodes as UTF-8, whatever its characters, or to zlib or
+  gzip data that inflates to such text (`INFLATED` bytes at most, against compression bombs), as a layer of its own.
 
 A layer whose digest has been seen is not opened again, so cycles end; the rest ends as each step shortens the text
 or unpacks it. A match found in a lower layer becomes a span over the characters of the original text from which
@@ -78,11 +78,9 @@ class Layer:
 
 def _readable(data: bytes) -> str | None:
     try:
-        text = data.decode()
+        return data.decode() or None
     except UnicodeDecodeError:
         return None
-    odd = sum(not (c.isprintable() or c in "\t\r\n") for c in text)
-    return text if text and not odd else None
 
 
 def _inflated(data: bytes) -> bytes | None:

@@ -182,6 +182,15 @@ def test_secrets_base_and_layers(spark, odd, empty):
     assert S.secrets(odd).count() == odd.count() and S.secrets(empty).count() == 0
 
 
+@pytest.mark.parametrize("odd_one", ["\u00a0", "\ufeff", "\u00ad", "\u3000", "\x00", "\x1b"])
+def test_secret_layers_with_odd_characters(odd_one):
+    import base64
+
+    inner = base64.b64encode(f"{odd_one}AKIA{'Z9' * 10}".encode()).decode()
+    outer = base64.b64encode(f"{odd_one} password = hunter2hunter2 {inner}".encode()).decode()
+    assert S.decoded_spans(f"data {outer} z") == {(5, k, 5 + len(outer)) for k in (0, 1)}
+
+
 def test_secret_worklist_ends():
     assert S.decoded_spans("%2525252541 " * 50) == set()
     assert isinstance(S.decoded_spans("A" * 100_000), set)
