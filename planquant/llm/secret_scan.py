@@ -5,7 +5,8 @@ itself and takes, from each layer, the layers below it:
 
 * the layer with every run of URL escapes (%41) or Unicode escapes (\\u0041, \\x41) replaced, position by position;
 * every base64 run (20 characters or more, both alphabets) that decodes as UTF-8, whatever its characters, or to zlib or
-  gzip data that inflates to such text (`INFLATED` bytes at most, against compression bombs), as a layer of its own.
+  gzip data that inflates, once or more often, to such text, as a layer of its own. Inflated text is scanned whole, in
+  parts of about `STEP` bytes, cut where no match can cross; only an unbroken run longer than that is held whole.
 
 A layer whose digest has been seen is not opened again, so cycles end; the rest ends as each step shortens the text
 or unpacks it. A match found in a lower layer becomes a span over the characters of the original text from which
@@ -19,9 +20,11 @@ from __future__ import annotations
 
 import base64
 import binascii
+import codecs
 import hashlib
 import re
 import zlib
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,7 +32,8 @@ from pyspark.sql import DataFrame
 from planquant.llm.common import arrow_map, slices
 
 KINDS = ("assign", "access", "hex")
-INFLATED = 16 << 20
+#: Bytes inflated at a time; no bound on what is inflated.
+STEP = 1 << 20
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 #: Every assignment has a letter pair of one of its keywords before a separator; this only tells texts that can't have one.
@@ -39,6 +43,9 @@ _HEX = re.compile(r"[0-9a-f]{32,}")
 
 _URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2})+")
+_COMPRESSED = re.compile(rb"\x1f\x8b|\x78")
+#: Up to the last character that is in no match, escape or base64 run, or a blank between words that no escape touches.
+_LAST_CUT = re.compile(r"""(?s:.*)(?:[^A-Za-z0-9+/_.=\-"'\x20:%\\]|\x20[A-Za-z0-9]+\x20(?=[A-Za-z0-9]))""")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
 #: A run that letters of one case or digits alone make up is a word or number; hex runs are no base64 either.
 _PLAIN = re.compile(r"[0-9]*[A-Za-z]?[a-z]*|[A-Z]+|[0-9a-fA-F]+")
@@ -76,35 +83,103 @@ class Layer:
         return first, last, any(p[4] for p in self.pieces[i : j + 1])
 
 
-def _readable(data: bytes) -> str | None:
-    try:
-        return data.decode() or None
-    except UnicodeDecodeError:
-        return None
-
-
-def _inflated(data: bytes) -> bytes | None:
-    if data[:2] == b"\x1f\x8b" or data[:1] == b"\x78":
+def _inflated(parts: Iterator[bytes]) -> Iterator[bytes]:
+    """What zlib or gzip data (all members) inflates to, in parts of `STEP` bytes at most; zlib.error if it is neither or broken."""
+    one, first, rest = zlib.decompressobj(47), True, b""
+    for part in parts:
+        rest += part
+        while True:
+            if one.eof:
+                if len(rest) < 2:
+                    break
+                if rest[:2] != b"\x1f\x8b":
+                    return
+                one, first = zlib.decompressobj(47), False
+            try:
+                out = one.decompress(rest, STEP)
+            except zlib.error:
+                if first:
+                    raise
+                return
+            if out:
+                yield out
+            rest = one.unused_data if one.eof else one.unconsumed_tail
+            if not (one.eof or rest or len(out) == STEP):
+                break
+
+
+def _opened(data: bytes, depth: int) -> Iterator[bytes]:
+    """The data, inflated `depth` times, in parts."""
+    parts = (data[k : k + STEP] for k in range(0, len(data), STEP))
+    for _ in range(depth):
+        parts = _inflated(parts)
+    return parts
+
+
+def _cut(parts: Iterator[bytes]) -> Iterator[str]:
+    """UTF-8 as parts of text, cut only where no match and no run can go on in any layer."""
+    decoder, held = codecs.getincrementaldecoder("utf-8")(), []
+    for part in parts:
+        text = decoder.decode(part)
+        if m := _LAST_CUT.match(text):
+            yield "".join(held) + m[0]
+            held, text = [], text[m.end() :]
+        held.append(text)
+    if text := "".join(held):
+        yield text
+
+
+def _texts(data: bytes) -> Iterator[str]:
+    """The text that the data is, and those of all layers of zlib or gzip data inside each other, in parts.
+
+    Each layer is read once for its digest and whether it is text, then again for the text; it is held only where it
+    is no longer than `STEP` or what it came from. Layers seen before end the chain."""
+    depth, seen = 0, set()
+    while True:
+        decoder, digest, head, kept, size, text = codecs.getincrementaldecoder("utf-8")(), hashlib.sha256(), b"", [], 0, True
         try:
-            return zlib.decompressobj(47).decompress(data, INFLATED)
+            for part in _opened(data, depth):
+                digest.update(part)
+                head = head or part[:2] if len(head) != 1 else head + part[:1]
+                size += len(part)
+                if text:
+                    try:
+                        decoder.decode(part)
+                    except UnicodeDecodeError:
+                        text = False
+                if kept is not None:
+                    kept.append(part)
+                    if size > max(STEP, len(data)):
+                        kept = None
         except zlib.error:
-            return None
-    return None
-
-
-def _base64_text(run: str) -> str | None:
+            return
+        if not size or digest.digest() in seen:
+            return
+        seen.add(digest.digest())
+        if kept is not None:
+            data, depth = b"".join(kept), 0
+        if text and not decoder.getstate()[0]:
+            yield from _cut(_opened(data, depth))
+        if not _COMPRESSED.match(head):
+            return
+        depth += 1
+
+
+def _base64_texts(run: str) -> Iterator[str]:
     body = run.rstrip("=").translate({45: 43, 95: 47})
     if len(body) % 4 == 1:
-        return None
+        return
     try:
         data = base64.b64decode(body + "=" * (-len(body) % 4))
     except (binascii.Error, ValueError):
-        return None
-    for _ in range(8):
-        if (more := _inflated(data)) is None:
-            break
-        data = more
-    return _readable(data)
+        return
+    if _COMPRESSED.match(data):
+        yield from _texts(data)
+        return
+    try:
+        yield data.decode()
+    except UnicodeDecodeError:
+        return
 
 
 def _escaped(run: str) -> list[tuple[int, int, str]] | None:
@@ -166,9 +241,10 @@ def _below(layer: Layer):
     if "\\" in layer.text and (x := _unescaped(layer, _UNICODE)):
         yield x
     for m in _BASE64.finditer(layer.text):
-        if not _PLAIN.fullmatch(m[0]) and (text := _base64_text(m[0])):
+        if not _PLAIN.fullmatch(m[0]):
             first, last, _ = layer.original(m.start(), m.end())
-            yield Layer(text, [(0, len(text), first, last, True)])
+            for text in _base64_texts(m[0]):
+                yield Layer(text, [(0, len(text), first, last, True)])
 
 
 def decoded_spans(text: str) -> set[tuple[int, int, int]]:
@@ -177,18 +253,22 @@ def decoded_spans(text: str) -> set[tuple[int, int, int]]:
         return set()
     found: set[tuple[int, int, int]] = set()
     seen = {hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest()}
-    work = [Layer(text, [(0, len(text), 0, len(text), False)])]
+    work = [_below(Layer(text, [(0, len(text), 0, len(text), False)]))]
     while work:
-        for x in _below(work.pop()):
-            key = hashlib.sha256(x.text.encode("utf-8", "surrogatepass") + repr((x.pieces[0][2], x.pieces[-1][3])).encode()).digest()
-            if not x.text or key in seen:
-                continue
-            seen.add(key)
-            work.append(x)
-            for start, kind, end in base_spans(x.text):
-                first, last, decoded = x.original(start, end)
-                if decoded:
-                    found.add((first, kind, last))
+        if (x := next(work[-1], None)) is None:
+            work.pop()
+            continue
+        if not x.text:
+            continue
+        key = hashlib.sha256(x.text.encode("utf-8", "surrogatepass") + repr((x.pieces[0][2], x.pieces[-1][3])).encode()).digest()
+        if key in seen:
+            continue
+        seen.add(key)
+        work.append(_below(x))
+        for start, kind, end in base_spans(x.text):
+            first, last, decoded = x.original(start, end)
+            if decoded:
+                found.add((first, kind, last))
     return found
 
 

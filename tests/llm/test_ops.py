@@ -191,6 +191,43 @@ def test_secret_layers_with_odd_characters(odd_one):
     assert S.decoded_spans(f"data {outer} z") == {(5, k, 5 + len(outer)) for k in (0, 1)}
 
 
+def test_secret_layers_without_bounds():
+    import base64
+    import gzip
+
+    def scan(data):
+        run = base64.b64encode(data).decode()
+        return S.decoded_spans(f"data {run} z"), {(5, k, 5 + len(run)) for k in (0, 1)}
+
+    key = "é\npassword%3D%20hunter2hunter2\nAKIA" + "Z9" * 10 + "\n"
+    long = ("é word, " * 2_000_000 + key).encode()
+    got, want = scan(gzip.compress(long))
+    assert len(long) > 16 << 20 and got == want
+    deep = key.encode()
+    for k in range(20):
+        deep = (zlib.compress if k % 2 else gzip.compress)(deep)
+    got, want = scan(deep)
+    assert got == want
+    got, want = scan(gzip.compress(key[:20].encode()) + gzip.compress(key[20:].encode()))
+    assert got == want
+
+
+def test_secret_parts_equal_the_whole(monkeypatch):
+    import base64
+    import gzip
+
+    b64 = base64.b64encode(b"xx AKIA" + b"Q7" * 30).decode()
+    texts = ["one two %74oken%3A%20abcdefgh12 é " + "w " * 9, "secret   :   abcdefgh12", "pass\\u0077ord%3D abcdefgh12", f"a b {b64} c", "0f" * 40, "AKIA" + "Z" * 40, "token%253A abc12345 x", "no words here at all é ü", "token\n: abcdefgh12"]
+    for text in texts:
+        for pad in range(9):
+            run = base64.b64encode(gzip.compress(("p" * pad + " " + text).encode())).decode()
+            monkeypatch.setattr(S, "STEP", 1 << 20)
+            want = S.decoded_spans(run)
+            for step in (1, 2, 3, 7, 16):
+                monkeypatch.setattr(S, "STEP", step)
+                assert S.decoded_spans(run) == want, (text, pad, step)
+
+
 def test_secret_worklist_ends():
     assert S.decoded_spans("%2525252541 " * 50) == set()
     assert isinstance(S.decoded_spans("A" * 100_000), set)
