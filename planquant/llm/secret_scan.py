@@ -4,9 +4,10 @@ Base kinds, found in every whole text: assign, access, hex (see `base_spans`). T
 itself and takes, from each layer, the layers below it:
 
 * the layer with every run of URL escapes (%41) or Unicode escapes (\\u0041, \\x41) replaced, position by position;
-* every base64 run (20 characters or more, both alphabets) that decodes as UTF-8, whatever its characters, or to zlib or
-  gzip data that inflates, once or more often, to such text, as a layer of its own. Inflated text is scanned whole, in
-  parts of about `STEP` bytes, cut where no match can cross; only an unbroken run longer than that is held whole.
+* every base64 run (19 characters or more, as many as the shortest match has; both alphabets) that decodes as UTF-8,
+  whatever its characters, or to zlib or gzip data that inflates, once or more often, to such text, as a layer of its
+  own. Inflated text is scanned whole, in parts of about `STEP` bytes, cut where no match can cross; only an unbroken
+  run longer than that is held whole.
 
 A layer whose digest has been seen is not opened again, so cycles end; the rest ends as each step shortens the text
 or unpacks it. A match found in a lower layer becomes a span over the characters of the original text from which
@@ -46,7 +47,7 @@ _UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2})+")
 _COMPRESSED = re.compile(rb"\x1f\x8b|\x78")
 #: Up to the last character that is in no match, escape or base64 run, or a blank between words that no escape touches.
 _LAST_CUT = re.compile(r"""(?s:.*)(?:[^A-Za-z0-9+/_.=\-"'\x20:%\\]|\x20[A-Za-z0-9]+\x20(?=[A-Za-z0-9]))""")
-_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
+_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{19,}={0,2}")
 #: A run that letters of one case or digits alone make up is a word or number; hex runs are no base64 either.
 _PLAIN = re.compile(r"[0-9]*[A-Za-z]?[a-z]*|[A-Z]+|[0-9a-fA-F]+")
 

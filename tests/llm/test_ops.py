@@ -228,6 +228,15 @@ def test_secret_parts_equal_the_whole(monkeypatch):
                 assert S.decoded_spans(run) == want, (text, pad, step)
 
 
+@pytest.mark.parametrize("end", ["", "="])
+def test_secret_shortest_base64(end):
+    import base64
+
+    run = base64.b64encode(b"token=abcdefgh").decode().rstrip("=")
+    assert len(run) == 19
+    assert S.decoded_spans(f"data {run}{end} z") == {(5, 0, 5 + len(run + end))}
+
+
 def test_secret_worklist_ends():
     assert S.decoded_spans("%2525252541 " * 50) == set()
     assert isinstance(S.decoded_spans("A" * 100_000), set)
