@@ -1,11 +1,11 @@
 """N-gram Jaccard join: MinHash banding, then every pair verified on full shingle sets.
 
 Words are runs other than ASCII white space; a text's set holds the 64-bit hashes of its runs of five words (a shorter
-text, if it has words, is one run). Texts with equal sets are copies: they share one digest and one representative (the
-smallest id) before anything is paired.
+text, if it has words, is one run). Texts with equal sets are copies: they share one digest before anything is paired, and
+digests, not ids, stand for texts until classes are named.
 
 1. Bands and rows are chosen for a target recall at the threshold (`banding`): as many rows a band as the number of
-   hashes allows. Representatives shuffle on band hashes; within a bucket each only meets the smallest id, so a bucket
+   hashes allows. Digests shuffle on band hashes; within a bucket each only meets the smallest, so a bucket
    of any size gives as many rows as it has members. The components of these links are the candidate groups.
 2. A candidate group is verified as a whole, on full sets: a group of over `BLOCK` members is dealt into blocks by a
    hash, and every pair of blocks is a unit of work of its own with bounded memory. A unit counts common shingles by
@@ -14,7 +14,7 @@ smallest id) before anything is paired.
 3. Components of verified links give the class: its smallest id.
 
 Null and empty texts have no set, no links and a class of their own. Rows that repeat an id and text count as copies.
-Null ids never represent others while a copy has an id.
+Texts under a null or repeated id are linked as any other; a null id never names a class while a member has an id.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from planquant.llm.common import arrow_map, cut, shared_table, slices
 from planquant.llm.components import components
@@ -96,8 +96,13 @@ def digest(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
+def _row_key(id_col: str, text_col: str) -> Column:
+    """Tells rows apart that differ in id or text, where ids are null or repeated too."""
+    return F.sha2(F.concat_ws("|", F.col(id_col).cast("string"), F.sha2(F.col(text_col), 256)), 256)
+
+
 def signatures(docs: DataFrame, bands: int, rows: int, size: int = SIZE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, digest, bands) of every row; digest and bands are null for texts without words."""
+    """(id, key, digest, bands) of every row; digest and bands are null for texts without words."""
 
     def run(batches):
         for batch in batches:
@@ -107,10 +112,10 @@ def signatures(docs: DataFrame, bands: int, rows: int, size: int = SIZE, id_col:
                     s = shingles(t or b"", size)
                     keys.append(digest(s) if len(s) else None)
                     found.append(band_hashes(s, bands, rows) if len(s) else None)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keys, pa.binary()), pa.array(found, pa.list_(pa.int64()))], ["id", "digest", "bands"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(keys, pa.binary()), pa.array(found, pa.list_(pa.int64()))], ["id", "key", "digest", "bands"])
 
     kind = docs.select(id_col).dtypes[0][1]
-    return arrow_map(docs.select(id_col, text_col), run, f"id {kind}, digest binary, bands array<long>")
+    return arrow_map(docs.select(id_col, text_col, _row_key(id_col, text_col).alias("key")), run, f"id {kind}, key string, digest binary, bands array<long>")
 
 
 def common(sets: list[np.ndarray], others: list[np.ndarray]) -> np.ndarray:
@@ -144,7 +149,7 @@ def linked(sets: list[np.ndarray], others: list[np.ndarray], threshold: tuple[in
 
 
 def _unit(ids: list, copies: list[int], sets: list[np.ndarray], mine: list[bool], same: bool, threshold: tuple[int, int]) -> list[tuple]:
-    """(id, links weighted by copies, smallest id it hangs together with) of the members of a pair of blocks."""
+    """(id, links weighted by copies, smallest member it hangs together with) of the members of a pair of blocks."""
     a = [k for k, m in enumerate(mine) if m]
     b = a if same else [k for k, m in enumerate(mine) if not m]
     if not a or not b:
@@ -179,36 +184,31 @@ def classes(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, recall: flo
     """(id, class_id, n_links) of every row: the smallest id of its class, and how many other rows it is linked to."""
     bands, rows = banding(threshold[0] / threshold[1], recall)
     found = shared_table(signatures(docs, bands, rows, size, id_col, text_col), "signatures")
-    kind = found.dtypes[0][1]
-    sets = found.filter("digest is not null").groupBy("digest").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
+    sets = found.filter("digest is not null").groupBy("digest").agg(F.min("id").alias("rep"), F.min("key").alias("key"), F.count(F.lit(1)).alias("copies"))
     sets = cut(sets)
-    alone = sets.filter("rep is not null")
 
-    # Candidate groups: in each bucket, every representative meets the smallest.
-    marks = found.filter("digest is not null").select("digest", "id", "bands").join(alone.select("digest", F.col("rep").alias("id")), ["digest", "id"], "left_semi")
-    marks = marks.dropDuplicates(["id", "digest"]).select("id", F.posexplode("bands").alias("band", "mark"))
-    least = marks.groupBy("band", "mark").agg(F.min("id").alias("root"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("band", "mark", "root")
-    groups = components(marks.join(least, ["band", "mark"]).select(F.col("id").alias("a"), F.col("root").alias("b")))
+    # Candidate groups: in each bucket, every set meets that of the smallest digest.
+    marks = found.filter("digest is not null").select("digest", "key", "bands").join(sets.select("digest", "key"), ["digest", "key"], "left_semi")
+    marks = marks.dropDuplicates(["digest", "key"]).select("digest", F.posexplode("bands").alias("band", "mark"))
+    least = marks.groupBy("band", "mark").agg(F.min("digest").alias("root"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("band", "mark", "root")
+    groups = components(marks.join(least, ["band", "mark"]).select(F.col("digest").alias("a"), F.col("root").alias("b")))
 
     # Units: pairs of blocks of a group.
     sizes = groups.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("n_blocks"))
-    members = groups.join(sizes, "root").select(F.col("node").alias("rep"), "root", "n_blocks", F.pmod(F.xxhash64("node"), "n_blocks").cast("int").alias("own"))
-    members = members.join(alone, "rep").select(F.col("rep").alias("id"), "root", "n_blocks", "own", "digest", "copies")
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("text is not null")
-    chosen = texts.join(members.hint("shuffle_hash"), "id")
+    members = groups.join(sizes, "root").select(F.col("node").alias("digest"), "root", "n_blocks", F.pmod(F.xxhash64("node"), "n_blocks").cast("int").alias("own"))
+    members = members.join(sets, "digest").select("key", "root", "n_blocks", "own", "digest", "copies")
+    texts = docs.select(_row_key(id_col, text_col).alias("key"), F.col(text_col).alias("text")).filter("text is not null")
+    chosen = texts.join(members.hint("shuffle_hash"), "key")
 
     def to_sets(batches):
         for batch in batches:
             for part in slices(batch):
-                out = []
-                for t, want in zip(part.column(1).cast(pa.binary()).to_pylist(), part.column("digest").to_pylist(), strict=True):
-                    s = shingles(t, size)
-                    out.append(s.tobytes() if digest(s) == want else None)  # another row with this id
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column("root"), part.column("n_blocks"), part.column("own"), part.column("copies"), pa.array(out, pa.binary())], ["id", "root", "n_blocks", "own", "copies", "hashes"])
+                out = [shingles(t, size).tobytes() for t in part.column(1).cast(pa.binary()).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("digest"), part.column("root"), part.column("n_blocks"), part.column("own"), part.column("copies"), pa.array(out, pa.binary())], ["digest", "root", "n_blocks", "own", "copies", "hashes"])
 
-    sized = arrow_map(chosen.select("id", "text", "root", "n_blocks", "own", "digest", "copies"), to_sets, f"id {kind}, root {kind}, n_blocks int, own int, copies long, hashes binary").filter("hashes is not null")
+    sized = arrow_map(chosen.select("key", "text", "root", "n_blocks", "own", "digest", "copies"), to_sets, "digest binary, root binary, n_blocks int, own int, copies long, hashes binary")
     other = F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("other")
-    units = sized.select("id", "root", "own", "copies", "hashes", other).select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "copies", "hashes")
+    units = sized.select("digest", "root", "own", "copies", "hashes", other).select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "digest", "copies", "hashes")
     units = units.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
 
     def to_links(batches):
@@ -226,19 +226,20 @@ def classes(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, recall: flo
                         out += done()
                     key, held = (root, i, j), {}
                 held[who] = (copies, hashes, own)
-            types = batch.schema.field("id").type
             if out:
-                yield _links(out, types)
+                yield _links(out)
         if held and (out := done()):
-            yield _links(out, types)
+            yield _links(out)
 
-    def _links(out, t):
+    def _links(out):
         a, n, b = zip(*out, strict=True)
-        return pa.RecordBatch.from_arrays([pa.array(a, t), pa.array(n, pa.int64()), pa.array(b, t)], ["id", "n", "least"])
-
-    links = cut(arrow_map(units, to_links, f"id {kind}, n long, least {kind}"))
-    roots = components(links.select(F.col("id").alias("a"), F.col("least").alias("b")))
-    counts = links.groupBy("id").agg(F.sum("n").alias("n"))
-    verdict = counts.join(roots.withColumnRenamed("node", "id"), "id").select(F.col("id").alias("rep"), "n", "root")
-    named = sets.join(verdict, "rep", "left").select("digest", F.coalesce("root", "rep").alias("class_id"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"))
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(n, pa.int64()), pa.array(b, pa.binary())], ["digest", "n", "least"])
+
+    links = cut(arrow_map(units, to_links, "digest binary, n long, least binary"))
+    roots = components(links.select(F.col("digest").alias("a"), F.col("least").alias("b")))
+    counts = links.groupBy("digest").agg(F.sum("n").alias("n"))
+    verdict = counts.join(roots.withColumnRenamed("node", "digest"), "digest")
+    placed = sets.join(verdict, "digest", "left").select("digest", "rep", "root", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"))
+    firsts = placed.filter("root is not null").groupBy("root").agg(F.min("rep").alias("first"))
+    named = placed.join(firsts, "root", "left").select("digest", F.coalesce("first", "rep").alias("class_id"), "n_links")
     return found.select("id", "digest").join(named, "digest", "left").select("id", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))

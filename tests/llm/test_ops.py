@@ -469,6 +469,18 @@ def test_near_duplicates(spark, odd, empty, block):
     assert got == brute_classes(docs)
 
 
+def test_near_duplicates_null_and_repeated_ids(spark):
+    base, other = prose(5, 300), prose(6, 300)
+    near, other_near = base + " one more", other + " one more"
+    docs = [(1, base), (None, near), (2, other), (3, base + " and other"), (3, other_near), (None, base + " null too"), (None, base + " null too"), (4, prose(7, 200))]
+    texts = [t for _, t in docs]
+    sets = [set(N.shingles(t.encode()).tolist()) for t in texts]
+    n = [sum(len(a & b) >= 0.8 * len(a | b) for b in sets) - 1 for a in sets]
+    want = sorted(zip(map(str, [i for i, _ in docs]), [1, 1, 2, 1, 2, 1, 1, 4], n, strict=True))
+    got = N.classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted((str(r["id"]), r["class_id"], r["n_links"]) for r in got) == want
+
+
 def test_near_duplicates_awkward(spark, odd, empty):
     rows = N.classes(odd).collect()
     assert len(rows) == odd.count()
