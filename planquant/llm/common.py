@@ -10,6 +10,7 @@ import os
 import uuid
 from collections.abc import Callable, Iterator
 from pathlib import Path
+from typing import ClassVar
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -18,6 +19,9 @@ ROOT = str(Path(__file__).resolve().parents[2])
 
 #: Bytes of text that an Arrow function handles at a time.
 SLICE_BYTES = 8 << 20
+#: Bytes of an Arrow batch: rows are sent to a worker in batches of this size (a larger row is a batch of its own), since
+#: 10,000 rows of text, the default, can be any size. A session that asks for less keeps its own.
+BATCH_BYTES = 4 << 20
 
 
 def tokenizer_file(name: str) -> str:
@@ -41,6 +45,9 @@ def workers_find_package(spark: SparkSession) -> None:
 
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     workers_find_package(df.sparkSession)
+    now = int(df.sparkSession.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b"))
+    if not 0 < now <= BATCH_BYTES:
+        df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{BATCH_BYTES}b")
     return df.mapInArrow(fn, schema)
 
 
@@ -59,16 +66,18 @@ def slices(batch: pa.RecordBatch, column: int = 1, most: int = SLICE_BYTES) -> I
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the session names; one of our own only where it names none."""
+    """The shared folder that the session names. Only a session that runs in one process may name none; it gets one."""
     sc = spark.sparkContext
-    known = spark.conf.get("spark.checkpoint.dir", None)
-    if known is None and sc.getCheckpointDir() is None:
+    known = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if known is None:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         import tempfile
 
         known = tempfile.mkdtemp(prefix="planquant-checkpoint-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(known)
-    return known or sc.getCheckpointDir()
+    return known
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -84,6 +93,33 @@ def shared_table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
+class Kept(dict):
+    """What a worker remembers of an operator, by key: at most `most` entries; when they are full it starts anew.
+
+    Workers serve one operator after another, so the memories of all but the last one that `mine` was asked for are
+    dropped: what a worker holds is one operator's."""
+
+    _live: ClassVar[dict[str, list[Kept]]] = {}
+
+    def __init__(self, owner: str, most: int):
+        super().__init__()
+        self.owner, self.most = owner, most
+        Kept._live.setdefault(owner, []).append(self)
+
+    def put(self, key, value):
+        if len(self) >= self.most:
+            self.clear()
+        self[key] = value
+        return value
+
+    @staticmethod
+    def mine(owner: str) -> None:
+        for other, kept in Kept._live.items():
+            if other != owner:
+                for x in kept:
+                    x.clear()
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -7,10 +7,11 @@ digests, not ids, stand for texts until classes are named.
 1. Bands and rows are chosen for a target recall at the threshold (`banding`): as many rows a band as the number of
    hashes allows. Digests shuffle on band hashes; within a bucket each only meets the smallest, so a bucket
    of any size gives as many rows as it has members. The components of these links are the candidate groups.
-2. A candidate group is verified as a whole, on full sets: a group of over `BLOCK` members is dealt into blocks by a
-   hash, and every pair of blocks is a unit of work of its own with bounded memory. A unit counts common shingles by
-   matrix products and returns one row per member: its links, weighted by copies, and the smallest member it
-   hangs together with. No pair is emitted, none is capped or dropped.
+2. A candidate group is verified as a whole, on full sets: a group of over `BLOCK` members or `BLOCK_HASHES` hashes is
+   dealt into blocks by a hash, and every pair of blocks is a unit of work of its own with bounded memory. Blocks grow with the
+   square root of a group, so that neither units nor the times that a set is sent grow in step with it. A unit counts common
+   shingles by matrix products and returns one row per member: its links, weighted by copies, and the smallest
+   member it hangs together with. No pair is emitted, none is capped or dropped.
 3. Components of verified links give the class: its smallest id.
 
 Null and empty texts have no set, no links and a class of their own. Rows that repeat an id and text count as copies.
@@ -26,14 +27,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from planquant.llm.common import arrow_map, cut, shared_table, slices
+from planquant.llm.common import Kept, arrow_map, cut, shared_table, slices
 from planquant.llm.components import components
 
 SIZE = 5
 THRESHOLD = (4, 5)
 RECALL = 0.999
 HASHES = 144
-BLOCK = 512
+#: Sets in a block: this many, or three times the root of the group's size where that is more; hashes in a block, about.
+BLOCK = 128
+BLOCK_HASHES = 1 << 20
+#: Words whose hashes a worker keeps.
+WORDS = 100_000
 
 
 def banding(threshold: float, recall: float = RECALL, hashes: int = HASHES) -> tuple[int, int]:
@@ -46,19 +51,16 @@ def banding(threshold: float, recall: float = RECALL, hashes: int = HASHES) -> t
     return best
 
 
-class _Words(dict):
+class _Words(Kept):
     """Hashes of words; the same on every machine."""
 
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        h = xxhash.xxh3_64_intdigest(word)
-        if len(self) < 400_000:
-            self[word] = h
-        return h
+        return self.put(word, xxhash.xxh3_64_intdigest(word))
 
 
-_words = _Words()
+_words = _Words("near_duplicates", WORDS)
 _rng = np.random.RandomState(20240501)
 _PLACE = _rng.randint(1, 2**62, 64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _FACTOR = _rng.randint(1, 2**62, 1024).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -102,20 +104,22 @@ def _row_key(id_col: str, text_col: str) -> Column:
 
 
 def signatures(docs: DataFrame, bands: int, rows: int, size: int = SIZE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, key, digest, bands) of every row; digest and bands are null for texts without words."""
+    """(id, key, digest, size, bands) of every row; digest and bands are null for texts without words."""
 
     def run(batches):
+        Kept.mine("near_duplicates")
         for batch in batches:
             for part in slices(batch):
-                keys, found = [], []
+                keys, found, sizes = [], [], []
                 for t in part.column(1).cast(pa.binary()).to_pylist():
                     s = shingles(t or b"", size)
                     keys.append(digest(s) if len(s) else None)
                     found.append(band_hashes(s, bands, rows) if len(s) else None)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(keys, pa.binary()), pa.array(found, pa.list_(pa.int64()))], ["id", "key", "digest", "bands"])
+                    sizes.append(len(s))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(found, pa.list_(pa.int64()))], ["id", "key", "digest", "size", "bands"])
 
     kind = docs.select(id_col).dtypes[0][1]
-    return arrow_map(docs.select(id_col, text_col, _row_key(id_col, text_col).alias("key")), run, f"id {kind}, key string, digest binary, bands array<long>")
+    return arrow_map(docs.select(id_col, text_col, _row_key(id_col, text_col).alias("key")), run, f"id {kind}, key string, digest binary, size long, bands array<long>")
 
 
 def common(sets: list[np.ndarray], others: list[np.ndarray]) -> np.ndarray:
@@ -180,11 +184,11 @@ def _unit(ids: list, copies: list[int], sets: list[np.ndarray], mine: list[bool]
     return [(ids[k], int(n[k]), ids[top(k)]) for k in range(len(ids)) if n[k]]
 
 
-def classes(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, recall: float = RECALL, size: int = SIZE, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def classes(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, recall: float = RECALL, size: int = SIZE, block: int = BLOCK, block_hashes: int = BLOCK_HASHES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, class_id, n_links) of every row: the smallest id of its class, and how many other rows it is linked to."""
     bands, rows = banding(threshold[0] / threshold[1], recall)
     found = shared_table(signatures(docs, bands, rows, size, id_col, text_col), "signatures")
-    sets = found.filter("digest is not null").groupBy("digest").agg(F.min("id").alias("rep"), F.min("key").alias("key"), F.count(F.lit(1)).alias("copies"))
+    sets = found.filter("digest is not null").groupBy("digest").agg(F.min("id").alias("rep"), F.min("key").alias("key"), F.max("size").alias("size"), F.count(F.lit(1)).alias("copies"))
     sets = cut(sets)
 
     # Candidate groups: in each bucket, every set meets that of the smallest digest.
@@ -194,21 +198,24 @@ def classes(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, recall: flo
     groups = components(marks.join(least, ["band", "mark"]).select(F.col("digest").alias("a"), F.col("root").alias("b")))
 
     # Units: pairs of blocks of a group.
-    sizes = groups.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("n_blocks"))
-    members = groups.join(sizes, "root").select(F.col("node").alias("digest"), "root", "n_blocks", F.pmod(F.xxhash64("node"), "n_blocks").cast("int").alias("own"))
-    members = members.join(sets, "digest").select("key", "root", "n_blocks", "own", "digest", "copies")
+    sized = groups.select(F.col("node").alias("digest"), "root").join(sets, "digest")
+    n, hashes = F.count(F.lit(1)), F.sum("size")
+    blocks = F.greatest(F.ceil(n / F.greatest(F.lit(block), F.ceil(3 * F.sqrt(n)))), F.ceil(hashes / block_hashes)).cast("int")
+    members = sized.join(sized.groupBy("root").agg(blocks.alias("n_blocks")), "root")
+    members = members.select("key", "root", "n_blocks", F.pmod(F.xxhash64("digest"), "n_blocks").cast("int").alias("own"), "digest", "copies")
     texts = docs.select(_row_key(id_col, text_col).alias("key"), F.col(text_col).alias("text")).filter("text is not null")
     chosen = texts.join(members.hint("shuffle_hash"), "key")
 
     def to_sets(batches):
+        Kept.mine("near_duplicates")
         for batch in batches:
             for part in slices(batch):
                 out = [shingles(t, size).tobytes() for t in part.column(1).cast(pa.binary()).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("digest"), part.column("root"), part.column("n_blocks"), part.column("own"), part.column("copies"), pa.array(out, pa.binary())], ["digest", "root", "n_blocks", "own", "copies", "hashes"])
 
-    sized = arrow_map(chosen.select("key", "text", "root", "n_blocks", "own", "digest", "copies"), to_sets, "digest binary, root binary, n_blocks int, own int, copies long, hashes binary")
+    filled = arrow_map(chosen.select("key", "text", "root", "n_blocks", "own", "digest", "copies"), to_sets, "digest binary, root binary, n_blocks int, own int, copies long, hashes binary")
     other = F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("other")
-    units = sized.select("digest", "root", "own", "copies", "hashes", other).select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "digest", "copies", "hashes")
+    units = filled.select("digest", "root", "own", "copies", "hashes", other).select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "digest", "copies", "hashes")
     units = units.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
 
     def to_links(batches):

@@ -27,12 +27,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from planquant.llm.common import arrow_map, slices
+from planquant.llm.common import Kept, arrow_map, slices
 
 WINDOW = 2048
 END = 1
 BLOCK_TOKENS = 4 << 20
-CACHE = 300_000
+#: Pieces, and words, whose ids a worker keeps.
+CACHE = 100_000
 #: Spacing of the third length in the combinations of three.
 THIRD = 64
 
@@ -53,30 +54,24 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
-class _Pieces(dict):
+class _Pieces(Kept):
     """Ids of pieces, as bytes; a piece is encoded when it is first met, and kept while there is room."""
 
     def __init__(self, tokenizer):
-        super().__init__()
-        self.tokenizer, self.model, self.letters, self.units = tokenizer, tokenizer.model, _byte_letters(), {}
+        super().__init__("packing", CACHE)
+        self.tokenizer, self.model, self.letters, self.units = tokenizer, tokenizer.model, _byte_letters(), Kept("packing", CACHE)
 
     def unit(self, s: str) -> bytes:
         out = self.units.get(s)
         if out is None:
             mapped = s.encode().decode("latin-1").translate(self.letters)
-            out = np.array([t.id for t in self.model.tokenize(mapped)], dtype="<u4").tobytes()
-            if len(self.units) < CACHE:
-                self.units[s] = out
+            out = self.units.put(s, np.array([t.id for t in self.model.tokenize(mapped)], dtype="<u4").tobytes())
         return out
 
     def __missing__(self, piece: str) -> bytes:
         if m := _SIMPLE.fullmatch(piece):
-            out = self.unit(m[1]) + (self.unit(m[2]) if m[2] else b"")
-        else:
-            out = np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        if len(self) < CACHE:
-            self[piece] = out
-        return out
+            return self.put(piece, self.unit(m[1]) + (self.unit(m[2]) if m[2] else b""))
+        return self.put(piece, np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, dtype="<u4").tobytes())
 
 
 @lru_cache(maxsize=2)
@@ -234,6 +229,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int
     def run(batches):
         from pyspark import TaskContext
 
+        Kept.mine("packing")
         sequence = TaskContext.get().partitionId() << 33
         ids, tokens, held, types = [], [], 0, None
 

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from planquant.llm.common import arrow_map, slices
+from planquant.llm.common import Kept, arrow_map, slices
 from planquant.llm.text_stats import FEATURES, features, text_stats
 
 FIT_ROWS = 6_000
@@ -94,18 +94,15 @@ _SHAPE = bytes(65 if 65 <= b <= 90 else 97 if 97 <= b <= 122 or b > 127 else 48
 _MASK = (1 << BITS) - 1
 
 
-class _Slots(dict):
+class _Slots(Kept):
     """Slots of words (even) or of their shapes (odd)."""
 
     def __init__(self, odd: int):
-        super().__init__()
+        super().__init__("quality_classifier", 100_000)
         self.odd = odd
 
     def __missing__(self, word: bytes) -> int:
-        slot = (zlib.crc32(word) << 1 | self.odd) & _MASK
-        if len(self) < 300_000:
-            self[word] = slot
-        return slot
+        return self.put(word, (zlib.crc32(word) << 1 | self.odd) & _MASK)
 
 
 _word_slot, _shape_slot = _Slots(0), _Slots(1)

@@ -3,7 +3,7 @@
 A text is split at ASCII white space. The tokenizer drops white space, composes (NFC) and lower-cases within
 words only, so a text's count is the sum over its pieces, however long the text. A piece that is a word with marks
 behind it is split between the two. Each slice of an Arrow batch (balanced by bytes) encodes what it hasn't met in one
-call of the library; counts already met are kept in the worker, up to `CACHE` of them.
+call of the library; counts already met are kept in the worker, up to `CACHE` of them beside the slice's own.
 
 Null and empty texts have 0 bytes and 0 tokens. Repeated rows give repeated results; an empty table gives none.
 """
@@ -17,10 +17,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from planquant.llm.common import arrow_map, slices
+from planquant.llm.common import Kept, arrow_map, slices
 
-#: Pieces whose counts a worker keeps; pieces met later are encoded slice by slice.
-CACHE = 500_000
+#: Pieces, and units of pieces, whose counts a worker keeps; when they are more it starts anew.
+CACHE = 200_000
 
 
 @lru_cache(maxsize=2)
@@ -33,7 +33,7 @@ def _tokenizer(path: str):
     t = Tokenizer.from_file(path)
     t.no_truncation()
     t.no_padding()
-    return t, {}, {}
+    return t, Kept("token_counts", CACHE), Kept("token_counts", CACHE)
 
 
 #: A run of letters of the first two Unicode blocks, then ASCII marks without an apostrophe: two units of the
@@ -45,39 +45,26 @@ def count_tokens(texts: list[bytes], path: str) -> list[int]:
     """Token counts of UTF-8 texts."""
     tokenizer, kept, units = _tokenizer(path)
     words = [t.split() for t in texts]
-    new = set().union(*words).difference(kept)
-    known = kept
-    if new:
-        parts = {p: m.groups() if (m := _SIMPLE.fullmatch(s := p.decode())) else (s,) for p in new}
-        todo = list({u for g in parts.values() for u in g if u and u not in units})
-        fresh = dict(zip(todo, map(len, tokenizer.encode_batch_fast(todo, add_special_tokens=False)), strict=True))
-        size = lambda u: units[u] if u in units else fresh[u] if u else 0
-        found = {p: sum(map(size, g)) for p, g in parts.items()}
-        if len(units) + len(fresh) <= CACHE:
-            units.update(fresh)
-        if len(kept) + len(found) <= CACHE:
-            kept.update(found)
-        else:
-            known = _Both(found, kept)
-    get = known.__getitem__
+    own = set().union(*words)
+    new = own.difference(kept)
+    if len(kept) + len(new) > CACHE:
+        kept.clear()
+        new = own
+    if len(units) > CACHE:
+        units.clear()
+    parts = {p: m.groups() if (m := _SIMPLE.fullmatch(s := p.decode())) else (s,) for p in new}
+    todo = list({u for g in parts.values() for u in g if u and u not in units})
+    units.update(zip(todo, map(len, tokenizer.encode_batch_fast(todo, add_special_tokens=False)), strict=True))
+    kept.update((p, sum(units[u] for u in g if u)) for p, g in parts.items())
+    get = kept.__getitem__
     return [sum(map(get, w)) for w in words]
 
 
-class _Both(dict):
-    """The slice's own counts before the kept ones."""
-
-    def __init__(self, own: dict, kept: dict):
-        super().__init__(own)
-        self.kept = kept
-
-    def __missing__(self, key):
-        return self.kept[key]
-
-
 def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit) of every row."""
 
     def run(batches):
+        Kept.mine("token_counts")
         for batch in batches:
             for part in slices(batch):
                 texts = [t or b"" for t in part.column(1).cast(pa.binary()).to_pylist()]
