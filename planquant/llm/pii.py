@@ -13,7 +13,10 @@ posteriors train a logistic classifier over votes and length, whose weights beco
 `CUT` or more are added.
 
 The patterns take each character once: a run is entered at its first character or where the last match ended, and
-left as a whole (possessively), which finds what the plain patterns find in time proportional to the text.
+left as a whole (possessively), which finds what the plain patterns find in time proportional to the text. Positions are
+running sums over the lengths of matches and of what lies between them, taken in blocks of the root of their number; a span's
+surroundings come from its neighbours, never from the text's start; candidates meet base spans in one sorted
+list. A text of n matches takes time with n to the power 1.5 at most, of which the part above n is copying.
 
 Null and empty texts have no spans; repeated rows give repeated results; an empty table gives none.
 """
@@ -72,42 +75,72 @@ def _passes(kind: str, s: Column) -> Column:
     return n.between(12, 19) & _luhn(_digits(s)) if kind == "card" else n.between(9, 15)
 
 
+def _let(value: Column, body) -> Column:
+    """body(value), with value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _running(a: Column, first: int, op) -> Column:
+    """first, op(first, a0), op(op(first, a0), a1) and so on: one value more than a has."""
+    short = lambda x, start: F.aggregate(x, F.array(start), lambda acc, y: F.concat(acc, F.array(op(F.get(acc, F.size(acc) - 1), y))))
+
+    def long(x: Column) -> Column:
+        width = F.ceil(F.sqrt(F.size(x))).cast("int")
+        parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / width).cast("int")), lambda k: F.slice(x, k * width + 1, width))
+        totals = lambda p: F.transform(p, lambda y: F.aggregate(y, F.lit(first), op))
+        rest = lambda p, starts: F.flatten(F.transform(p, lambda y, k: F.slice(short(y, F.get(starts, k)), F.lit(2), F.size(y))))
+        return _let(parts, lambda p: F.concat(F.array(F.lit(first)), _let(short(totals(p), F.lit(first)), lambda starts: rest(p, starts))))
+
+    return F.when(F.size(a) <= 32, short(a, F.lit(first))).otherwise(long(a))
+
+
+_SPAN = "struct<start:int,kind:int,end:int,strict:boolean,body:string,before:string,after:string>"
+
+
 def _found(text: Column, kind: str, pattern: str, hint: str, strict: bool) -> Column:
-    """(start, kind, end, strict, body) of every match: matches are aligned with what lies between them."""
-    state = "struct<at:int,out:array<struct<start:int,kind:int,end:int,strict:boolean,body:string>>>"
-    matches, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, F.lit(pattern), -1)
-    step = lambda s, x: F.struct(
-        (s["at"] + F.length(x["0"]) + F.length(x["1"])).alias("at"),
-        F.concat(
-            s["out"],
-            F.array(
-                F.struct(
-                    (s["at"] + F.length(x["0"])).alias("start"),
-                    F.lit(KINDS.index(kind)).alias("kind"),
-                    (s["at"] + F.length(x["0"]) + F.length(x["1"])).alias("end"),
-                    F.lit(strict).alias("strict"),
-                    x["1"].alias("body"),
-                )
+    """(start, kind, end, strict, body, 40 characters before, 1 after) of every match: matches are aligned with what lies between them."""
+
+    def placed(m: Column, g: Column, at: Column) -> Column:
+        return F.transform(
+            m,
+            lambda x, i: F.struct(
+                (F.get(at, i) + F.length(F.get(g, i))).alias("start"), F.lit(KINDS.index(kind)).alias("kind"), F.get(at, i + 1).alias("end"), F.lit(strict).alias("strict"), x.alias("body"),
+                F.right(F.concat(F.coalesce(F.get(m, i - 1), F.lit("")), F.get(g, i)), F.lit(40)).alias("before"), F.left(F.concat(F.get(g, i + 1), F.coalesce(F.get(m, i + 1), F.lit(""))), F.lit(1)).alias("after"),
             ),
-        ).alias("out"),
-    )
-    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,kind:int,end:int,strict:boolean,body:string>>").alias("out")).cast(state)
-    pairs = F.zip_with(F.slice(between, F.lit(1), F.size(matches)), matches, lambda a, b: F.struct(a.alias("0"), b.alias("1")))
-    spans = F.aggregate(pairs, none, lambda s, x: step(s, x).cast(state))["out"]
+        )
+
+    both = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, F.lit(pattern), -1).alias("g"))
+    lengths = lambda m, g: F.transform(m, lambda x, i: F.length(x) + F.length(F.get(g, i)))
+    spans = _let(both, lambda b: _let(_let(lengths(b["m"], b["g"]), lambda n: _running(n, 0, lambda s, x: s + x)), lambda at: placed(b["m"], b["g"], at))).cast(f"array<{_SPAN}>")
     if strict:
         spans = F.filter(spans, lambda x: _passes(kind, x["body"]))
     possible = F.contains(text, F.lit("@")) if hint == "@" else F.regexp_like(text, F.lit(hint))
-    return F.when(possible, spans).otherwise(none["out"])
+    return F.when(possible, spans).otherwise(F.array().cast(f"array<{_SPAN}>"))
+
+
+def _apart(loose: Column, base: Column) -> Column:
+    """The candidates that touch no base span."""
+    most = 2**31 - 1
+
+    def merged(every: Column) -> Column:
+        ends = F.transform(every, lambda x: F.when(x["strict"], x["end"]).otherwise(0))
+        begins = F.reverse(F.transform(every, lambda x: F.when(x["strict"], x["start"]).otherwise(most)))
+        before = _let(ends, lambda a: _running(a, 0, lambda p, q: F.greatest(p, q)))
+        after = _let(begins, lambda a: _running(a, most, lambda p, q: F.least(p, q)))
+        return _let(F.struct(before.alias("e"), after.alias("b")), lambda r: F.filter(every, lambda x, i: ~x["strict"] & (F.get(r["e"], i) <= x["start"]) & (F.get(r["b"], F.size(every) - i) >= x["end"])))
+
+    direct = F.filter(loose, lambda x: ~F.exists(base, lambda b: (x["start"] < b["end"]) & (b["start"] < x["end"])))
+    return F.when((F.size(loose) == 0) | (F.size(base) == 0), loose).when(F.size(loose).cast("long") * F.size(base) <= 1024, direct).otherwise(_let(F.array_sort(F.concat(base, loose)), merged))
 
 
 def _vote(yes: Column, no: Column) -> Column:
     return F.when(yes, 2).when(no, 1).otherwise(0)
 
 
-def _features(text: Column, x: Column) -> Column:
+def _features(x: Column) -> Column:
     """The span with its votes: v0 gazetteer, v1 words before, v2 checksum or count, v3 neighbours; size: a bucket of its length."""
-    before = F.substring(text, F.greatest(x["start"] - 39, F.lit(1)), F.least(x["start"], F.lit(40)))
-    left, right = F.right(before, F.lit(1)), F.substring(text, x["end"] + 1, F.lit(1))
+    before = x["before"]
+    left, right = F.right(before, F.lit(1)), x["after"]
     body, digits = x["body"], _digits(x["body"])
     is_kind = lambda k: x["kind"] == KINDS.index(k)
     rlike = lambda s, p: F.regexp_like(s, F.lit(p))
@@ -140,10 +173,9 @@ def labelled_spans(docs: DataFrame, text_col: str = "text", *keep: str) -> DataF
     given = docs.select(*keep, F.col(text_col).alias("_text"))
     base = F.concat(*[_found(text, k, PATTERNS[k], _HINT[k], True) for k in KINDS])
     loose = F.concat(*[_found(text, k, LOOSE[k], _LOOSE_HINT[k], False) for k in KINDS])
-    found = given.select(*keep, "_text", base.alias("_base"), loose.alias("_loose"))
-    apart = F.filter("_loose", lambda x: ~F.exists("_base", lambda b: (x["start"] < b["end"]) & (b["start"] < x["end"])))
-    every = F.array_sort(F.concat("_base", apart))
-    return found.select(*keep, F.transform(every, lambda x: _features(text, x)).alias("spans"))
+    found = given.select(*keep, base.alias("_base"), loose.alias("_loose"))
+    every = F.array_sort(F.concat("_base", _apart(F.col("_loose"), F.col("_base"))))
+    return found.select(*keep, F.transform(every, _features).alias("spans"))
 
 
 _VOTERS = ("strict", "v0", "v1", "v2", "v3")

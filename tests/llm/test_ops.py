@@ -395,6 +395,31 @@ def test_personal_base_spans_of_mixed_parts(spark):
         assert [f"{s['kind']}:{s['start']}:{s['end']}" for s in r["spans"] if s["base"]] == brute_personal(texts[r["doc_id"]]), texts[r["doc_id"]]
 
 
+def test_personal_spans_of_many_matches(spark):
+    import random
+    import time
+
+    rng = random.Random(6)
+    kinds = ["10.0.0.%d, ", "me%d@site.org; ", "call (415) 555-%04d or ", "+49 30 12345%03d x ", "bob%d (at) site (dot) com\n", "é word %d "]
+    for n in (40, 700):
+        text = "".join(rng.choice(kinds) % rng.randint(0, 255) for _ in range(n))
+        (row,) = PI.labelled_spans(spark.createDataFrame([(text,)], "text string")).collect()
+        assert [f"{PI.KINDS[s['kind']]}:{s['start']}:{s['end']}" for s in row["spans"] if s["strict"]] == brute_personal(text)
+        base, loose = [(s["start"], s["end"]) for s in row["spans"] if s["strict"]], {(s["start"], s["end"]) for s in row["spans"] if not s["strict"]}
+        want = set()
+        for name, p in PI.LOOSE.items():
+            for m in re.finditer(p.replace("(?i)", ""), text, re.I if "(?i)" in p else 0):
+                if not any(m.start() < e and s < m.end() for s, e in base):
+                    want.add(m.span())
+        assert loose == want and len(loose) > n / 10
+    text = "".join(f"{k % 256}.0.{k % 199}.1 " for k in range(100_000))
+    docs = spark.createDataFrame([(text,)], "text string").withColumn("doc_id", F.lit(1)).cache()
+    docs.count()
+    began = time.time()
+    assert PI.personal_data(docs).select(F.size("spans").alias("n")).head()["n"] == 100_000
+    assert time.time() - began < 60
+
+
 def test_personal_candidates_are_added(spark):
     rows = [(k, f"please call us: +1 (415) 555-{1000 + k} or email me{k}@site{k}.com today") for k in range(60)] + [(k, f"please call us: (415) 555-{1000 + k} today") for k in range(60, 90)]
     found = PI.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()
