@@ -2,46 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
 
 from planquant.llm.common import cut
 
 #: Labels fall by pointer jumping, so a path of n nodes takes about log2(n) rounds; this many reach any graph that fits.
 MOST_ROUNDS = 64
-#: Rounds between two cuts of the lineage.
-CUT_EVERY = 6
+#: Rows of labels in a partition, at least, so that a small graph doesn't leave a file for every shuffle partition and round.
+ROWS = 200_000
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of edges (a, b); root is the smallest node of its component.
 
     A round lowers every node's label to the least among its neighbours', then to the label of the node so named. Joins
-    are on node and label, sums are minima with map-side combining: a hot node never gathers its neighbours. Rounds are
-    kept on the executors' disks, and made again from what came before where one is lost; the result, and every
-    `CUT_EVERY`th round, goes to the shared folder."""
-    keep = lambda df: df.persist(StorageLevel.DISK_ONLY)
+    are on node and label, sums are minima with map-side combining: a hot node never gathers its neighbours. Every round goes
+    to the shared folder, in as many parts as its rows need."""
     there = edges.filter("a <> b").select("a", "b")
-    both = keep(there.union(there.select(F.col("b"), F.col("a"))).distinct())
-    labels = keep(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("root")))
-    held = [both, labels]
-    try:
-        for k in range(1, MOST_ROUNDS + 1):
-            named = labels.select(F.col("node").alias("b"), F.col("root").alias("label"))
-            near = both.join(named, "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-            lower = labels.join(near, "node").select("node", F.least("root", "near").alias("root"), F.col("root").alias("was"))
-            jumped = lower.join(labels.select(F.col("node").alias("root"), F.col("root").alias("next")), "root", "left")
-            after = jumped.select("node", F.least("root", F.coalesce("next", "root")).alias("root"), "was")
-            after = keep(after) if k % CUT_EVERY else cut(after)
-            # A full count, so that every partition of the round is there before the last one's goes.
-            changed = after.filter("root <> was").count()
-            for old in held[1:]:
-                old.unpersist()
-            held[1:] = [after]
-            labels = after.select("node", "root")
-            if not changed:
-                return cut(labels)
-    finally:
-        for x in held:
-            x.unpersist()
+    both = cut(there.union(there.select(F.col("b"), F.col("a"))).distinct())
+    parts = max(both.sparkSession.sparkContext.defaultParallelism, -(-both.count() // ROWS))
+    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("root")).coalesce(parts))
+    for _ in range(MOST_ROUNDS):
+        named = labels.select(F.col("node").alias("b"), F.col("root").alias("label"))
+        near = both.join(named, "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        lower = labels.join(near, "node").select("node", F.least("root", "near").alias("root"), F.col("root").alias("was"))
+        jumped = lower.join(labels.select(F.col("node").alias("root"), F.col("root").alias("next")), "root", "left")
+        after = cut(jumped.select("node", F.least("root", F.coalesce("next", "root")).alias("root"), "was").coalesce(parts))
+        changed = after.filter("root <> was").limit(1).count()
+        labels = after.select("node", "root")
+        if not changed:
+            return labels
     raise RuntimeError("components: labels still fall")
