@@ -3,11 +3,13 @@
 Base kinds, found in every whole text: assign, access, hex (see `base_spans`). The worklist starts with the text
 itself and takes, from each layer, the layers below it:
 
-* the layer with every run of URL escapes (%41) or Unicode escapes (\\u0041, \\x41) replaced, position by position;
-* every base64 run (19 characters or more, as many as the shortest match has; both alphabets) that decodes as UTF-8,
-  whatever its characters, or to zlib or gzip data that inflates, once or more often, to such text, as a layer of its
-  own. Inflated text is scanned whole, in parts of about `STEP` bytes, cut where no match can cross; only an unbroken
-  run longer than that is held whole.
+* the layer with every run of URL escapes (%41), or of Unicode escapes (\\u0041, \\x41), replaced once, position by position;
+* the layer in which escapes of both kinds are replaced until none is left, escapes of escapes included. A stack does so in
+  one pass over the characters that an escape can have, so a chain of any depth takes time in proportion to its length;
+* every base64 run (19 characters or more, as many as the shortest match has; both alphabets) as a layer of its own: the
+  text that its bytes are (UTF-8, or byte by byte where they are no UTF-8), or what they inflate to as zlib or gzip
+  data, once or more often. Inflated data is scanned whole, in parts of about `STEP` bytes, cut where no match can
+  cross; only an unbroken run longer than that is held whole.
 
 A layer whose digest has been seen is not opened again, so cycles end; the rest ends as each step shortens the text
 or unpacks it. A match found in a lower layer becomes a span over the characters of the original text from which
@@ -30,7 +32,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from planquant.llm.common import arrow_map, slices
+from planquant.llm.common import Kept, arrow_map, slices
 
 KINDS = ("assign", "access", "hex")
 #: Bytes inflated at a time; no bound on what is inflated.
@@ -44,6 +46,8 @@ _HEX = re.compile(r"[0-9a-f]{32,}")
 
 _URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2})+")
+#: Characters that an escape, or an escape of an escape, can go on with.
+_REGION = re.compile(r"[%\\][%\\0-9A-Fa-fxu]*")
 _COMPRESSED = re.compile(rb"\x1f\x8b|\x78")
 #: Up to the last character that is in no match, escape or base64 run, or a blank between words that no escape touches.
 _LAST_CUT = re.compile(r"""(?s:.*)(?:[^A-Za-z0-9+/_.=\-"'\x20:%\\]|\x20[A-Za-z0-9]+\x20(?=[A-Za-z0-9]))""")
@@ -81,7 +85,7 @@ class Layer:
         a, b = self.pieces[i], self.pieces[j]
         first = a[2] if a[4] else a[2] + start - a[0]
         last = b[3] if b[4] else b[2] + end - b[0]
-        return first, last, any(p[4] for p in self.pieces[i : j + 1])
+        return first, last, any(self.pieces[k][4] for k in range(i, j + 1))
 
 
 def _inflated(parts: Iterator[bytes]) -> Iterator[bytes]:
@@ -117,9 +121,9 @@ def _opened(data: bytes, depth: int) -> Iterator[bytes]:
     return parts
 
 
-def _cut(parts: Iterator[bytes]) -> Iterator[str]:
-    """UTF-8 as parts of text, cut only where no match and no run can go on in any layer."""
-    decoder, held = codecs.getincrementaldecoder("utf-8")(), []
+def _cut(parts: Iterator[bytes], encoding: str) -> Iterator[str]:
+    """Parts of text, cut only where no match and no run can go on in any layer."""
+    decoder, held = codecs.getincrementaldecoder(encoding)(), []
     for part in parts:
         text = decoder.decode(part)
         if m := _LAST_CUT.match(text):
@@ -133,8 +137,9 @@ def _cut(parts: Iterator[bytes]) -> Iterator[str]:
 def _texts(data: bytes) -> Iterator[str]:
     """The text that the data is, and those of all layers of zlib or gzip data inside each other, in parts.
 
-    Each layer is read once for its digest and whether it is text, then again for the text; it is held only where it
-    is no longer than `STEP` or what it came from. Layers seen before end the chain."""
+    Each layer is read once for its digest and whether it is UTF-8, then again for the text; it is held only where it
+    is no longer than `STEP` or what it came from. Layers seen before end the chain. The innermost layer counts as text
+    byte by byte if it is no UTF-8."""
     depth, seen = 0, set()
     while True:
         decoder, digest, head, kept, size, text = codecs.getincrementaldecoder("utf-8")(), hashlib.sha256(), b"", [], 0, True
@@ -159,8 +164,9 @@ def _texts(data: bytes) -> Iterator[str]:
         seen.add(digest.digest())
         if kept is not None:
             data, depth = b"".join(kept), 0
-        if text and not decoder.getstate()[0]:
-            yield from _cut(_opened(data, depth))
+        text = text and not decoder.getstate()[0]
+        if text or not _COMPRESSED.match(head):
+            yield from _cut(_opened(data, depth), "utf-8" if text else "latin-1")
         if not _COMPRESSED.match(head):
             return
         depth += 1
@@ -174,13 +180,7 @@ def _base64_texts(run: str) -> Iterator[str]:
         data = base64.b64decode(body + "=" * (-len(body) % 4))
     except (binascii.Error, ValueError):
         return
-    if _COMPRESSED.match(data):
-        yield from _texts(data)
-        return
-    try:
-        yield data.decode()
-    except UnicodeDecodeError:
-        return
+    yield from _texts(data)
 
 
 def _escaped(run: str) -> list[tuple[int, int, str]] | None:
@@ -206,46 +206,126 @@ def _escaped(run: str) -> list[tuple[int, int, str]] | None:
     return out
 
 
-def _unescaped(layer: Layer, pattern: re.Pattern) -> Layer | None:
-    """The layer with what `pattern` finds replaced; None if that changes nothing."""
-    text, pieces, at, n, done = [], [], 0, 0, False
+def _rewritten(layer: Layer, changes: list[tuple[int, int, list[tuple[int, int, str, bool]]]]) -> Layer:
+    """The layer with each [start, end) replaced by characters, each of which stands for [a, b); the others stay as they are."""
+    text, pieces, n, p = [], [], 0, 0
 
     def keep(a: int, b: int) -> None:
-        nonlocal n
-        while a < b:  # by the pieces of the layer above
-            from bisect import bisect_right
-
-            p = layer.pieces[bisect_right(layer.starts, a) - 1]
-            c = min(b, p[1])
-            pieces.append((n, n + c - a, *((p[2], p[3], True) if p[4] else (p[2] + a - p[0], p[2] + c - p[0], False))))
+        """Copies [a, b), by the pieces of the layer above; calls come in order."""
+        nonlocal n, p
+        while a < b:
+            while layer.pieces[p][1] <= a:
+                p += 1
+            x = layer.pieces[p]
+            c = min(b, x[1])
+            pieces.append((n, n + c - a, *((x[2], x[3], True) if x[4] else (x[2] + a - x[0], x[2] + c - x[0], False))))
             text.append(layer.text[a:c])
             n, a = n + c - a, c
 
-    for m in pattern.finditer(layer.text):
-        if found := _escaped(m[0]):
-            keep(at, m.start())
-            for a, b, c in found:
-                first, last, _ = layer.original(m.start() + a, m.start() + b)
-                pieces.append((n, n + 1, first, last, True))
-                text.append(c)
-                n += 1
-            at, done = m.end(), True
-    if not done:
-        return None
+    at = 0
+    for start, end, found in changes:
+        keep(at, start)
+        for a, b, c, decoded in found:
+            if not decoded:
+                keep(a, b)
+                continue
+            first, last, _ = layer.original(a, b)
+            pieces.append((n, n + 1, first, last, True))
+            text.append(c)
+            n += 1
+        at = end
     keep(at, len(layer.text))
     return Layer("".join(text), pieces)
 
 
-def _below(layer: Layer):
-    if "%" in layer.text and (x := _unescaped(layer, _URL)):
-        yield x
-    if "\\" in layer.text and (x := _unescaped(layer, _UNICODE)):
-        yield x
+def _unescaped(layer: Layer, pattern: re.Pattern) -> Layer | None:
+    """The layer with what `pattern` finds replaced once; None if that changes nothing."""
+    changes = [(m.start(), m.end(), [(m.start() + a, m.start() + b, c, True) for a, b, c in found]) for m in pattern.finditer(layer.text) if (found := _escaped(m[0]))]
+    return _rewritten(layer, changes) if changes else None
+
+
+_HEX_DIGITS = frozenset("0123456789abcdefABCDEF")
+
+
+def _reduced(region: str) -> list[tuple[int, int, str, bool]] | None:
+    """(start, end, character, decoded) of a region with escapes replaced until none is left; None if it has none.
+
+    Bytes that are no UTF-8 together stay as they were written."""
+    stack: list[tuple[int, int, str | int, bool]] = []
+    done = False
+
+    def code(k: int) -> int | None:
+        """The number that the last k items write in hexadecimal."""
+        if len(stack) < k or any(x[2] not in _HEX_DIGITS for x in stack[-k:]):
+            return None
+        return int("".join(x[2] for x in stack[-k:]), 16)
+
+    for at, c in enumerate(region):
+        stack.append((at, at + 1, c, False))
+        while stack[-1][2] in _HEX_DIGITS:
+            if len(stack) > 2 and stack[-3][2] == "%" and (n := code(2)) is not None:
+                new, size = n if n > 127 else chr(n), 3
+            elif len(stack) > 3 and stack[-3][2] == "x" and stack[-4][2] == "\\" and (n := code(2)) is not None:
+                new, size = chr(n), 4
+            elif len(stack) > 5 and stack[-5][2] == "u" and stack[-6][2] == "\\" and (n := code(4)) is not None:
+                new, size = chr(n), 6
+                if 0xDC00 <= n < 0xE000 and len(stack) > 6 and isinstance(high := stack[-7][2], str) and "\ud800" <= high < "\udc00":
+                    new, size = chr(0x10000 + ((ord(high) - 0xD800) << 10) + n - 0xDC00), 7
+            else:
+                break
+            first, done = stack[-size][0], True
+            del stack[-size:]
+            stack.append((first, at + 1, new, True))
+    if not done:
+        return None
+    out: list[tuple[int, int, str, bool]] = []
+    k = 0
+    while k < len(stack):
+        a, b, c, decoded = stack[k]
+        if isinstance(c, str):
+            out.append((a, b, "\ufffd" if "\ud800" <= c < "\ue000" else c, decoded))
+            k += 1
+            continue
+        end = k
+        while end < len(stack) and isinstance(stack[end][2], int):
+            end += 1
+        run = stack[k:end]
+        try:
+            text = bytes(x[2] for x in run).decode()
+        except UnicodeDecodeError:
+            out += [(p, p + 1, region[p], False) for p in range(run[0][0], run[-1][1])]
+        else:
+            i = 0
+            for c in text:
+                n = len(c.encode())
+                out.append((run[i][0], run[i + n - 1][1], c, True))
+                i += n
+        k = end
+    return out
+
+
+def _fully_unescaped(layer: Layer) -> Layer | None:
+    """The layer with escapes replaced until none is left; None if there are none."""
+    replaced = [(m.start(), x) for m in _REGION.finditer(layer.text) if len(m[0]) > 2 and (x := _reduced(m[0]))]
+    if not replaced:
+        return None
+    return _rewritten(layer, [(at + x[0][0], at + x[-1][1], [(at + a, at + b, c, d) for a, b, c, d in x]) for at, x in replaced])
+
+
+def _below(layer: Layer, escapes: bool):
+    """Layers below, each with whether its own escapes are still to be replaced."""
+    if escapes:
+        if "%" in layer.text and (x := _unescaped(layer, _URL)):
+            yield x, False
+        if "\\" in layer.text and (x := _unescaped(layer, _UNICODE)):
+            yield x, False
+        if (x := _fully_unescaped(layer)) is not None:
+            yield x, False
     for m in _BASE64.finditer(layer.text):
         if not _PLAIN.fullmatch(m[0]):
             first, last, _ = layer.original(m.start(), m.end())
             for text in _base64_texts(m[0]):
-                yield Layer(text, [(0, len(text), first, last, True)])
+                yield Layer(text, [(0, len(text), first, last, True)]), True
 
 
 def decoded_spans(text: str) -> set[tuple[int, int, int]]:
@@ -254,18 +334,19 @@ def decoded_spans(text: str) -> set[tuple[int, int, int]]:
         return set()
     found: set[tuple[int, int, int]] = set()
     seen = {hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest()}
-    work = [_below(Layer(text, [(0, len(text), 0, len(text), False)]))]
+    work = [_below(Layer(text, [(0, len(text), 0, len(text), False)]), True)]
     while work:
-        if (x := next(work[-1], None)) is None:
+        if (item := next(work[-1], None)) is None:
             work.pop()
             continue
+        x, escapes = item
         if not x.text:
             continue
         key = hashlib.sha256(x.text.encode("utf-8", "surrogatepass") + repr((x.pieces[0][2], x.pieces[-1][3])).encode()).digest()
         if key in seen:
             continue
         seen.add(key)
-        work.append(_below(x))
+        work.append(_below(x, escapes))
         for start, kind, end in base_spans(x.text):
             first, last, decoded = x.original(start, end)
             if decoded:
@@ -280,6 +361,7 @@ def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """doc_id and spans (kind, start, end, decoded) of every row, by start, then kind, then end."""
 
     def run(batches):
+        Kept.mine("secret_scan")
         for batch in batches:
             for part in slices(batch):
                 rows = []

@@ -237,6 +237,50 @@ def test_secret_shortest_base64(end):
     assert S.decoded_spans(f"data {run}{end} z") == {(5, 0, 5 + len(run + end))}
 
 
+def unescaped_to_the_end(text):
+    """One escape after the other, the first that ends first, until there is none; a byte over 127 stands for itself."""
+    while m := min(re.finditer(r"%([0-9A-Fa-f]{2})|\\x([0-9A-Fa-f]{2})|\\u([0-9A-Fa-f]{4})", text), key=lambda m: m.end(), default=None):
+        text = text[: m.start()] + chr(int(m[1] or m[2] or m[3], 16)) + text[m.end() :]
+    return text
+
+
+def test_secret_escapes_are_replaced_to_the_end():
+    import random
+
+    rng = random.Random(3)
+    parts = ["%", "2", "5", "%25", "%34", "1", "\\", "x", "u", "0041", "\\x25", "%5C", "%75", "A", "g", " ", "%2", "\\u00", "b"]
+    for _ in range(4000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(1, 16)))
+        layer = S._fully_unescaped(S.Layer(text, [(0, len(text), 0, len(text), False)]))
+        got = layer.text if layer else text
+        want = unescaped_to_the_end(text)
+        if want.isascii():
+            assert got == want, text
+        if layer:
+            assert [p[0] for p in layer.pieces[1:]] == [p[1] for p in layer.pieces[:-1]] and layer.pieces[-1][1] == len(got)
+            assert [p[2] for p in layer.pieces[1:]] == [p[3] for p in layer.pieces[:-1]] and layer.pieces[-1][3] == len(text)
+    smile = S._fully_unescaped(S.Layer("\\ud83d\\ude00 \\ud83d", [(0, 19, 0, 19, False)]))
+    assert smile.text == "\U0001f600 \ufffd"
+
+
+def test_secret_chains_take_time_in_proportion():
+    import time
+
+    for text, span in (("token%" + "25" * 500_000 + "3Dabcdefgh12", None), ("token%2" + "%3" * 300_000 + "5" + "3Aabcdefgh12", None), ("secret=abcd" + "%41" * 200_000, None)):
+        began = time.time()
+        assert (0, 0, len(text)) in S.decoded_spans(text)
+        assert time.time() - began < 20
+
+
+def test_secret_in_bytes_that_are_no_text():
+    import base64
+
+    run = base64.b64encode(b"\xff\xfe\x00 password = hunter2hunter2 \x81").decode()
+    assert S.decoded_spans(f"data {run} z") == {(5, 0, 5 + len(run))}
+    run = base64.b64encode(zlib.compress(b"\xff\xfe\x00 password = hunter2hunter2 \x81")).decode()
+    assert S.decoded_spans(f"data {run} z") == {(5, 0, 5 + len(run))}
+
+
 def test_secret_worklist_ends():
     assert S.decoded_spans("%2525252541 " * 50) == set()
     assert isinstance(S.decoded_spans("A" * 100_000), set)
