@@ -72,20 +72,22 @@ def dedup_lines(docs: DataFrame, over_words: int = OVER_WORDS, id_col: str = "do
     columns = [c for c in (columns if columns is not None else docs.columns) if c not in ("n_lines", "n_removed")]
     others = [c for c in columns if c not in (id_col, text_col)]
     given = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"), F.col(text_col).alias("text"), *([F.struct(*others).alias("rest")] if others else []))
-    texts = given.withColumn("row", _row("id", "hash"))
+    # Both uses of the texts below read this one shuffle: in an array no column of a use can be left out of its own.
+    texts = given.select(_row("id", "hash").alias("row"), F.array(F.struct("id", "text", *(["rest"] if others else []))).alias("given"))
+    of = lambda c: F.col("given")[0][c].alias(c)
 
     places = shared_table(_places(docs, over_words, modulus, id_col, text_col), "chunks")
     kept = places.groupBy("key").agg(F.min(F.struct("id", "hash", "first", "last")).alias("kept"), F.count(F.lit(1)).alias("n")).filter("n > 1")
 
     # The bytes of each kept chunk, from its own text; rows that repeat a text give them once.
     of_text = kept.select(_row("kept.id", "kept.hash").alias("row"), "key", "kept.*").groupBy("row").agg(F.collect_list(F.struct("key", "id", "hash", "first", "last")).alias("chunks"))
-    one = texts.select("row", "text").join(of_text, "row").groupBy("row").agg(F.any_value("text").alias("text"), F.any_value("chunks").alias("chunks"))
-    bodies = one.select(F.split("text", "\n").alias("lines"), F.explode("chunks").alias("c")).select(F.col("c.key").alias("of_key"), F.struct("c.id", "c.hash", "c.first").alias("kept"), F.expr(_BODY).alias("body"))
+    one = texts.join(of_text, "row").groupBy("row").agg(F.any_value("given").alias("given"), F.any_value("chunks").alias("chunks"))
+    bodies = one.select(F.split(of("text"), "\n").alias("lines"), F.explode("chunks").alias("c")).select(F.col("c.key").alias("of_key"), F.struct("c.id", "c.hash", "c.first").alias("kept"), F.expr(_BODY).alias("body"))
 
     # Every other place of the chunk, held against those bytes where its own text is.
     more = places.join(bodies, F.col("key") == F.col("of_key")).filter(~F.struct("id", "hash", "first").eqNullSafe(F.col("kept")))
     claims = more.select(_row("id", "hash").alias("row"), F.struct("first", "last", "body").alias("claim")).groupBy("row").agg(F.collect_set("claim").alias("claims"))
-    joined = texts.join(claims, "row", "left").select("id", "text", *(["rest"] if others else []), "claims", F.split("text", "\n").alias("lines"))
+    joined = texts.join(claims, "row", "left").select(of("id"), of("text"), *([of("rest")] if others else []), "claims", F.split(of("text"), "\n").alias("lines"))
     true = F.expr(f"filter(claims, c -> c.body = {_BODY})")
     gone = F.expr("array_distinct(flatten(transform(true_claims, c -> sequence(c.first, c.last))))")
     left = F.expr("if(size(gone) > 0, array_join(transform(array_except(sequence(0, size(lines) - 1), gone), i -> lines[i]), '\\n'), text)")
