@@ -379,15 +379,55 @@ def test_language_id(spark, odd, empty):
     assert {r["lang_pred"] for r in L.identify(odd, nothing).collect()} == {"und"}
 
 
-def test_code_lengths_are_probabilities():
-    c, _ = L.codes([tongue(0, 1).encode(), "éàü".encode()])
-    n = np.bincount(c)
-    u = np.flatnonzero(n)
-    t = L.Tables(["x"], [(u, n[u].astype(float))])
-    index = t.index()
-    for ctx in [0, 5, 3200, *(u[:50] // L.CLASSES)]:
-        total = sum(2.0 ** -(t.full[index[k] - 1, 0] if index[k] else t.escape[ctx, 0] + t.short[k % L.CLASSES**3, 0]) for k in range(ctx * L.CLASSES, (ctx + 1) * L.CLASSES))
-        assert abs(total - 1) < 1e-4
+def brute_code_length(counts, text):
+    """Bits of a text, byte by byte, straight from the definition; counts: {context: {byte: n}} of contexts of up to three bytes."""
+
+    def p(byte, ctx):
+        """Probability of a byte after a context, None below the empty one."""
+        if ctx is None:
+            return 1 / 256
+        seen, shorter = counts.get(ctx, {}), ctx[1:] if ctx else None
+        if not seen:
+            return p(byte, shorter)
+        n, d = sum(seen.values()), len(seen)
+        if byte in seen:
+            return seen[byte] / (n + d)
+        return d / (n + d) * p(byte, shorter) / (1 - sum(p(x, shorter) for x in seen))
+
+    full = bytes(3) + text
+    return sum(-np.log2(p(full[k], full[k - 3 : k])) for k in range(3, len(full)))
+
+
+def brute_counts(texts):
+    counts = {}
+    for t in texts:
+        full = bytes(3) + t
+        for k in range(3, len(full)):
+            for j in range(4):
+                own = counts.setdefault(full[k - j : k], {})
+                own[full[k]] = own.get(full[k], 0) + 1
+    return counts
+
+
+def test_code_lengths_equal_brute_force():
+    learned = [[tongue(k, s).encode() for s in range(3)] + ["éàü ß 漢字".encode() * (k + 1)] for k in range(3)]
+    tables = L.Tables(["a", "b", "c"], [np.unique(L.codes(x)[0].astype(np.int64), return_counts=True) for x in learned])
+    texts = [tongue(0, 9).encode(), b"", "é漢 zz\n".encode(), bytes(range(256)), tongue(2, 5).encode()[:7], b"qu\x00"]
+    want = np.array([[brute_code_length(brute_counts(x), t) for x in learned] for t in texts])
+    got = tables.bits(texts)
+    assert np.abs(got - want).max() < 1e-3 * want.max()
+    for q in (b"the", b"\xc3\xa9q", b"\x01\x02\x03"):
+        c = L.codes([q + bytes([x]) for x in range(256)])[0][3::4]
+        assert np.abs(np.exp2(-tables._cost(c)).sum(axis=0) - 1).max() < 1e-4
+
+
+def test_language_tables_are_bounded(spark):
+    rows = [(n, tongue(n % 3, n), ("en", "fr", "de")[n % 3]) for n in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    t = L.learn(docs, most_counts=200)
+    assert 0 < sum(len(x.keys) for x in t.seen[3:]) <= 200
+    got = L.identify(docs, t).filter("held_out").collect()
+    assert np.mean([r["lang_pred"] == ("en", "fr", "de")[r["doc_id"] % 3] for r in got]) > 0.9
 
 
 # Personal data.
