@@ -3,8 +3,9 @@
 Nine labellers vote good, bad or nothing on counts of the whole text. All documents are counted by vote pattern (at
 most 3^9 of them, so what is collected is bounded), and expectation-maximisation over two hidden classes gives each
 labeller's vote probabilities in either class and each pattern's posterior. The posteriors of the first `FIT_ROWS`
-documents (by a hash of their id) then train a logistic scorer on hashed words and hashed word shapes, as
-frequencies, so that it also judges texts on which the labellers are split. It scores every whole text.
+documents (by a hash of their id; one row for each id, as many as have `FIT_SLOTS` distinct slots together) then train a logistic
+scorer on hashed words and hashed word shapes, as frequencies, so that it also judges texts on which the labellers
+are split. It scores every whole text.
 
 Null and empty texts have no words: score 0, not kept. Repeated rows give repeated results; an empty table gives none.
 """
@@ -17,10 +18,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from planquant.llm.common import Kept, arrow_map, slices
+from planquant.llm.common import Kept, arrow_map, shared_table, slices
 from planquant.llm.text_stats import FEATURES, features, text_stats
 
 FIT_ROWS = 6_000
+#: Distinct slots (12 bytes each) of all texts that the scorer is fitted on; what reaches the driver has this bound.
+FIT_SLOTS = 4 << 20
 BITS = 16
 
 ABSTAIN, BAD, GOOD = 0, 1, 2
@@ -126,16 +129,14 @@ class Scorer:
         return float(1 / (1 + np.exp(-np.clip(self.bias + 2 * self.weights[s].mean(), -60, 60))))
 
 
-def train(rows: list[np.ndarray], y: np.ndarray, epochs: int = 6, rate: float = 0.5, decay: float = 1e-6) -> Scorer:
-    """Logistic regression on slot frequencies against soft labels, by AdaGrad in a fixed order."""
+def train(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, epochs: int = 6, rate: float = 0.5, decay: float = 1e-6) -> Scorer:
+    """Logistic regression on slot frequencies (slots and their counts, text by text) against soft labels, by AdaGrad in a
+    fixed order."""
     w, g2, bias, b2 = np.zeros(1 << BITS), np.full(1 << BITS, 1e-8), 0.0, 1e-8
-    bags = [np.unique(r, return_counts=True) for r in rows]
     order = np.random.RandomState(7)
     for _ in range(epochs):
-        for k in order.permutation(len(rows)).tolist():
-            if not len(rows[k]):
-                continue
-            at, x = bags[k][0], bags[k][1] * (2.0 / len(rows[k]))
+        for k in order.permutation(len(bags)).tolist():
+            at, x = bags[k][0], bags[k][1] * (2.0 / max(1, bags[k][1].sum()))
             miss = 1 / (1 + np.exp(-np.clip(bias + w[at] @ x, -60, 60))) - y[k]
             g = miss * x + decay * w[at]
             g2[at] += g * g
@@ -146,9 +147,10 @@ def train(rows: list[np.ndarray], y: np.ndarray, epochs: int = 6, rate: float =
 
 
 def patterns(docs: DataFrame, with_slots: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and vote pattern of every row that has words, and its slots."""
+    """doc_id and vote pattern of every row that has words, and its distinct slots with their counts."""
 
     def run(batches):
+        Kept.mine("quality_classifier")
         for batch in batches:
             for part in slices(batch):
                 texts = [t or b"" for t in part.column(1).cast(pa.binary()).to_pylist()]
@@ -157,11 +159,12 @@ def patterns(docs: DataFrame, with_slots: bool = False, id_col: str = "doc_id",
                 ids = part.column(0).filter(pa.array(some))
                 columns = [ids, pa.array(pattern(votes(features(stats[some]))))]
                 if with_slots:
-                    columns.append(pa.array([slots(t) for t, s in zip(texts, some, strict=True) if s], pa.list_(pa.int32())))
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "pattern", "slots"][: len(columns)])
+                    bags = [np.unique(slots(t), return_counts=True) for t, s in zip(texts, some, strict=True) if s]
+                    columns += [pa.array([x for x, _ in bags], pa.list_(pa.int32())), pa.array([n for _, n in bags], pa.list_(pa.int64())), pa.array([zlib.crc32(t) for t, s in zip(texts, some, strict=True) if s], pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "pattern", "slots", "counts", "crc"][: len(columns)])
 
     kind = docs.select(id_col).dtypes[0][1]
-    return arrow_map(docs.select(id_col, text_col), run, f"doc_id {kind}, pattern long" + ", slots array<int>" * with_slots)
+    return arrow_map(docs.select(id_col, text_col), run, f"doc_id {kind}, pattern long" + ", slots array<int>, counts array<long>, crc long" * with_slots)
 
 
 def label(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Labelling:
@@ -170,10 +173,23 @@ def label(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> La
     return Labelling(rows["pattern"].to_numpy(np.int64), rows["count"].to_numpy(np.int64))
 
 
-def fit(docs: DataFrame, labelling: Labelling, fit_rows: int = FIT_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Scorer:
+def fit(docs: DataFrame, labelling: Labelling, fit_rows: int = FIT_ROWS, fit_slots: int = FIT_SLOTS, id_col: str = "doc_id", text_col: str = "text") -> Scorer:
+    """A scorer fitted on the first `fit_rows` ids, as far as their texts have `fit_slots` distinct slots."""
     chosen = docs.select(F.col(id_col)).filter(F.col(id_col).isNotNull()).distinct().orderBy(F.xxhash64(id_col), id_col).limit(fit_rows)
-    rows = patterns(docs.join(F.broadcast(chosen), id_col, "left_semi"), True, id_col, text_col).toPandas().sort_values(["doc_id", "pattern"])
-    return train([np.asarray(s, dtype=np.int32) for s in rows["slots"]], labelling.posterior(rows["pattern"].to_numpy(np.int64)))
+    found = patterns(docs.join(F.broadcast(chosen), id_col, "left_semi"), True, id_col, text_col)
+    # Of an id with several texts, the one with the smallest checksum.
+    rows = shared_table(found.groupBy("doc_id").agg(F.min_by(F.struct("pattern", "slots", "counts"), F.struct("crc", "pattern")).alias("x")).select("doc_id", F.xxhash64("doc_id").alias("place"), "x.*"), "fit-rows")
+    sizes = sorted((r["place"], str(r["doc_id"]), r["n"]) for r in rows.select("place", "doc_id", F.size("slots").alias("n")).collect())
+    room = np.searchsorted(np.cumsum([n for _, _, n in sizes]), fit_slots, side="right")
+    last = sizes[room - 1][0] if room else None
+    if last is None:
+        return train([], np.zeros(0))
+    t = rows.filter(F.col("place") <= last).select("place", F.col("doc_id").cast("string").alias("doc_id"), "pattern", "slots", "counts").toArrow().combine_chunks()
+    order = sorted(range(len(t)), key=list(zip(t["place"].to_pylist(), t["doc_id"].to_pylist(), strict=True)).__getitem__)
+    column = lambda c: t[c].chunk(0) if t[c].num_chunks else pa.array([], t[c].type)
+    at, slot, n = (np.asarray(x) for x in (column("slots").offsets, column("slots").values, column("counts").values))
+    y = labelling.posterior(np.asarray(column("pattern"), dtype=np.int64))
+    return train([(slot[at[k] : at[k + 1]], n[at[k] : at[k + 1]]) for k in order], y[order])
 
 
 def classify(docs: DataFrame, scorer: Scorer, cut: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -181,6 +197,7 @@ def classify(docs: DataFrame, scorer: Scorer, cut: float = 0.5, id_col: str = "d
     held = docs.sparkSession.sparkContext.broadcast(scorer)
 
     def run(batches):
+        Kept.mine("quality_classifier")
         s = held.value
         for batch in batches:
             for part in slices(batch):

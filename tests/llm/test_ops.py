@@ -347,6 +347,31 @@ def test_labelling_finds_the_better_labellers():
     assert ((m.posterior(QC.pattern(v)) > 0.5) == truth).mean() > 0.95
 
 
+def test_scorer_equals_brute_force():
+    """One epoch of AdaGrad, weight by weight, and scores straight from the definition."""
+    texts = [prose(k, 30).encode() for k in range(6)] + [b"### $$$ spam spam"] * 2
+    y = np.array([1.0] * 6 + [0.0] * 2)
+    got = QC.train([np.unique(QC.slots(t), return_counts=True) for t in texts], y, epochs=1)
+    w, g2, bias, b2 = {}, {}, 0.0, 1e-8
+    for k in np.random.RandomState(7).permutation(len(texts)).tolist():
+        bag = {}
+        for word in texts[k].split():
+            shape = re.sub(rb"[0-9]", b"0", re.sub(rb"[a-z\x80-\xff]", b"a", re.sub(rb"[A-Z]", b"A", word)))[-6:]
+            for piece, odd_ in ((word, 0), (shape, 1)):
+                s = (zlib.crc32(piece) << 1 | odd_) & 0xFFFF
+                bag[s] = bag.get(s, 0) + 1
+        total = sum(bag.values())
+        x = {s: 2.0 * n / total for s, n in bag.items()}
+        miss = 1 / (1 + np.exp(-(bias + sum(w.get(s, 0.0) * v for s, v in x.items())))) - y[k]
+        for s, v in x.items():
+            g = miss * v + 1e-6 * w.get(s, 0.0)
+            g2[s] = g2.get(s, 1e-8) + g * g
+            w[s] = w.get(s, 0.0) - 0.5 * g / np.sqrt(g2[s])
+        b2 += miss * miss
+        bias -= 0.5 * miss / np.sqrt(b2)
+    assert abs(got.bias - bias) < 1e-9 and all(abs(got.weights[s] - v) < 1e-9 for s, v in w.items()) and np.count_nonzero(got.weights) == len(w)
+
+
 def test_quality_classifier(spark, odd, empty):
     docs, _ = labelled(spark)
     s = QC.fit(docs, QC.label(docs))
@@ -354,6 +379,11 @@ def test_quality_classifier(spark, odd, empty):
     assert np.mean([got[k] == (k % 3 > 0) for k in got]) > 0.98
     o = {r["doc_id"]: r for r in QC.classify(odd, s).collect()}
     assert o[0]["score"] == 0 and not o[1]["kept"]
+    # One row for each id, whatever the order and however often it occurs; as many ids as the bound on slots allows.
+    again = docs.unionByName(docs.withColumn("text", F.concat("text", F.lit(" more")))).unionByName(docs).repartition(3)
+    assert np.isfinite(QC.fit(again, QC.label(docs)).weights).all()
+    assert (QC.fit(docs.repartition(5), QC.label(docs)).weights == s.weights).all()
+    assert (QC.fit(docs, QC.label(docs), fit_slots=10).weights == 0).all() and (QC.fit(docs, QC.label(docs), fit_slots=500).weights != s.weights).any()
     assert QC.classify(empty, QC.fit(empty, QC.label(empty))).count() == 0
 
 
