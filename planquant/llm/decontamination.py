@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from planquant.llm.common import arrow_map, slices
+from planquant.llm.common import Kept, arrow_map, slices
 
 SHARD_BYTES = 16 << 20
 WINDOW = 13
@@ -87,14 +87,11 @@ def original_spans(text: str, ranges) -> list[dict]:
     return [{"start": at[a][0], "end": at[b - 1][1]} for a, b in ranges]
 
 
-_built: tuple = ()
+_built = Kept("decontamination", 1)
 
 
 def _automaton(key: str, items, size: int) -> Automaton:
-    global _built
-    if not _built or _built[0] != key:
-        _built = (key, Automaton(items.value, size))
-    return _built[1]
+    return _built[key] if key in _built else _built.put(key, Automaton(items.value, size))
 
 
 def _merged(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -132,6 +129,7 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
         last = k == n - 1
 
         def run(batches, key=key, held=held, first=k == 0, last=last):
+            Kept.mine("decontamination")
             find = _automaton(key, held, size)
             for batch in batches:
                 for part in slices(batch):

@@ -1,11 +1,13 @@
 """Quality rules: fixed rules first, then gradient-boosted trees over document statistics.
 
-The trees are fitted on at most `FIT_ROWS` labelled documents (the first by a hash of their id), as depth-limited
-trees over quantile bins with Newton leaf values. Features in `FALLING` may only lower the score as they grow: a
+At most `FIT_ROWS` labelled documents (the first by a hash of their id) are taken; a fifth of them, by another hash, is
+held out. The trees are fitted on the others, as depth-limited trees over quantile bins with Newton leaf values. Features in `FALLING` may only lower the score as they grow: a
 split that would break this is refused and children's values stay on their side of the split's midpoint. The fitted
 model is flattened into numpy node arrays (feature, threshold, left, right, value), and a batch of rows walks
 all trees level by level. The verdict keeps a document whose probability of good quality is at least the cut:
-the lower of 0.5 and the `KEEP`-quantile of good documents in the fitting sample, so that clean documents stay.
+the lower of 0.5 and the `KEEP`-quantile of the good documents held out that pass the base rules, so that clean documents
+stay. `Trees.held_out` has the number of held-out documents, and of their good ones the share that is kept (recall) and the
+share of the kept ones that are good (precision), base rules included.
 
 Null and empty texts have no words and fail the base rule (under 50 words). Without usable labels of both classes the
 base rule alone decides. Repeated rows give repeated results; an empty table gives none; labels that are null,
@@ -18,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from planquant.llm.common import arrow_map, slices
+from planquant.llm.common import Kept, arrow_map, slices
 from planquant.llm.text_stats import FEATURES, NAMES, features, text_stats
 
 FIT_ROWS = 20_000
@@ -33,6 +35,7 @@ class Trees:
     def __init__(self, feature, threshold, left, right, value, n_trees: int, depth: int, base: float, cut: float):
         self.feature, self.threshold, self.left, self.right, self.value = feature, threshold, left, right, value
         self.n_trees, self.depth, self.base, self.cut = n_trees, depth, base, cut
+        self.held_out: dict[str, float] = {}
 
     def score(self, x: np.ndarray) -> np.ndarray:
         """Probability of good quality, row by row."""
@@ -46,7 +49,7 @@ class Trees:
         return 1 / (1 + np.exp(-total))
 
 
-def fit(x: np.ndarray, y: np.ndarray, n_trees: int = 60, depth: int = 3, rate: float = 0.2, bins: int = 64, least: float = 5.0, ridge: float = 1.0, falling: tuple[str, ...] = FALLING, keep: float = KEEP) -> Trees | None:
+def fit(x: np.ndarray, y: np.ndarray, n_trees: int = 60, depth: int = 3, rate: float = 0.2, bins: int = 64, least: float = 5.0, ridge: float = 1.0, falling: tuple[str, ...] = FALLING) -> Trees | None:
     """Boosted trees on the logistic loss; None if y has one class."""
     if len(y) == 0 or y.min() == y.max():
         return None
@@ -94,9 +97,23 @@ def fit(x: np.ndarray, y: np.ndarray, n_trees: int = 60, depth: int = 3, rate: f
                 work.append((len(nodes), rows[s], level + 1, lo, hi))
                 nodes.append([0, np.inf, len(nodes), len(nodes), 0.0])
     feature, threshold, left, right, value = (np.array(c) for c in zip(*nodes, strict=True))
-    out = Trees(feature.astype(np.int32), threshold, left.astype(np.int32), right.astype(np.int32), value, n_trees, depth, base, 0.5)
-    out.cut = min(0.5, float(np.quantile(out.score(x[y == 1]), keep)))
-    return out
+    return Trees(feature.astype(np.int32), threshold, left.astype(np.int32), right.astype(np.int32), value, n_trees, depth, base, 0.5)
+
+
+def base_failed(stats: np.ndarray) -> np.ndarray:
+    """Which rows of counts, in the order of NAMES, the fixed rules reject."""
+    return (stats[:, 0] < MIN_WORDS) | (100 * stats[:, 4] > 50 * stats[:, 0])
+
+
+def judged(trees: Trees, stats: np.ndarray, y: np.ndarray, keep: float = KEEP) -> Trees:
+    """The trees with their cut and figures from held-out documents."""
+    score, passed = trees.score(features(stats)), ~base_failed(stats)
+    good = passed & (y == 1)
+    if good.any():
+        trees.cut = min(0.5, float(np.quantile(score[good], keep, method="lower")))
+    kept = passed & (score >= trees.cut)
+    trees.held_out = {"rows": float(len(y)), "recall": float(kept[y == 1].mean()) if (y == 1).any() else 1.0, "precision": float(y[kept].mean()) if kept.any() else 1.0, "bad_kept": float(kept[y == 0].mean()) if (y == 0).any() else 0.0}
+    return trees
 
 
 def stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -119,11 +136,14 @@ def first_labelled(labels: DataFrame, label_col: str, rows: int, id_col: str = "
 
 
 def fit_on(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Trees | None:
-    """Trees fitted on the first `fit_rows` labelled documents."""
+    """Trees fitted on four fifths of the first `fit_rows` labelled documents, their cut set on the fifth held out."""
     chosen = first_labelled(labels, "quality", fit_rows)
     found = stats(docs.join(F.broadcast(chosen.select(F.col("doc_id").alias(id_col))), id_col, "left_semi"), id_col, text_col)
-    rows = found.dropDuplicates(["doc_id"]).join(F.broadcast(chosen), "doc_id").select("doc_id", *NAMES, "y").toPandas().sort_values("doc_id")
-    return fit(features(rows[list(NAMES)].to_numpy(np.int64).reshape(-1, len(NAMES))), rows["y"].to_numpy(np.float64))
+    known = found.dropDuplicates(["doc_id"]).join(F.broadcast(chosen), "doc_id")
+    rows = known.select("doc_id", *NAMES, "y", (F.pmod(F.hash("doc_id"), F.lit(5)) == 0).alias("held_out")).toPandas().sort_values("doc_id")
+    counts, y, out = rows[list(NAMES)].to_numpy(np.int64).reshape(-1, len(NAMES)), rows["y"].to_numpy(np.float64), rows["held_out"].to_numpy(bool)
+    trees = fit(features(counts[~out]), y[~out])
+    return judged(trees, counts[out], y[out]) if trees is not None else None
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame | None, fit_rows: int = FIT_ROWS, id_col: str = "doc_id", text_col: str = "text", keep_columns: list[str] | None = None) -> DataFrame:
@@ -136,12 +156,12 @@ def quality_rules(docs: DataFrame, labels: DataFrame | None, fit_rows: int = FIT
     text_at = columns.index(text_col) if keep_columns is not None else 1
 
     def run(batches):
+        Kept.mine("quality_rules")
         trees = held.value
         for batch in batches:
             for part in slices(batch, text_at):
                 rows = np.array([text_stats(t or b"") for t in part.column(text_at).cast(pa.binary()).to_pylist()], dtype=np.int64)
-                n, repeats = rows[:, 0], rows[:, 4]
-                failed = (n < MIN_WORDS) | (100 * repeats > 50 * n)
+                failed = base_failed(rows)
                 score = trees.score(features(rows)) if trees is not None else np.ones(len(rows))
                 kept = ~failed & (score >= (trees.cut if trees is not None else 0.5))
                 if keep_columns is None:

@@ -320,6 +320,25 @@ def test_quality_rules(spark, odd, empty):
     assert o[0]["n_words"] == 0 and o[0]["base_failed"] and not o[0]["kept"]
     assert Q.quality_rules(empty, labels).count() == 0
     assert Q.quality_rules(docs, labels.limit(0)).filter("kept").count() > 0
+    assert Q.fit_on(docs, labels).held_out["recall"] == Q.fit_on(docs, labels).held_out["precision"] == 1.0
+
+
+def test_the_trees_cut_is_set_on_held_out_rows():
+    r = np.random.RandomState(4)
+    stats = np.zeros((400, len(TS.NAMES)), dtype=np.int64)
+    stats[:, 0], stats[:, 1], stats[:, 2], stats[:, 5] = 100, 500, r.randint(0, 40, 400), 10
+    y = (stats[:, 2] + r.randint(-8, 9, 400) < 20).astype(float)
+    trees = Q.judged(Q.fit(TS.features(stats[:300]), y[:300]), stats[300:], y[300:], keep=0.05)
+    kept = (stats[300:, 0] >= 50) & (trees.score(TS.features(stats[300:])) >= trees.cut)
+    assert trees.held_out["recall"] == kept[y[300:] == 1].mean() >= 0.94 and trees.held_out["precision"] == y[300:][kept].mean()
+    # Scores node by node, from the flattened arrays.
+    for row in TS.features(stats[:20]):
+        total = trees.base
+        for k in range(trees.n_trees):
+            while trees.left[k] != k:
+                k = trees.left[k] if row[trees.feature[k]] <= trees.threshold[k] else trees.right[k]
+            total += trees.value[k]
+        assert abs(trees.score(row[None])[0] - 1 / (1 + np.exp(-total))) < 1e-12
 
 
 def test_trees_are_monotonic():
