@@ -22,6 +22,10 @@ SLICE_BYTES = 8 << 20
 #: Bytes of an Arrow batch: rows are sent to a worker in batches of this size (a larger row is a batch of its own), since
 #: 10,000 rows of text, the default, can be any size. A session that asks for less keeps its own.
 BATCH_BYTES = 4 << 20
+#: A result or table has parts of this size at least, but `PARTS_PER_CORE` for each core of the session in any case: hundreds of
+#: small files cost more than they hold, and a local file system starts a process for each.
+PART_BYTES = 64 << 20
+PARTS_PER_CORE = 4
 
 
 def tokenizer_file(name: str) -> str:
@@ -43,12 +47,23 @@ def workers_find_package(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([*paths, ROOT])
 
 
-def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def parts_for(df: DataFrame) -> int:
+    """How many parts a result of about the size of `df` should have, by the optimizer's estimate."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(PARTS_PER_CORE * df.sparkSession.sparkContext.defaultParallelism, -(-size // PART_BYTES))
+
+
+def compact(df: DataFrame, parts: int) -> DataFrame:
+    """The same rows in at most so many parts; nothing is shuffled, and what has fewer parts stays as it is."""
+    return df.coalesce(min(parts, 2**31 - 1))
+
+
+def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, parts: int | None = None) -> DataFrame:
     workers_find_package(df.sparkSession)
     now = int(df.sparkSession.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b"))
     if not 0 < now <= BATCH_BYTES:
         df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{BATCH_BYTES}b")
-    return df.mapInArrow(fn, schema)
+    return compact(df, parts or parts_for(df)).mapInArrow(fn, schema)
 
 
 def slices(batch: pa.RecordBatch, column: int = 1, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

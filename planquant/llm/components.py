@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from planquant.llm.common import cut
+from planquant.llm.common import compact, cut
 
 #: Labels fall by pointer jumping, so a path of n nodes takes about log2(n) rounds; this many reach any graph that fits.
 MOST_ROUNDS = 64
@@ -12,22 +12,22 @@ MOST_ROUNDS = 64
 ROWS = 200_000
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, most_parts: int) -> DataFrame:
     """(node, root) of every node of edges (a, b); root is the smallest node of its component.
 
     A round lowers every node's label to the least among its neighbours', then to the label of the node so named. Joins
     are on node and label, sums are minima with map-side combining: a hot node never gathers its neighbours. Every round goes
-    to the shared folder, in as many parts as its rows need."""
+    to the shared folder, in as many parts as its rows need; `most_parts` is for the edges, which aren't counted yet."""
     there = edges.filter("a <> b").select("a", "b")
-    both = cut(there.union(there.select(F.col("b"), F.col("a"))).distinct())
+    both = cut(compact(there.union(there.select(F.col("b"), F.col("a"))).distinct(), most_parts))
     parts = max(both.sparkSession.sparkContext.defaultParallelism, -(-both.count() // ROWS))
-    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("root")).coalesce(parts))
+    labels = cut(compact(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("root")), parts))
     for _ in range(MOST_ROUNDS):
         named = labels.select(F.col("node").alias("b"), F.col("root").alias("label"))
         near = both.join(named, "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         lower = labels.join(near, "node").select("node", F.least("root", "near").alias("root"), F.col("root").alias("was"))
         jumped = lower.join(labels.select(F.col("node").alias("root"), F.col("root").alias("next")), "root", "left")
-        after = cut(jumped.select("node", F.least("root", F.coalesce("next", "root")).alias("root"), "was").coalesce(parts))
+        after = cut(compact(jumped.select("node", F.least("root", F.coalesce("next", "root")).alias("root"), "was"), parts))
         changed = after.filter("root <> was").limit(1).count()
         labels = after.select("node", "root")
         if not changed:

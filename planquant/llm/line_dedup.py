@@ -21,7 +21,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from planquant.llm.common import shared_table
+from planquant.llm.common import compact, parts_for, shared_table
 
 OVER_WORDS = 50
 
@@ -76,7 +76,8 @@ def dedup_lines(docs: DataFrame, over_words: int = OVER_WORDS, id_col: str = "do
     texts = given.select(_row("id", "hash").alias("row"), F.array(F.struct("id", "text", *(["rest"] if others else []))).alias("given"))
     of = lambda c: F.col("given")[0][c].alias(c)
 
-    places = shared_table(_places(docs, over_words, modulus, id_col, text_col), "chunks")
+    parts = parts_for(docs)
+    places = shared_table(_places(compact(docs, parts), over_words, modulus, id_col, text_col), "chunks")
     kept = places.groupBy("key").agg(F.min(F.struct("id", "hash", "first", "last")).alias("kept"), F.count(F.lit(1)).alias("n")).filter("n > 1")
 
     # The bytes of each kept chunk, from its own text; rows that repeat a text give them once.
@@ -93,7 +94,7 @@ def dedup_lines(docs: DataFrame, over_words: int = OVER_WORDS, id_col: str = "do
     left = F.expr("if(size(gone) > 0, array_join(transform(array_except(sequence(0, size(lines) - 1), gone), i -> lines[i]), '\\n'), text)")
     cleaned = joined.withColumn("true_claims", true).withColumn("gone", gone)
     taken = {id_col: F.col("id"), text_col: F.when(F.col("claims").isNull(), F.col("text")).otherwise(left)}
-    return cleaned.select(
+    return compact(cleaned, parts).select(
         *[taken[c].alias(c) if c in taken else F.col("rest").getField(c).alias(c) for c in columns],
         F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("n_lines"),
         F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"),

@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from planquant.llm.common import Kept, arrow_map, cut, shared_table, slices
+from planquant.llm.common import Kept, arrow_map, compact, cut, parts_for, shared_table, slices
 from planquant.llm.components import components
 
 SIZE = 5
@@ -189,13 +189,14 @@ def classes(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, recall: flo
     bands, rows = banding(threshold[0] / threshold[1], recall)
     found = shared_table(signatures(docs, bands, rows, size, id_col, text_col), "signatures")
     sets = found.filter("digest is not null").groupBy("digest").agg(F.min("id").alias("rep"), F.min("key").alias("key"), F.max("size").alias("size"), F.count(F.lit(1)).alias("copies"))
-    sets = cut(sets)
+    parts = parts_for(found)  # what follows is smaller
+    sets = cut(compact(sets, parts))
 
     # Candidate groups: in each bucket, every set meets that of the smallest digest.
     marks = found.filter("digest is not null").select("digest", "key", "bands").join(sets.select("digest", "key"), ["digest", "key"], "left_semi")
     marks = marks.dropDuplicates(["digest", "key"]).select("digest", F.posexplode("bands").alias("band", "mark"))
     least = marks.groupBy("band", "mark").agg(F.min("digest").alias("root"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("band", "mark", "root")
-    groups = components(marks.join(least, ["band", "mark"]).select(F.col("digest").alias("a"), F.col("root").alias("b")))
+    groups = components(marks.join(least, ["band", "mark"]).select(F.col("digest").alias("a"), F.col("root").alias("b")), parts)
 
     # Units: pairs of blocks of a group.
     sized = groups.select(F.col("node").alias("digest"), "root").join(sets, "digest")
@@ -213,7 +214,7 @@ def classes(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, recall: flo
                 out = [shingles(t, size).tobytes() for t in part.column(1).cast(pa.binary()).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("digest"), part.column("root"), part.column("n_blocks"), part.column("own"), part.column("copies"), pa.array(out, pa.binary())], ["digest", "root", "n_blocks", "own", "copies", "hashes"])
 
-    filled = arrow_map(chosen.select("key", "text", "root", "n_blocks", "own", "digest", "copies"), to_sets, "digest binary, root binary, n_blocks int, own int, copies long, hashes binary")
+    filled = arrow_map(chosen.select("key", "text", "root", "n_blocks", "own", "digest", "copies"), to_sets, "digest binary, root binary, n_blocks int, own int, copies long, hashes binary", parts_for(docs))
     other = F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("other")
     units = filled.select("digest", "root", "own", "copies", "hashes", other).select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "digest", "copies", "hashes")
     units = units.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
@@ -242,11 +243,11 @@ def classes(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, recall: flo
         a, n, b = zip(*out, strict=True)
         return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(n, pa.int64()), pa.array(b, pa.binary())], ["digest", "n", "least"])
 
-    links = cut(arrow_map(units, to_links, "digest binary, n long, least binary"))
-    roots = components(links.select(F.col("digest").alias("a"), F.col("least").alias("b")))
+    links = cut(arrow_map(units, to_links, "digest binary, n long, least binary", parts))
+    roots = components(links.select(F.col("digest").alias("a"), F.col("least").alias("b")), parts)
     counts = links.groupBy("digest").agg(F.sum("n").alias("n"))
     verdict = counts.join(roots.withColumnRenamed("node", "digest"), "digest")
     placed = sets.join(verdict, "digest", "left").select("digest", "rep", "root", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"))
     firsts = placed.filter("root is not null").groupBy("root").agg(F.min("rep").alias("first"))
     named = placed.join(firsts, "root", "left").select("digest", F.coalesce("first", "rep").alias("class_id"), "n_links")
-    return found.select("id", "digest").join(named, "digest", "left").select("id", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return compact(found.select("id", "digest").join(named, "digest", "left"), parts).select("id", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
