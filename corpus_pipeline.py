@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from planquant.llm.common import documents, shared_table, table, tokenizer_file
+from planquant.llm.common import compact, documents, parts_for, shared_table, table, tokenizer_file
 from planquant.llm.decontamination import contamination
 from planquant.llm.line_dedup import dedup_lines
 from planquant.llm.near_duplicates import classes
@@ -34,7 +34,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     firsts = classes(docs).filter("id <=> class_id").groupBy("id").agg(F.count(F.lit(1)).alias("n_rows"))
     kept = docs.select(*COLUMNS).join(firsts.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(firsts["id"])).select(*COLUMNS, "n_rows")
     once, again = kept.filter("n_rows = 1").select(*COLUMNS), kept.filter("n_rows > 1 and doc_id is not null").select(*COLUMNS)
-    return once.unionByName(again.dropDuplicates(["doc_id", "text"])).unionByName(kept.filter("n_rows > 1 and doc_id is null").select(*COLUMNS))
+    nameless = kept.filter("n_rows > 1 and doc_id is null").select(*COLUMNS)
+    return compact(once.unionByName(again.dropDuplicates(["doc_id", "text"])).unionByName(nameless), parts_for(docs))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
