@@ -27,7 +27,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Row, functions as F
 
-from planquant.llm.common import compact, parts_for
+from planquant.llm.common import compact, parts_for, shared_table
 
 KINDS = ("email", "ip", "card", "phone")
 CUT = 0.9
@@ -261,7 +261,8 @@ def _score(x: Column, weights: dict) -> Column:
 
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cut: float = CUT) -> DataFrame:
     """doc_id and spans (kind, start, end, base, score) of every row, by start, then kind, then end."""
-    found = labelled_spans(compact(docs, parts_for(docs)), text_col, id_col)
+    # Found once: the labelled spans, which are few beside the texts, are learned from and then judged.
+    found = shared_table(labelled_spans(compact(docs, parts_for(docs)), text_col, id_col), "spans")
     weights = learn(found)
     names = F.array(*[F.lit(k) for k in KINDS])
     scored = F.transform("spans", lambda x: F.struct(F.get(names, x["kind"]).alias("kind"), x["start"].cast("long").alias("start"), x["end"].cast("long").alias("end"), x["strict"].alias("base"), _score(x, weights).alias("score")))
