@@ -96,7 +96,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage: the rows go to the shared checkpoint folder."""
+    """Cuts the lineage: the rows go to the shared checkpoint folder. Not for loops: the optimizer's guess of the size stays with
+    the rows and is multiplied by every join, round by round, until planning takes longer than the work (`shared_table`)."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
@@ -109,7 +110,7 @@ def shared_table(df: DataFrame, name: str) -> DataFrame:
 
 
 class Kept(dict):
-    """What a worker remembers of an operator, by key: at most `most` entries; when they are full it starts anew.
+    """What a worker remembers of an operator, by key: the first `most` entries, which hold what is frequent.
 
     Workers serve one operator after another, so the memories of all but the last one that `mine` was asked for are
     dropped: what a worker holds is one operator's."""
@@ -122,9 +123,8 @@ class Kept(dict):
         Kept._live.setdefault(owner, []).append(self)
 
     def put(self, key, value):
-        if len(self) >= self.most:
-            self.clear()
-        self[key] = value
+        if len(self) < self.most:
+            self[key] = value
         return value
 
     @staticmethod

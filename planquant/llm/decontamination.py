@@ -91,7 +91,10 @@ _built = Kept("decontamination", 1)
 
 
 def _automaton(key: str, items, size: int) -> Automaton:
-    return _built[key] if key in _built else _built.put(key, Automaton(items.value, size))
+    if key not in _built:
+        _built.clear()
+        _built.put(key, Automaton(items.value, size))
+    return _built[key]
 
 
 def _merged(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> list[tuple[int, int]]:

@@ -680,3 +680,20 @@ def test_pipeline_stages(spark, tmp_path):
 
 def test_digest_columns():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
+
+
+def test_components(spark):
+    from planquant.llm.components import components
+
+    r = np.random.RandomState(8)
+    pairs = [(int(a), int(b)) for a, b in r.randint(0, 400, (320, 2))] + [(1000 + k, 1001 + k) for k in range(60)] + [(2000, 2000 + k) for k in range(100)] + [(5, 5)]
+    want = {}
+    for a, b in pairs:
+        want.setdefault(a, a), want.setdefault(b, b)
+    for _ in range(500):
+        for a, b in pairs:
+            want[a] = want[b] = min(want[a], want[b])
+    alone = {a for a, b in pairs if a == b} - {x for a, b in pairs if a != b for x in (a, b)}
+    got = {x["node"]: x["root"] for x in components(spark.createDataFrame(pairs, "a long, b long"), 4).collect()}
+    assert got == {k: v for k, v in want.items() if k not in alone}
+    assert components(spark.createDataFrame([], "a long, b long"), 4).count() == 0
