@@ -24,7 +24,7 @@ SLICE_BYTES = 8 << 20
 BATCH_BYTES = 4 << 20
 #: A result or table has parts of this size at least, but `PARTS_PER_CORE` for each core of the session in any case: hundreds of
 #: small files cost more than they hold, and a local file system starts a process for each.
-PART_BYTES = 64 << 20
+PART_BYTES = 16 << 20
 PARTS_PER_CORE = 4
 
 
