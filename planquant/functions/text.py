@@ -10,6 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from planquant.functions import rules
+from planquant.functions.arrays import let, running
 
 STOP_WORDS = ("the", "a", "an", "and", "or", "for", "to", "of", "in", "on", "at", "by", "with")
 SYNONYMS = {
@@ -42,23 +43,44 @@ def contains_any(s: Column, words) -> Column:
 
 
 def words_found(s: Column, words) -> Column:
-    """The words that occur, in their given order."""
-    return F.filter(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(s, w))
+    """The words that occur, in their given order. `s` is looked at once for each word: fold its case beforehand (`let`)."""
+    return F.array_compact(F.array(*[F.when(F.contains(s, F.lit(w)), F.lit(w)) for w in words]))
 
 
-def matches(s: Column, pattern: str, groups: int, with_start: bool = False) -> Column:
+def placed(found: Column, between: Column) -> Column:
+    """Where each of the strings found starts, counted in characters from 0; `between` are those before, between and after them."""
+    lengths = F.zip_with(F.transform(found, lambda m: F.length(m)), F.transform(F.slice(between, F.lit(1), F.size(found)), lambda g: F.length(g)), lambda m, g: m + g)
+    ends = let(lengths, lambda n: running(n, 0, lambda a, b: a + b))
+    return F.transform(F.slice(ends, F.lit(2), F.size(found)), lambda e, i: e - F.length(F.get(found, i)))
+
+
+def matches(s: Column, pattern: str, groups: int, with_start: bool = False, short: bool = False) -> Column:
     """All matches, leftmost and non-overlapping, in order: struct(m, g1 .. gn[, start]); groups that took no part are null.
 
-    Groups come from the match in its context, not from matching it again; start counts characters from 0."""
-    parts = [F.regexp_extract_all(s, F.lit(pattern), F.lit(k)).alias("m" if k == 0 else f"g{k}") for k in range(groups + 1)]
-    zipped = F.arrays_zip(*parts)
-    fields = lambda x: [x["m"].alias("m"), *[none_if_empty(x[f"g{k}"]).alias(f"g{k}") for k in range(1, groups + 1)]]
+    The text is scanned once, and each match for its groups; a pattern that looks at what stands around a match is scanned
+    for each group instead. start counts characters from 0; `short` is for strings of a few matches, which need no blocks."""
+    group = lambda x, k: none_if_empty(x).alias(f"g{k}")
+    numbers = range(1, groups + 1)
+    looks_around = any(x in pattern for x in ("(?=", "(?!", "(?<"))
+
+    def structs(found: Column, starts: Column | None) -> Column:
+        if looks_around and groups:
+            parts = F.arrays_zip(found.alias("m"), *[F.regexp_extract_all(s, F.lit(pattern), F.lit(k)).alias(f"g{k}") for k in numbers])
+            fields = lambda x: [x["m"].alias("m"), *[group(x[f"g{k}"], k) for k in numbers]]
+        else:
+            parts, fields = found, lambda x: [x.alias("m"), *[group(F.regexp_extract(x, pattern, k), k) for k in numbers]]
+        if starts is None:
+            return F.transform(parts, lambda x: F.struct(*fields(x)))
+        return F.transform(parts, lambda x, i: F.struct(*fields(x), F.get(starts, i).alias("start")))
+
+    found = F.regexp_extract_all(s, F.lit(pattern), F.lit(0))
     if not with_start:
-        return F.transform(zipped, lambda x: F.struct(*fields(x)))
-    between = F.transform(F.split(s, pattern, -1), lambda p: F.length(p))
-    lengths = F.transform(zipped, lambda x: F.length(x["m"]))
-    total = lambda a, i: F.aggregate(F.slice(a, F.lit(1), i), F.lit(0), lambda t, n: t + n)
-    return F.transform(zipped, lambda x, i: F.struct(*fields(x), (total(between, i + 1) + total(lengths, i)).alias("start")))
+        return structs(found, None)
+    between = F.split(s, pattern, -1)
+    if short:
+        total = lambda a, n: F.aggregate(F.slice(a, F.lit(1), n), F.lit(0), lambda t, x: t + F.length(x))
+        return let(found, lambda f: structs(f, F.transform(f, lambda _, i: total(between, i + 1) + total(f, i))))
+    return let(found, lambda f: let(placed(f, between), lambda at: structs(f, at)))
 
 
 def first_wins(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

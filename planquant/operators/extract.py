@@ -1,7 +1,8 @@
 """Pay-item extraction: tables of patterns drive generators over page text.
 
-Every generator gives rows (keys of the page, strategy, pattern, hit, dedup key, item fields). The order of a hit is
-explicit, so that "the first wins" is a rank, whatever the partitioning.
+Every generator gives rows (keys of the document, page_num, strategy, pattern, hit, dedup key, item fields). Pages are matched one
+by one; the first of a key wins, and mentions are counted, within the document that `keys` name, over all of its pages.
+The order of a hit is explicit, so that "the first wins" is a rank, whatever the partitioning. Pages without page_num are page 1.
 """
 
 from __future__ import annotations
@@ -19,11 +20,19 @@ FIELDS = {
     "needs_verification": "boolean", "mentions": "int", "structure_type": "string", "configuration": "string", "option": "string",
     "rise": "int", "span": "int", "run_config": "string", "frame_option": "string", "source_text": "string",
 }
-ORDER = ["strategy", "pattern", "hit"]
+ORDER = ["strategy", "pattern", "page_num", "hit"]
+
+
+def _page(pages: DataFrame) -> Column:
+    return (F.col("page_num").cast("int") if "page_num" in pages.columns else F.lit(1)).alias("page_num")
+
+
+def _page_keys(keys: list[str]) -> list[str]:
+    return [*keys, *(["page_num"] if "page_num" not in keys else [])]
 
 
 def _hits(pages: DataFrame, keys: list[str], text_col: str, patterns: list[tuple[str, int]], with_start: bool = False) -> DataFrame:
-    """keys, text, pattern (its number), hit (its number) and the groups of every match of the patterns."""
+    """keys, page_num, text, pattern (its number), hit (its number) and the groups of every match of the patterns."""
     most = max(n for _, n in patterns)
 
     def padded(k: int, n: int):
@@ -31,7 +40,8 @@ def _hits(pages: DataFrame, keys: list[str], text_col: str, patterns: list[tuple
         return lambda x, i: F.struct(F.lit(k).alias("pattern"), i.alias("hit"), x["m"].alias("m"), *groups(x), *([x["start"].alias("start")] if with_start else []))
 
     arrays = [F.transform(matches(F.col(text_col), "(?i)" + p, n, with_start), padded(k, n)) for k, (p, n) in enumerate(patterns)]
-    return pages.select(*keys, F.col(text_col).alias("_text"), F.explode(F.concat(*arrays)).alias("_h")).select(*keys, "_text", "_h.*")
+    own = [k for k in keys if k != "page_num"]
+    return pages.select(*own, _page(pages), F.col(text_col).alias("_text"), F.explode(F.concat(*arrays)).alias("_h")).select(*own, "page_num", "_text", "_h.*")
 
 
 def _group(numbers: list[int | None]) -> Column:
@@ -41,7 +51,7 @@ def _group(numbers: list[int | None]) -> Column:
 
 def _items(df: DataFrame, keys: list[str], strategy: int, dedup: Column, **fields: Column) -> DataFrame:
     given = {f: fields.get(f, F.lit(None)).cast(kind).alias(f) for f, kind in FIELDS.items()}
-    return df.select(*keys, F.lit(strategy).alias("strategy"), F.col("pattern").cast("int").alias("pattern"), F.col("hit").cast("int").alias("hit"), dedup.alias("dedup_key"), *given.values())
+    return df.select(*_page_keys(keys), F.lit(strategy).alias("strategy"), F.col("pattern").cast("int").alias("pattern"), F.col("hit").cast("int").alias("hit"), dedup.alias("dedup_key"), *given.values())
 
 
 def _accepted(quantity: Column, unit: Column) -> Column:
@@ -69,7 +79,7 @@ _MULTILINE_UNITS = ("LS", "EA", "LF", "SY", "CY", "SF", "TON", "GAL", "AC", "AS"
 def multiline_items(pages: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
     """A code alone on its line, and description, quantity and unit on the next four."""
     lines = F.transform(F.split(text_col, "\n"), strip)
-    at = pages.select(*keys, F.posexplode(lines).alias("hit", "line"), lines.alias("_all")).withColumn("pattern", F.lit(0))
+    at = pages.select(*[k for k in keys if k != "page_num"], _page(pages), F.posexplode(lines).alias("hit", "line"), lines.alias("_all")).withColumn("pattern", F.lit(0))
     at = at.filter(rlike(F.col("line"), r"^(430|425)-\d{1,3}-\d{1,3}$"))
     rest = F.filter(F.slice("_all", F.col("hit") + 2, F.lit(4)), lambda x: x != "")
     is_unit = lambda x: F.upper(x).isin(*_MULTILINE_UNITS)
@@ -79,7 +89,7 @@ def multiline_items(pages: DataFrame, keys: list[str], text_col: str = "text") -
     # The first small number is the quantity; later ones, and anything that is no unit or code, can be the description.
     first_at = F.array_position(rest, F.get(numbers, F.lit(0)))
     text = F.filter(F.transform(rest, lambda x, i: F.when((i + 1 == F.coalesce(first_at, F.lit(0))) | is_unit(x), None).otherwise(x)), lambda x: x.isNotNull() & (F.length(x) > 5) & ~rlike(x, r"^\d{3}-\d{1,3}-\d{1,3}\s*$"))
-    found = at.select(*keys, "pattern", "hit", F.col("line").alias("code"), F.get(text, F.lit(0)).alias("d"), q0.alias("q"), F.upper(F.get(F.reverse(F.filter(rest, is_unit)), F.lit(0))).alias("u"))
+    found = at.select(*_page_keys(keys), "pattern", "hit", F.col("line").alias("code"), F.get(text, F.lit(0)).alias("d"), q0.alias("q"), F.upper(F.get(F.reverse(F.filter(rest, is_unit)), F.lit(0))).alias("u"))
     ok = found.filter(F.col("d").isNotNull() & F.col("q").isNotNull() & F.col("u").isNotNull()).filter(description_fault(F.col("d")).isNull() & _accepted(F.col("q"), F.col("u")))
     return _first(_items(ok, keys, 2, F.concat_ws("_", F.lit("fdot_ml"), "code", F.col("q").cast("string")), pay_item_no=F.col("code"), description=F.col("d"), unit=F.col("u"), quantity=F.col("q"), source=F.lit("fdot_multiline"), confidence=F.lit("high"), source_text=F.concat_ws(" ", "code", "d")), keys)
 
@@ -89,7 +99,7 @@ def quantity_first_items(pages: DataFrame, keys: list[str], text_col: str = "tex
     table = rules.QUANTITY_FIRST
     h = _hits(pages, keys, text_col, [(r[0], max(x for x in r[1:] if x)) for r in table])
     field = lambda k: _group([r[k] for r in table])
-    h = h.select(*keys, "pattern", "hit", "m", field(1).try_cast("double").alias("q"), F.upper(field(2)).alias("u"), field(3).try_cast("int").alias("s"), F.upper(field(4)).alias("mat"), field(5).alias("spec"))
+    h = h.select(*_page_keys(keys), "pattern", "hit", "m", field(1).try_cast("double").alias("q"), F.upper(field(2)).alias("u"), field(3).try_cast("int").alias("s"), F.upper(field(4)).alias("mat"), field(5).alias("spec"))
     h = h.filter(F.col("s").isNotNull()).withColumn("x", swap_size_quantity(F.col("s"), F.col("q")))
     q, s = F.col("x.quantity"), F.col("x.size").cast("string")
     kind = F.when(F.col("mat").isin("RCP", "SRCP"), " CLASS ").otherwise(" SDR ")
@@ -103,7 +113,7 @@ def elliptical_items(pages: DataFrame, keys: list[str], text_col: str = "text")
     table = rules.ELLIPTICAL
     h = _hits(pages, keys, text_col, [(r[0], max(x for x in r[1:] if x)) for r in table])
     field = lambda k: _group([r[k] for r in table])
-    h = h.select(*keys, "pattern", "hit", "m", F.coalesce(field(1).try_cast("double"), F.lit(0.0)).alias("q"), F.coalesce(F.upper(field(2)), F.lit("LF")).alias("u"), field(3).try_cast("int").alias("r"), field(4).try_cast("int").alias("p"), field(5).alias("c"))
+    h = h.select(*_page_keys(keys), "pattern", "hit", "m", F.coalesce(field(1).try_cast("double"), F.lit(0.0)).alias("q"), F.coalesce(F.upper(field(2)), F.lit("LF")).alias("u"), field(3).try_cast("int").alias("r"), field(4).try_cast("int").alias("p"), field(5).alias("c"))
     h = h.filter(is_elliptical_size(F.col("r"), F.col("p")))
     r, p, q = F.col("r").cast("string"), F.col("p").cast("string"), F.col("q")
     d = F.concat(r, F.lit('"x'), p, F.lit('" ERCP'), F.coalesce(F.concat(F.lit(" CLASS "), "c"), F.lit("")))
@@ -128,7 +138,7 @@ def structure_items(pages: DataFrame, keys: list[str], text_col: str = "text") -
     h = _hits(pages, keys, text_col, [(r[0], max(x for x in r[2:] if x)) for r in table])
     field = lambda k: _group([r[k] for r in table])
     kind = F.get(F.array(*[F.lit(r[1]) for r in table]), F.col("pattern"))
-    h = h.select(*keys, "pattern", "hit", "m", kind.alias("kind"), field(2).try_cast("int").alias("s"), F.upper(field(3)).alias("c"), F.upper(field(4)).alias("o"))
+    h = h.select(*_page_keys(keys), "pattern", "hit", "m", kind.alias("kind"), field(2).try_cast("int").alias("s"), F.upper(field(3)).alias("c"), F.upper(field(4)).alias("o"))
     oval = F.col("kind") == "MES_ELLIPTICAL"
     span = F.when(oval, F.col("c").try_cast("int"))
     h = h.filter(F.when(oval, is_elliptical_size(F.col("s"), span)).otherwise(is_round_size(F.col("s"))))
@@ -147,7 +157,7 @@ def galvanized_items(pages: DataFrame, keys: list[str], text_col: str = "text")
     table = [(r[0], *((r[1], None, r[2], r[3]) if len(r) == 4 else r[1:])) for r in rules.GALVANIZED]
     h = _hits(pages, keys, text_col, [(r[0], max(x for x in r[1:] if x)) for r in table])
     field = lambda k: _group([r[k] for r in table])
-    h = h.select(*keys, "pattern", "hit", "m", field(1).try_cast("int").alias("s"), field(2).try_cast("int").alias("p"), F.concat(F.coalesce(F.upper(field(3)), F.lit("SINGLE")), F.lit(" RUN")).alias("run"), F.concat(F.coalesce(F.upper(field(4)), F.lit("NO")), F.lit(" FRAME")).alias("frame"))
+    h = h.select(*_page_keys(keys), "pattern", "hit", "m", field(1).try_cast("int").alias("s"), field(2).try_cast("int").alias("p"), F.concat(F.coalesce(F.upper(field(3)), F.lit("SINGLE")), F.lit(" RUN")).alias("run"), F.concat(F.coalesce(F.upper(field(4)), F.lit("NO")), F.lit(" FRAME")).alias("frame"))
     oval = F.col("p").isNotNull()
     h = h.filter(F.when(oval, is_elliptical_size(F.col("s"), F.col("p"))).otherwise(is_round_size(F.col("s"))))
     size = F.concat_ws("x", F.col("s").cast("string"), F.col("p").cast("string"))
@@ -161,9 +171,10 @@ _TABLE_UNITS = ("LF", "EA", "SF", "SY", "CY", "TON", "GAL")
 
 
 def table_lines(pages: DataFrame, keys: list[str], text_col: str = "text", cells_at_least: int = 3) -> DataFrame:
-    """Lines of several cells in runs of two lines or more: keys, line_no, cells."""
+    """Lines of several cells in runs of two lines or more of a page: keys, page_num, line_no, cells."""
     cells = F.filter(F.transform(F.split(strip(F.col("line")), r"\s{2,}|\t"), strip), lambda c: c != "")
-    lines = pages.select(*keys, F.posexplode(F.split(text_col, "\n")).alias("line_no", "line")).select(*keys, "line_no", cells.alias("cells")).filter(F.size("cells") >= cells_at_least)
+    keys = _page_keys(keys)
+    lines = pages.select(*[k for k in keys if k != "page_num"], _page(pages), F.posexplode(F.split(text_col, "\n")).alias("line_no", "line")).select(*keys, "line_no", cells.alias("cells")).filter(F.size("cells") >= cells_at_least)
     by = Window.partitionBy(*keys).orderBy("line_no")
     runs = lines.withColumn("run", F.col("line_no") - F.row_number().over(by))
     return runs.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(*keys, "run"))).filter("n >= 2").select(*keys, "line_no", "cells")
@@ -183,7 +194,7 @@ def table_items(pages: DataFrame, keys: list[str], text_col: str = "text") -> Da
     qty = last(F.filter(F.transform("cells", lambda c: F.when(~rlike(c, size_like), extract(c, r"^(\d+(?:\.\d+)?)\s*$")).try_cast("double")), lambda n: n > 0))
     words = F.filter("cells", lambda c: rlike(c, "[A-Za-z]") & ~up(c).isin(*_TABLE_UNITS))
     spelled = F.get(F.filter(F.transform(words, lambda c: extract(c, "(\\d{1,2})\\s*[\"”″]").try_cast("int")), lambda n: is_round_size(n)), F.lit(0))
-    t = t.select(*keys, "pattern", "hit", material.alias("mat"), unit.alias("u"), size.alias("s"), qty.alias("q"), words.alias("words"), spelled.alias("spelled"), F.array_join("cells", " ").alias("m")).filter("mat is not null and q > 0")
+    t = t.select(*_page_keys(keys), "pattern", "hit", material.alias("mat"), unit.alias("u"), size.alias("s"), qty.alias("q"), words.alias("words"), spelled.alias("spelled"), F.array_join("cells", " ").alias("m")).filter("mat is not null and q > 0")
     t = t.withColumn("x", F.when(F.col("s").isNotNull(), swap_size_quantity(F.col("s"), F.col("q"))).otherwise(F.struct(F.col("spelled").alias("size"), F.col("q").alias("quantity"))))
     s, q = F.col("x.size").cast("string"), F.col("x.quantity")
     d = F.when(F.size("words") > 0, F.array_join("words", " ")).otherwise(F.concat_ws(" ", F.concat(s, F.lit('"')), "mat"))
@@ -195,8 +206,9 @@ def callout_items(pages: DataFrame, keys: list[str], text_col: str = "text") ->
     """Labels such as RCP 24, counted by material and size; they have no quantity and need checking."""
     table = rules.CALLOUTS
     h = _hits(pages, keys, text_col, [(r[0], 2) for r in table])
-    h = h.select(*keys, "pattern", "hit", F.upper(_group([r[1] for r in table])).alias("mat"), _group([r[2] for r in table]).alias("s")).filter(is_round_size(F.col("s").try_cast("int")))
-    g = h.groupBy(*keys, "mat", "s").agg(F.count(F.lit(1)).cast("int").alias("n"), F.min(F.struct("pattern", "hit")).alias("o")).select(*keys, "mat", "s", "n", "o.*")
+    h = h.select(*_page_keys(keys), "pattern", "hit", F.upper(_group([r[1] for r in table])).alias("mat"), _group([r[2] for r in table]).alias("s")).filter(is_round_size(F.col("s").try_cast("int")))
+    page = [c for c in ("page_num",) if c not in keys]
+    g = h.groupBy(*keys, "mat", "s").agg(F.count(F.lit(1)).cast("int").alias("n"), F.min(F.struct("pattern", *page, "hit")).alias("o")).select(*keys, "mat", "s", "n", "o.*")
     return _items(g, keys, 9, F.concat_ws("_", F.lit("callout"), "mat", "s"), pay_item_no=F.concat_ws("-", "mat", "s"), description=F.concat("s", F.lit('" '), "mat", F.lit(" PIPE (VERIFY QTY)")), unit=F.lit("LF"), quantity=F.lit(0.0), source=F.lit("callout"), confidence=F.lit("low"), needs_verification=F.lit(True), mentions=F.col("n"), source_text=F.concat_ws(" ", "mat", "s"))
 
 
@@ -218,7 +230,9 @@ def drainage_labels(pages: DataFrame, keys: list[str], text_col: str = "text") -
     labels = _items(named, keys, 10, F.concat_ws("_", F.lit("struct"), "kind", "g2"), pay_item_no=F.col("kind"), description=F.concat("kind", F.lit(" #"), "g2"), unit=F.lit("EA"), quantity=F.lit(1.0), source=F.lit("drainage_label"), confidence=F.lit("high"), source_text=F.concat("kind", F.lit(" #"), "g2"))
     labels = _first(labels, keys)
     generic = F.array(*[F.struct(F.lit(100 + k).alias("pattern"), F.lit(0).alias("hit"), F.lit(t).alias("kind"), F.regexp_count(F.col(text_col), F.lit("(?i)" + p)).alias("n")) for k, (p, t) in enumerate(rules.GENERIC_LABELS)])
-    bare = pages.select(*keys, F.explode(F.filter(generic, lambda x: x["n"] > 0)).alias("x")).select(*keys, "x.*").join(named.select(*keys, "kind").distinct(), [*keys, "kind"], "left_anti")
+    seen = pages.select(*[k for k in keys if k != "page_num"], _page(pages), F.explode(F.filter(generic, lambda x: x["n"] > 0)).alias("x")).select(*_page_keys(keys), "x.*")
+    seen = seen.groupBy(*keys, "kind").agg(F.sum("n").alias("n"), F.min(F.struct("pattern", "page_num", "hit")).alias("o")).select(*keys, "kind", "n", *[f"o.{c}" for c in ("pattern", "page_num", "hit") if c not in keys])
+    bare = seen.join(named.select(*keys, "kind").distinct(), [*keys, "kind"], "left_anti")
     mentions = _items(bare, keys, 10, F.concat(F.lit("struct_generic_"), "kind"), pay_item_no=F.col("kind"), description=F.concat("kind", F.lit(" (VERIFY QTY)")), unit=F.lit("EA"), quantity=F.lit(0.0), source=F.lit("drainage_label"), confidence=F.lit("low"), needs_verification=F.lit(True), mentions=F.col("n"), source_text=F.col("kind"))
     return labels.unionByName(mentions)
 

@@ -56,12 +56,25 @@ def description_warnings(description: Column) -> Column:
     return F.array_compact(F.array(_warn(fault.isNotNull(), "description", "reject", "description", F.concat(F.lit("Invalid description: "), fault), description)))
 
 
-def size_warnings(description: Column) -> Column:
-    """Sizes of pipes: an elliptical size or an odd round one gives a warning, a round one beyond the largest a reject."""
+def _sizes(description: Column) -> tuple[Column, Column, Column, Column]:
+    """(names a pipe, rise, span, round size) of a description."""
     up = F.upper(F.coalesce(description, F.lit("")))
     rise, span = (extract(up, r"(\d+)\s*[xX×]\s*(\d+)", k).try_cast("int") for k in (1, 2))
-    size = extract(up, "(\\d+)[\"”]").try_cast("int")
-    pipe, elliptical = contains_any(up, _PIPE_WORDS), rise.isNotNull() & span.isNotNull()
+    return contains_any(up, _PIPE_WORDS), rise, span, extract(up, "(\\d+)[\"”]").try_cast("int")
+
+
+def size_faults(description: Column) -> tuple[Column, Column]:
+    """(a round pipe beyond the largest, a pipe of another odd size)."""
+    pipe, rise, span, size = _sizes(description)
+    oval = rise.isNotNull() & span.isNotNull()
+    odd = F.coalesce(pipe & ~oval & ~is_round_size(size), F.lit(False))
+    return F.coalesce(odd & (size > rules.MAX_PIPE_SIZE), F.lit(False)), F.coalesce((odd & (size <= rules.MAX_PIPE_SIZE)) | (pipe & oval & ~is_elliptical_size(rise, span)), F.lit(False))
+
+
+def size_warnings(description: Column) -> Column:
+    """Sizes of pipes: an elliptical size or an odd round one gives a warning, a round one beyond the largest a reject."""
+    pipe, rise, span, size = _sizes(description)
+    elliptical = rise.isNotNull() & span.isNotNull()
     odd = pipe & ~elliptical & size.isNotNull() & ~is_round_size(size)
     return F.array_compact(
         F.array(
@@ -72,10 +85,14 @@ def size_warnings(description: Column) -> Column:
     )
 
 
+def _most_prices() -> Column:
+    return F.create_map(*[F.lit(x) for u, v in rules.MAX_UNIT_PRICE.items() for x in (u, float(v))])
+
+
 def price_warnings(unit_price: Column, line_cost: Column, unit: Column) -> Column:
     """Line cost above a million; unit price below a cent or above what the unit allows. Null and 0 aren't judged."""
     name, price, cost = F.upper(F.coalesce(unit, F.lit(""))), F.coalesce(unit_price, F.lit(0.0)), F.coalesce(line_cost, F.lit(0.0))
-    most = F.element_at(F.create_map(*[F.lit(x) for u, v in rules.MAX_UNIT_PRICE.items() for x in (u, float(v))]), name)
+    most = F.element_at(_most_prices(), name)
     return F.array_compact(
         F.array(
             _warn(cost > rules.MAX_LINE_COST, "price", "warning", "line_cost", F.lit("Line cost exceeds the threshold"), line_cost),
@@ -102,7 +119,10 @@ def validated(items: DataFrame) -> DataFrame:
 
 
 def accepted(items: DataFrame) -> DataFrame:
-    return validated(items).filter(~F.col("rejected")).drop("rejected")
+    """Items that no gate rejects, with their warnings."""
+    rejected, _ = gate_outcome(*[F.col(c) for c in ("description", "quantity", "unit", "unit_price", "line_cost")])
+    q, s = quantity_warnings(F.coalesce("quantity", F.lit(0.0)).cast("double"), F.col("unit")), size_warnings(F.col("description"))
+    return items.filter(~rejected).withColumn("validation_warnings", F.concat(q, s, price_warnings(F.col("unit_price"), F.col("line_cost"), F.col("unit"))))
 
 
 def warnings_of(items: DataFrame, *keys: str) -> DataFrame:
@@ -110,14 +130,30 @@ def warnings_of(items: DataFrame, *keys: str) -> DataFrame:
     return validated(items).select(*keys, F.explode("validation_warnings").alias("w")).select(*keys, "w.*")
 
 
+def gate_outcome(description: Column, quantity: Column, unit: Column, unit_price: Column, line_cost: Column) -> tuple[Column, Column]:
+    """(rejected, number of warnings) of `validated`, from its conditions alone: no warning is written out."""
+    q, name = F.coalesce(quantity, F.lit(0.0)).cast("double"), F.upper(F.coalesce(unit, F.lit("")))
+    bad = description_fault(description).isNotNull()
+    out = (q < limit(unit, 0, 0.0)) | (q > limit(unit, 1, float("inf")))
+    unusual = q.isin(*map(float, rules.ROUND_QUANTITIES)) | (q > limit(unit, 2, float("inf")))
+    oversized, odd = size_faults(description)
+    price, cost = F.coalesce(unit_price, F.lit(0.0)), F.coalesce(line_cost, F.lit(0.0))
+    dear = F.coalesce(price > F.element_at(_most_prices(), name), F.lit(False))
+    n = lambda c: c.cast("int")
+    prices = n(cost > rules.MAX_LINE_COST) + n((price != 0) & (price < rules.MIN_UNIT_PRICE)) + n(dear)
+    rejected = bad | out | oversized
+    return rejected, F.when(bad | out, 0).when(oversized, n(unusual)).otherwise(n(unusual) + n(odd) + prices)
+
+
 def gate_report(items: DataFrame, *keys: str) -> DataFrame:
     """Counts by outcome: items, passed, rejected, warnings."""
-    v = validated(items)
+    rejected, warnings = gate_outcome(*[F.col(c) for c in ("description", "quantity", "unit", "unit_price", "line_cost")])
+    v = items.select(*keys, rejected.alias("rejected"), warnings.alias("warnings"))
     return v.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_items"),
         F.count_if(~F.col("rejected")).alias("n_passed"),
         F.count_if("rejected").alias("n_rejected"),
-        F.sum(F.size(F.filter("validation_warnings", lambda x: x["severity"] == "warning"))).cast("long").alias("n_warnings"),
+        F.sum("warnings").cast("long").alias("n_warnings"),
     )
 
 

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from planquant.functions import rules
+from planquant.functions.arrays import let
 from planquant.functions.text import contains_any, matches, rlike, strip, words_found
 
 PRODUCT_WORDS = (
@@ -19,23 +20,25 @@ ANNOTATION_WORDS = ("SEE", "NOTE", "TYP", "TYPICAL", "DETAIL", "SCHEDULE", "TABL
 
 def page_class(text: Column, page: Column) -> Column:
     """struct(page_type, confidence, keywords) by words found, in order of priority, else by position."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-
-    def rule(name: str, words, base: float, step: float, most: float, last: int | None):
-        hits = words_found(low, words)
-        when = (F.size(hits) > 0) if last is None else (F.size(hits) > 0) & (page <= last)
-        return when, F.struct(F.lit(name).alias("page_type"), F.least(F.lit(most), F.lit(base) + F.lit(step) * F.size(hits)).alias("confidence"), hits.alias("keywords"))
-
-    given = [
-        rule("summary", rules.SUMMARY_WORDS, 0.7, 0.1, 0.98, None),
-        rule("title", rules.TITLE_WORDS, 0.5, 0.1, 0.9, 2),
-        rule("toc", rules.TOC_WORDS, 0.5, 0.15, 0.9, 5),
-        rule("notes", rules.NOTES_WORDS, 0.4, 0.1, 0.85, 6),
-        rule("payload", rules.PAYLOAD_WORDS, 0.6, 0.05, 0.95, None),
-    ]
+    lists = (
+        ("summary", rules.SUMMARY_WORDS, 0.7, 0.1, 0.98, None),
+        ("title", rules.TITLE_WORDS, 0.5, 0.1, 0.9, 2),
+        ("toc", rules.TOC_WORDS, 0.5, 0.15, 0.9, 5),
+        ("notes", rules.NOTES_WORDS, 0.4, 0.1, 0.85, 6),
+        ("payload", rules.PAYLOAD_WORDS, 0.6, 0.05, 0.95, None),
+    )
     other = lambda name, c: F.struct(F.lit(name).alias("page_type"), F.lit(c).alias("confidence"), F.array().cast("array<string>").alias("keywords"))
-    fallback = F.when(page == 1, other("title", 0.4)).when(page == 2, other("toc", 0.3)).otherwise(other("payload", 0.5))
-    return reduce(lambda rest, r: F.when(r[0], r[1]).otherwise(rest), reversed(given), fallback)
+
+    def chosen(found: Column) -> Column:
+        out = F.when(page == 1, other("title", 0.4)).when(page == 2, other("toc", 0.3)).otherwise(other("payload", 0.5))
+        for name, _, base, step, most, last in reversed(lists):
+            hits = found[name]
+            when = (F.size(hits) > 0) if last is None else (F.size(hits) > 0) & (page <= last)
+            out = F.when(when, F.struct(F.lit(name).alias("page_type"), F.least(F.lit(most), F.lit(base) + F.lit(step) * F.size(hits)).alias("confidence"), hits.alias("keywords"))).otherwise(out)
+        return out
+
+    # The case is folded once, and each list looked for once.
+    return let(F.lower(F.coalesce(text, F.lit(""))), lambda low: let(F.struct(*[words_found(low, words).alias(name) for name, words, *_ in lists]), chosen))
 
 
 def classified(pages: DataFrame, file_col: str = "file_id", page_col: str = "page_num", text_col: str = "text") -> DataFrame:
@@ -55,19 +58,20 @@ def is_blank(white_ratio: Column, threshold: float = 0.98) -> Column:
 
 
 def class_rollup(classes: DataFrame, *keys: str) -> DataFrame:
-    """Per file: pages, pages to read, pages skipped, summary pages."""
+    """Per file: pages, pages to read, pages skipped, summary pages and their numbers. A file's pages are bounded by the file."""
     return classes.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_pages"),
         F.count_if("should_ocr").alias("n_read"),
         F.count_if(~F.col("should_ocr")).alias("n_skipped"),
         F.count_if(F.col("page_type") == "summary").alias("n_summary"),
+        *([F.array_sort(F.collect_list(F.when(F.col("page_type") == "summary", F.col("page_num")))).alias("summary_pages")] if "page_num" in classes.columns else []),
     )
 
 
 def is_summary_page(text: Column) -> Column:
     """100 characters or more, and a primary phrase or two secondary ones with a unit."""
-    up = F.upper(F.coalesce(text, F.lit("")))
-    return (F.length(up) >= 100) & (contains_any(up, rules.SUMMARY_PRIMARY) | ((F.size(words_found(up, rules.SUMMARY_SECONDARY)) >= 2) & contains_any(up, ("LF", "EA", "LS", "SY", "CY", "SF", "TON"))))
+    secondary = lambda up: (F.size(words_found(up, rules.SUMMARY_SECONDARY)) >= 2) & contains_any(up, ("LF", "EA", "LS", "SY", "CY", "SF", "TON"))
+    return let(F.upper(F.coalesce(text, F.lit(""))), lambda up: (F.length(up) >= 100) & (contains_any(up, rules.SUMMARY_PRIMARY) | secondary(up)))
 
 
 def summary_type(text: Column) -> Column:
@@ -99,26 +103,38 @@ _INCOMPLETE = (
 
 def page_quality(text: Column) -> Column:
     """How well a page's products can be read: counts, flags, the reasons for a second reading, and whether one is needed."""
-    up = F.upper(F.coalesce(text, F.lit("")))
     count = lambda s, patterns: reduce(lambda a, b: a + b, [F.regexp_count(s, F.lit(p)) for p in patterns])
-    keywords, complete = F.size(words_found(up, PRODUCT_WORDS)), count(up, _COMPLETE)
-    sizes = F.regexp_extract_all(up, F.lit(_CALLOUT), F.lit(1))
-    bare = F.size(F.filter(sizes, lambda n: ~F.regexp_like(up, F.concat(F.lit(r"(?:RCP|PVC|HDPE|CMP|DIP|SRCP)\s*-?\s*"), n, F.lit(r".*?(\d+)\s*(?:LF|EA)")))))
-    incomplete = count(F.left(up, F.lit(500)), _INCOMPLETE)
-    schedule = F.size(words_found(up, SCHEDULE_WORDS)) >= 2
-    reasons = F.array_compact(
-        F.array(
-            F.when((keywords > 0) & (complete == 0), F.concat(F.lit("product_keywords_found ("), keywords.cast("string"), F.lit(") but no complete items"))),
-            F.when(bare > 0, F.concat(F.lit("callouts_without_quantity ("), bare.cast("string"), F.lit(")"))),
-            F.when((incomplete > complete) & (keywords > 2), F.concat(F.lit("incomplete_items ("), incomplete.cast("string"), F.lit(") > complete_items ("), complete.cast("string"), F.lit(")"))),
-            F.when(schedule, F.lit("pipe_schedule_detected")),
+
+    def measured(up: Column) -> Column:
+        sizes = F.regexp_extract_all(up, F.lit(_CALLOUT), F.lit(1))
+        bare = F.size(F.filter(sizes, lambda n: ~F.regexp_like(up, F.concat(F.lit(r"(?:RCP|PVC|HDPE|CMP|DIP|SRCP)\s*-?\s*"), n, F.lit(r".*?(\d+)\s*(?:LF|EA)")))))
+        # Every complete item and callout has a digit and, but for codes, a material; most pages have neither.
+        material = contains_any(up, ("RCP", "PVC", "HDPE", "CMP", "DIP"))
+        return F.struct(
+            F.size(words_found(up, PRODUCT_WORDS)).alias("keywords"), F.when(material | rlike(up, r"\d{3}-\d{1,3}-\d"), count(up, _COMPLETE)).otherwise(0).alias("complete"), F.when(material, bare).otherwise(0).alias("bare"),
+            count(F.left(up, F.lit(500)), _INCOMPLETE).alias("incomplete"), (F.size(words_found(up, SCHEDULE_WORDS)) >= 2).alias("schedule"), contains_any(up, ANNOTATION_WORDS).alias("notes"),
+        )
+
+    def judged(m: Column) -> Column:
+        keywords, complete, bare, incomplete = (m[c] for c in ("keywords", "complete", "bare", "incomplete"))
+        said = lambda *parts: F.concat(*[p.cast("string") if isinstance(p, Column) else F.lit(p) for p in parts])
+        reasons = F.array_compact(
+            F.array(
+                F.when((keywords > 0) & (complete == 0), said("product_keywords_found (", keywords, ") but no complete items")),
+                F.when(bare > 0, said("callouts_without_quantity (", bare, ")")),
+                F.when((incomplete > complete) & (keywords > 2), said("incomplete_items (", incomplete, ") > complete_items (", complete, ")")),
+                F.when(m["schedule"], F.lit("pipe_schedule_detected")),
+            )
         )
-    )
-    return F.struct(
-        keywords.alias("product_keywords_found"), complete.alias("complete_items_found"), incomplete.alias("incomplete_items_found"),
-        bare.alias("callouts_without_quantity"), (schedule | contains_any(up, ANNOTATION_WORDS)).alias("has_complex_tables"),
-        schedule.alias("has_pipe_schedule"), reasons.alias("reasons"), (F.size(reasons) > 0).alias("needs_vision"),
-    )
+        return let(
+            reasons,
+            lambda r: F.struct(
+                keywords.alias("product_keywords_found"), complete.alias("complete_items_found"), incomplete.alias("incomplete_items_found"), bare.alias("callouts_without_quantity"),
+                (m["schedule"] | m["notes"]).alias("has_complex_tables"), m["schedule"].alias("has_pipe_schedule"), r.alias("reasons"), (F.size(r) > 0).alias("needs_vision"),
+            ),
+        )
+
+    return let(F.upper(F.coalesce(text, F.lit(""))), lambda up: let(measured(up), judged))
 
 
 def flagged(pages: DataFrame, text_col: str = "text", confidence_col: str = "confidence", blocks_col: str = "block_count") -> DataFrame:

@@ -1,7 +1,8 @@
 """Prices: a cascade of joins with the catalog; each step only sees what the steps before left over.
 
-The catalog is a dimension table. Joins leave the choice of broadcast to the optimizer's size check; steps without an equal
-key (fuzzy) join on exploded tokens, never on all pairs.
+Prices depend on an item's code and description alone, so the cascade runs once for each distinct pair of them. The catalog is a
+dimension table. Joins leave the choice of broadcast to the optimizer's size check; the step without an equal key (tokens) joins
+on the few tokens that a pair of the needed overlap must share, the common ones of the trade last, never on all pairs.
 """
 
 from __future__ import annotations
@@ -75,17 +76,34 @@ def by_family(items: DataFrame, catalog: DataFrame, key: str) -> DataFrame:
     return _best(i.join(c, (F.col("i.size_of_item") == F.col("c.size_norm")) & family), f"i.{key}", F.lit(0)).toDF(key, "product")
 
 
+#: Words that most products of a kind have; they come last where sets of tokens are ordered, so that joins hardly use them.
+COMMON_TOKENS = ("pipe", "endwall", "inlet", "manhole", "culvert", "round", "elliptical", "straight", "winged", "type", "class", "cl", "end", "section", "single", "double", "triple", "box", "mes")
+
+
+def _needed(t: Column, share: float) -> Column:
+    """The tokens of a set of which any set that shares `share` of the larger one of both must have one: in one order for all
+    sets, all but the last that can be missing."""
+    ordered = F.transform(F.array_sort(F.transform(t, lambda w: F.struct(w.isin(*COMMON_TOKENS).alias("common"), w.alias("w")))), lambda x: x["w"])
+    return F.slice(ordered, F.lit(1), F.size(t) - F.ceil(F.size(t) * share - 1e-9).cast("int") + 1)
+
+
 def by_tokens(items: DataFrame, catalog: DataFrame, key: str, least: float = 0.4) -> DataFrame:
-    """(key, product): 0.6 for shared tokens over the larger set, 0.3 for the same size; `least` is needed, so a product
-    that shares no token never counts, and the join is on tokens. The first of the best wins."""
-    i = items.select(key, "size_of_item", tokens(F.col("description")).alias("t")).filter(F.size("t") > 0)
-    c = catalog.withColumn("t", tokens(F.concat_ws(" ", "product_type", "configuration")))
-    pairs = i.select(key, F.explode("t").alias("w")).join(c.select("row_no", F.explode("t").alias("w")), "w").groupBy(key, "row_no").agg(F.count(F.lit(1)).alias("n"))
-    both = pairs.join(i.alias("i"), key).join(c.alias("c"), "row_no")
-    share = F.col("n") / F.greatest(F.size("i.t"), F.size("c.t"))
-    score = (share * 60 + F.when((F.col("size_of_item") != "") & (F.col("size_of_item") == F.col("c.size_norm")), 30).otherwise(0)) / 100
-    scored = both.withColumn("score", score).filter(F.col("score") >= least)
-    return scored.groupBy(key).agg(F.max_by(_product("c."), F.struct(F.col("score"), -F.col("row_no"))).alias("product"))
+    """(key, product): 0.6 for shared tokens over the larger set, 0.3 for the same size; `least` is needed. The first of the best
+    wins. Sets of tokens are compared once, whatever the number of items that have them: with the products of the same
+    size if they have one, and with those that share enough tokens without it."""
+    i = items.select(key, "size_of_item", F.array_sort(tokens(F.col("description"))).alias("t")).filter(F.size("t") > 0)
+    asked = i.groupBy("t", "size_of_item").agg(F.count(F.lit(1)).alias("_n")).select(F.col("t").alias("it"), F.col("size_of_item").alias("is"))
+    c = catalog.withColumn("ct", tokens(F.concat_ws(" ", "product_type", "configuration"))).filter(F.size("ct") > 0)
+    share = lambda: F.size(F.array_intersect("it", "ct")) / F.greatest(F.size("it"), F.size("ct"))
+    sized = asked.filter(F.col("is") != "").join(c, F.col("is") == F.col("size_norm")).withColumn("score", (share() * 60 + 30) / 100)
+    plain = asked.select("*", F.explode(_needed(F.col("it"), least / 0.6)).alias("w")).join(c.select("row_no", F.explode(_needed(F.col("ct"), least / 0.6)).alias("w")), "w").select("it", "is", "row_no").distinct()
+    plain = plain.join(c, "row_no").withColumn("score", share() * 60 / 100)
+    product = F.struct(*PRODUCT)
+    columns = ["it", "is", "score", "row_no", product.alias("product")]
+    # Every stage of a pair gets its share of tokens; a product without any never counts.
+    scored = sized.filter(F.size(F.array_intersect("it", "ct")) > 0).select(*columns).unionByName(plain.select(*columns)).filter(F.col("score") >= least)
+    best = scored.groupBy("it", "is").agg(F.max_by("product", F.struct(F.col("score"), -F.col("row_no"))).alias("product"))
+    return i.join(best, (F.col("t") == F.col("it")) & (F.col("size_of_item") == F.col("is"))).select(key, "product")
 
 
 def matched_products(items: DataFrame, catalog: DataFrame, key: str = "item_no") -> DataFrame:
@@ -112,8 +130,11 @@ def matched_products(items: DataFrame, catalog: DataFrame, key: str = "item_no")
 def priced(items: DataFrame, catalog: DataFrame, key: str = "item_no") -> DataFrame:
     """Items with matched, unit_price, line_cost and matched_product; a match found replaces an earlier one. A price of
     0 (on request) counts as matched, at no cost."""
-    hits = matched_products(items, catalog, key)
-    j = items.join(hits, key, "left")
+    asked = items.select(F.col("pay_item_no").alias("_code"), F.col("description").alias("_text"))
+    question = lambda code, text: F.to_json(F.struct(F.col(code).alias("c"), F.col(text).alias("d")))
+    questions = asked.distinct().select(question("_code", "_text").alias("_question"), F.col("_code").alias("pay_item_no"), F.col("_text").alias("description"))
+    hits = matched_products(questions, catalog, "_question")
+    j = items.withColumn("_question", question("pay_item_no", "description")).join(hits, "_question", "left")
     new = F.col("product").isNotNull()
     old = lambda c, kind: F.col(c) if c in items.columns else F.lit(None).cast(kind)
     return j.select(

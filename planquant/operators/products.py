@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from planquant.functions import rules
-from planquant.functions.text import extract, matches, parse_number, rlike
+from planquant.functions.text import extract, matches, parse_number, placed, rlike
 
 # Ways to write a unit.
 UNIT_FORMS = {
@@ -52,7 +52,7 @@ def quantity_near(context: Column, unit: Column, start: Column, end: Column) ->
         for form in forms:
             here = F.when(unit == name, head(fine(matches(F.upper(line), rf"{_NUMBER}\s*(?:{form})", 1), unit)))
             same_line.append(result(here, F.lit(0.95), F.lit(name)))
-            near = F.when(unit == name, head(fine(matches(up, rf"{_NUMBER}\s*(?:{form})", 1, with_start=True), unit)))
+            near = F.when(unit == name, head(fine(matches(up, rf"{_NUMBER}\s*(?:{form})", 1, with_start=True, short=True), unit)))
             distance = F.least(F.abs(near["start"] - end), F.abs(near["start"] + F.length(near["m"]) - start))
             in_context.append(result(near, F.when(distance < 30, 0.90).when(distance < 80, 0.75).otherwise(0.60), F.lit(name)))
             turned = F.when(unit == name, head(fine(matches(up, rf"(?:{form})\s*{_NUMBER}", 1), unit)))
@@ -70,29 +70,30 @@ def product_hits(pages: DataFrame, catalog: DataFrame, keys: list[str], text_col
     numbers = F.array_distinct(F.regexp_extract_all(F.col(text_col), F.lit(r"(?=(\d+))\d"), F.lit(1)))
     # A keyword counts anywhere in a run of digits, so every part of a run is offered.
     every = F.array_distinct(F.flatten(F.transform(numbers, lambda n: F.transform(F.sequence(F.lit(1), F.length(n)), lambda k: F.left(n, k)))))
-    offered = pages.select(*keys, F.col(text_col).alias("_text"), F.explode(every).alias("_n"))
+    page = [c for c in ("page_num",) if c in pages.columns and c not in keys]
+    offered = pages.select(*keys, *page, F.col(text_col).alias("_text"), F.explode(every).alias("_n"))
     c = catalog.filter(F.size("patterns") > 0).select("row_no", "id", "category", "product_type", "size", "configuration", "price", F.col("unit").alias("product_unit"), "fdot_code", "keywords", F.get("keywords", F.lit(0)).alias("_n"), "patterns")
     pairs = offered.join(c, "_n").filter(F.forall("keywords", lambda k: F.contains(F.upper("_text"), k))).drop("_n")
     tried = pairs.select("*", F.posexplode("patterns").alias("pattern_no", "p")).drop("patterns", "keywords")
     p = F.concat(F.lit("(?i)"), F.col("p"))
     found = F.regexp_extract_all("_text", p, F.lit(0))
     tried = tried.withColumn("found", found).filter(F.size("found") > 0)
-    lengths, gaps = F.transform("found", lambda m: F.length(m)), F.transform(F.split(F.col("_text"), F.concat(F.lit("(?i)"), F.col("p")), F.lit(-1)), lambda g: F.length(g))
-    total = lambda a, n: F.aggregate(F.slice(a, F.lit(1), n), F.lit(0), lambda t, x: t + x)
-    hits = F.transform("found", lambda m, i: F.struct(m.alias("m"), (total(gaps, i + 1) + total(lengths, i)).alias("at"), i.alias("i")))
-    h = tried.withColumn("h", F.explode(hits)).withColumn("from", F.greatest(F.col("h.at") - window, F.lit(0)))
+    starts = placed(F.col("found"), F.split(F.col("_text"), F.concat(F.lit("(?i)"), F.col("p")), F.lit(-1)))
+    h = tried.withColumn("h", F.explode(F.zip_with(F.arrays_zip(F.col("found").alias("m"), F.transform("found", lambda m, i: i).alias("i")), starts, lambda x, at: F.struct(x["m"].alias("m"), at.alias("at"), x["i"].alias("i")))))
+    h = h.withColumn("from", F.greatest(F.col("h.at") - window, F.lit(0)))
     context = F.substring(F.col("_text"), F.col("from") + 1, F.col("h.at") + F.length("h.m") + window - F.col("from"))
     h = h.withColumn("context", context).filter(~false_pipe(F.col("context"), F.col("size")))
     start = F.col("h.at") - F.col("from")
     q = quantity_near(F.col("context"), F.col("product_unit"), start, start + F.length("h.m"))
     h = h.withColumn("q", F.coalesce(q, F.struct(F.lit(0.0).alias("quantity"), F.lit(0.3).alias("confidence"), F.col("product_unit").alias("unit"))))
     bonus = F.greatest(F.lit(0.0), F.lit(0.1) - F.col("pattern_no") * 0.02)
-    return h.select(*keys, "row_no", "id", "category", "product_type", "size", "configuration", "price", "fdot_code", "pattern_no", F.col("h.i").alias("hit"), F.col("q.quantity").alias("quantity"), F.least(F.lit(1.0), F.col("q.confidence") + bonus).alias("confidence"), F.col("q.unit").alias("unit"), F.trim("context").alias("source_text"))
+    return h.select(*keys, *page, "row_no", "id", "category", "product_type", "size", "configuration", "price", "fdot_code", "pattern_no", F.col("h.i").alias("hit"), F.col("q.quantity").alias("quantity"), F.least(F.lit(1.0), F.col("q.confidence") + bonus).alias("confidence"), F.col("q.unit").alias("unit"), F.trim("context").alias("source_text"))
 
 
 def best_per_product(hits: DataFrame, keys: list[str]) -> DataFrame:
     """One row per product: the most certain hit; if that has no quantity, the next best one's (over .4) is borrowed."""
-    by = Window.partitionBy(*keys, "id").orderBy(F.desc("confidence"), F.desc(F.col("quantity") > 0), "pattern_no", "hit")
+    page = ["page_num"] if "page_num" in hits.columns and "page_num" not in keys else []
+    by = Window.partitionBy(*keys, "id").orderBy(F.desc("confidence"), F.desc(F.col("quantity") > 0), "pattern_no", *page, "hit")
     r = hits.withColumn("_rank", F.row_number().over(by))
     spare = F.min_by(F.struct("quantity", "confidence", "unit"), F.when((F.col("_rank") > 1) & (F.col("quantity") > 0) & (F.col("confidence") > 0.4), F.col("_rank")))
     alt = r.groupBy(*keys, "id").agg(spare.alias("_alt"), F.count_if((F.col("_rank") > 1) & (F.col("quantity") > 0) & (F.col("confidence") > 0.4)).alias("_n"))
@@ -132,6 +133,7 @@ def to_pay_items(matched: DataFrame, keys: list[str]) -> DataFrame:
     c, priced = F.col("confidence"), F.col("price") > 0
     return matched.select(
         *keys,
+        *[c for c in ("page_num",) if c in matched.columns and c not in keys],
         F.coalesce("fdot_code", F.concat_ws("-", "category", "size")).alias("pay_item_no"),
         F.concat_ws(" ", F.nullif("size", F.lit("")), F.nullif("product_type", F.lit("")), F.nullif("configuration", F.lit(""))).alias("description"),
         "unit", "quantity", F.lit(True).alias("matched"), F.when(priced, F.col("price")).alias("unit_price"), F.when(priced, F.col("quantity") * F.col("price")).alias("line_cost"),

@@ -77,8 +77,9 @@ def structure_codes(spark: SparkSession) -> DataFrame:
 
 def closest_subtype(structures: DataFrame, wanted: DataFrame) -> DataFrame:
     """For subtypes without a code of their own: the table's subtype of the same type with the least edit distance
-    (relative), a shared depth counting a tenth; at least half alike, the first by code on ties."""
+    (relative), a shared depth counting a tenth; at least half alike, the first by code on ties. No wording of `structure_of`
+    needs it: all of theirs have a code or are standard."""
     likeness = 1 - F.levenshtein(F.upper("w.subtype"), F.upper("s.subtype")) / F.greatest(F.length("w.subtype"), F.length("s.subtype"))
     score = likeness + F.when(F.col("w.depth") == F.col("s.depth"), 0.1).otherwise(0.0)
-    pairs = wanted.alias("w").join(F.broadcast(structures.alias("s")), F.col("w.type") == F.col("s.type")).withColumn("score", score).filter("score > 0.5")
-    return pairs.groupBy("w.type", "w.subtype", "w.depth").agg(F.max_by(F.struct("s.fdot_code", "s.price"), F.struct("score", F.struct(F.lit(0)))).alias("best")).select("type", "subtype", "depth", "best.*")
+    pairs = wanted.alias("w").join(structures.alias("s"), F.col("w.type") == F.col("s.type")).withColumn("score", score).filter("score > 0.5")
+    return pairs.groupBy("w.type", "w.subtype", "w.depth").agg(F.min_by(F.struct("s.fdot_code", "s.price"), F.struct((-F.col("score")).alias("score"), F.col("s.fdot_code").alias("code"))).alias("best")).select("type", "subtype", "depth", "best.*")

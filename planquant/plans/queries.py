@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from planquant.functions import rules, text as T
 from planquant.operators import catalog as C, extract as E, gates as G, geometry, layout, messy, pages as P, pricing, products, review, rollup, structures, summary
+from planquant.plans import takeoff
 from planquant.plans.registry import register
 from planquant.sources import files
 from planquant.streaming import mail
@@ -311,6 +312,55 @@ register(
 )
 
 
+# The whole take-off.
+_FULL_CATALOG = ((0, "A", "RCP_Price_List", "Round RCP", "", "CL III", 7.5, "LF", "FDOT 430-175"), (1, "B", "RCP_Price_List", "Round RCP", "", "CL V", 11.25, "LF", "430-984"))
+
+
+def full_pages(s: SparkSession, d: str) -> DataFrame:
+    """Files of four pages: items and labels, the same items again with labels of pipes, and a summary sheet twice."""
+    b = base(s, d)
+    first = page_of(b, cat(_code(), " PIPE CULVERT LF ", c("q"), "\nINLET #", c("pk") % 5)).withColumn("page_num", F.lit(1))
+    second = page_of(b, cat(_code(), " PIPE CULVERT LF ", c("q"), "\nINLET #", c("pk") % 5 + 3, "\nHDPE ", c("sz"), " ;")).withColumn("page_num", F.lit(2))
+    sheet = page_of(b, cat("430-984-1", c("sz"), "\nPIPE CULVERT\n", c("q"), "\nLF"), _HEAD)
+    return first.unionByName(second).unionByName(sheet.withColumn("page_num", F.lit(3))).unionByName(sheet.withColumn("page_num", F.lit(4)))
+
+
+def _full(s: SparkSession, d: str):
+    catalog = s.createDataFrame(list(_FULL_CATALOG), "row_no long, id string, category string, product_type string, size string, configuration string, price double, unit string, fdot_code string")
+    return takeoff.analyze(full_pages(s, d), catalog, use_product_first=False)
+
+
+_FULL = f"""{BASE}, full_items as (
+  select distinct file_id, '430-175-1' || sz as pay_item_no, 'LF' as unit, cast(q as double) as quantity, 'fdot' as source, 7.5::double as unit_price from base
+  union all select file_id, 'INLET', 'EA', 1.0::double, 'drainage_label', 4200.0::double from (select distinct file_id, pk % 5 + k.k * 3 as no from base, range(2) k(k))
+  union all select distinct file_id, '430-984-1' || sz, 'LF', cast(q as double), 'summary', 11.25::double from base)"""
+register("takeoff_full", lambda s, d: _full(s, d).items.select("file_id", "pay_item_no", "unit", "quantity", "source", "unit_price", F.round("line_cost", 2).alias("line_cost")), f"with {_FULL} select *, round(quantity * unit_price, 2) as line_cost from full_items")
+register(
+    "takeoff_full_report",
+    lambda s, d: _full(s, d).report.select("file_id", "total_items", "matched_items", F.round("estimated_total", 2).alias("estimated_total")),
+    f"with {_FULL} select file_id, count(*) as total_items, count(*) as matched_items, round(sum(quantity * unit_price), 2) as estimated_total from full_items group by file_id",
+)
+
+
+def _cascade(s: SparkSession, d: str) -> DataFrame:
+    """Parts as items that end at one stage of the cascade each."""
+    k = c("p_partkey")
+    code = F.when(k % 5 == 0, cat("430-", k)).when(k % 5 == 1, cat("430-", k, "-9-1")).otherwise(cat("X-", k))
+    text = F.when(k % 5 == 2, cat(c("sz"), '" RCP CULVERT')).when(k % 5 == 3, "TYPE E INLET").when(k % 5 == 4, "SIGN POST").otherwise("GOODS")
+    items = _parts(s, d).select(k.alias("item_no"), code.alias("pay_item_no"), text.alias("description"), c("n").cast("double").alias("quantity"))
+    pipes = _pipe_catalog(s).withColumn("product_type", F.lit("Round Pipe")).drop("id", "notes").withColumn("row_no", c("row_no") + 1_000_000_000)
+    return pricing.priced(items, _part_catalog(s, d).filter(c("row_no") % 5 < 2).withColumn("product_type", F.lit("Goods of all kinds")).unionByName(pipes)).select("item_no", "matched", "match_source", "unit_price", F.round("line_cost", 2).alias("line_cost"))
+
+
+register(
+    "price_cascade",
+    _cascade,
+    f"""with {_PARTS}, x as (select p_partkey as item_no, p_partkey % 5 < 4 as matched, case p_partkey % 5 when 2 then 'family' when 3 then 'structure' when 4 then null else 'code' end as match_source,
+    case p_partkey % 5 when 2 then cast(sz as double) when 3 then 4000.0 when 4 then null else p_retailprice end as unit_price, n from parts)
+    select item_no, matched, match_source, cast(unit_price as double) as unit_price, round(unit_price * n, 2) as line_cost from x""",
+)
+
+
 # Pages.
 def _pages(s: SparkSession, d: str) -> DataFrame:
     return _table(s, d, "documents").select("doc_id", c("source").alias("file_id"), (c("doc_id") % 8 + 1).cast("int").alias("page_num"), "text", (c("n_chars") % 100 / 100).alias("confidence"), (c("doc_id") % 9).cast("int").alias("block_count"))
@@ -326,11 +376,19 @@ round(cast(case when su > 0 then least(0.98, 0.7 + 0.1 * su) when ti > 0 and p <
 register("page_class", lambda s, d: _pages(s, d).select("doc_id", P.page_class(c("text"), c("page_num")).alias("x")).select("doc_id", "x.page_type", F.round("x.confidence", 6).alias("confidence")), _CLASS)
 register(
     "page_quality",
-    lambda s, d: _pages(s, d).select("doc_id", P.page_quality(c("text")).alias("x")).select("doc_id", "x.product_keywords_found", "x.has_pipe_schedule", "x.has_complex_tables"),
-    f"select doc_id, cast({_hits(P.PRODUCT_WORDS).format('upper(text)')} as int) as product_keywords_found, {_hits(P.SCHEDULE_WORDS).format('upper(text)')} >= 2 as has_pipe_schedule, {_hits(P.SCHEDULE_WORDS).format('upper(text)')} >= 2 or {_hits(P.ANNOTATION_WORDS).format('upper(text)')} > 0 as has_complex_tables from documents",
+    lambda s, d: _pages(s, d).select("doc_id", P.page_quality(c("text")).alias("x")).select("doc_id", "x.product_keywords_found", "x.complete_items_found", "x.has_pipe_schedule", "x.has_complex_tables"),
+    f"select doc_id, cast({' + '.join(f"len(regexp_extract_all(upper(text), '{p}'))" for p in P._COMPLETE)} as int) as complete_items_found, cast({_hits(P.PRODUCT_WORDS).format('upper(text)')} as int) as product_keywords_found, {_hits(P.SCHEDULE_WORDS).format('upper(text)')} >= 2 as has_pipe_schedule, {_hits(P.SCHEDULE_WORDS).format('upper(text)')} >= 2 or {_hits(P.ANNOTATION_WORDS).format('upper(text)')} > 0 as has_complex_tables from documents",
 )
 register("page_flags", lambda s, d: P.flagged(_pages(s, d)).groupBy("flagged", "quality.needs_vision").agg(F.count(F.lit(1)).alias("n")))
-register("page_rollup", lambda s, d: P.class_rollup(P.classified(_pages(s, d), page_col="page_num"), "file_id"))
+register(
+    "page_rollup",
+    lambda s, d: P.class_rollup(P.classified(_pages(s, d), page_col="page_num"), "file_id").select("file_id", "n_pages", "n_read", "n_skipped", "n_summary", F.array_join(F.array_distinct(F.transform("summary_pages", lambda p: p.cast("string"))), ",").alias("summary_pages")),
+    f"""with c as ({_CLASS}), j as (select source as file_id, doc_id % 8 + 1 as p, c.page_type, c.confidence, count(*) over (partition by source) as n from c join documents using (doc_id)),
+    k as (select file_id, p, case when n <= 3 then 'payload' else page_type end as t, case when n <= 3 then 1.0 else confidence end as f from j)
+    select file_id, count(*) as n_pages, count(*) filter (not (t in ('title', 'toc', 'notes') and f > 0.7)) as n_read, count(*) filter (t in ('title', 'toc', 'notes') and f > 0.7) as n_skipped, count(*) filter (t = 'summary') as n_summary,
+    coalesce(string_agg(distinct cast(p as varchar), ',' order by cast(p as varchar)) filter (t = 'summary'), '') as summary_pages from k group by file_id""",
+)
+register("page_should_read", lambda s, d: P.classified(_pages(s, d), page_col="page_num").select("doc_id", "page_type", "should_ocr"), f"with c as ({_CLASS}), j as (select doc_id, c.page_type, c.confidence, count(*) over (partition by source) as n from c join documents using (doc_id)) select doc_id, case when n <= 3 then 'payload' else page_type end as page_type, n <= 3 or not (page_type in ('title', 'toc', 'notes') and confidence > 0.7) as should_ocr from j")
 register("vision_budget_topk", lambda s, d: P.within_budget(_pages(s, d).filter("confidence < 0.65"), 5, page_col="doc_id").select("file_id", "doc_id", "confidence"), "select source as file_id, doc_id, n_chars % 100 / 100 as confidence from documents where n_chars % 100 / 100 < 0.65 qualify row_number() over (partition by source order by n_chars % 100, doc_id) <= 5")
 register("page_override", lambda s, d: P.overridden(_pages(s, d).select("doc_id", "file_id", "text"), _pages(s, d).filter("doc_id % 5 = 0").select("doc_id", "file_id", cat("VISION ", c("doc_id")).alias("text")), page_col="doc_id").select("doc_id", F.left("text", F.lit(40)).alias("head")), "select doc_id, case when doc_id % 5 = 0 then 'VISION ' || doc_id else left(regexp_replace(regexp_replace(text, '^\\s+', ''), '\\s+$', ''), 40) end as head from documents")
 register(
