@@ -33,7 +33,7 @@ WINDOW = 2048
 END = 1
 BLOCK_TOKENS = 4 << 20
 #: Pieces, and words, whose ids a worker keeps.
-CACHE = 150_000
+CACHE = 300_000
 #: Spacing of the third length in the combinations of three.
 THIRD = 64
 

@@ -19,8 +19,8 @@ from pyspark.sql import DataFrame
 
 from planquant.llm.common import Kept, arrow_map, slices
 
-#: Pieces, and units of pieces, whose counts a worker keeps; when they are more it starts anew.
-CACHE = 200_000
+#: Pieces, and units of pieces, whose counts a worker keeps; pieces met later are encoded slice by slice.
+CACHE = 500_000
 
 
 @lru_cache(maxsize=2)
@@ -47,16 +47,19 @@ def count_tokens(texts: list[bytes], path: str) -> list[int]:
     words = [t.split() for t in texts]
     own = set().union(*words)
     new = own.difference(kept)
-    if len(kept) + len(new) > CACHE:
-        kept.clear()
-        new = own
-    if len(units) > CACHE:
-        units.clear()
     parts = {p: m.groups() if (m := _SIMPLE.fullmatch(s := p.decode())) else (s,) for p in new}
     todo = list({u for g in parts.values() for u in g if u and u not in units})
-    units.update(zip(todo, map(len, tokenizer.encode_batch_fast(todo, add_special_tokens=False)), strict=True))
-    kept.update((p, sum(units[u] for u in g if u)) for p, g in parts.items())
-    get = kept.__getitem__
+    fresh = dict(zip(todo, map(len, tokenizer.encode_batch_fast(todo, add_special_tokens=False)), strict=True))
+    size = lambda u: units[u] if u in units else fresh[u]
+    found = {p: sum(size(u) for u in g if u) for p, g in parts.items()}
+    if len(units) + len(fresh) <= CACHE:
+        units.update(fresh)
+    known = kept
+    if len(kept) + len(found) <= CACHE:
+        kept.update(found)
+    else:
+        known = {p: kept[p] for p in own.difference(found)} | found
+    get = known.__getitem__
     return [sum(map(get, w)) for w in words]
 
 
