@@ -114,6 +114,11 @@ def size_inches(s: Column) -> Column:
     return F.when(number != "", F.concat(number, F.lit('"'))).otherwise("")
 
 
+def code_key(s: Column) -> Column:
+    """A pay item's code without white space at its ends, in capitals."""
+    return F.upper(strip(F.coalesce(s, F.lit(""))))
+
+
 def tokens(s: Column) -> Column:
     """Distinct words of two characters or more, without stop words, synonyms folded."""
     words = F.regexp_extract_all(F.lower(F.coalesce(s, F.lit(""))), F.lit(r"\b[a-z0-9]+\b"), F.lit(0))

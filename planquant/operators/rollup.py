@@ -99,8 +99,8 @@ def batch_summary(results: DataFrame) -> DataFrame:
     )
 
 
-def csv_rows(items: DataFrame) -> DataFrame:
-    """The fourteen columns of the CSV report."""
+def csv_rows(items: DataFrame, *keys: str) -> DataFrame:
+    """The fourteen columns of the CSV report, after the keys."""
     label = F.when(F.col("confidence") == "high", 0.90).when(F.coalesce(F.col("confidence"), F.lit("medium")) == "medium", 0.75).otherwise(0.40)
     score = F.coalesce(F.col("confidence_score"), label)
     review = (score < 0.6) | (F.coalesce(F.col("quantity"), F.lit(0.0)) == 0) | F.coalesce(F.col("needs_verification"), F.lit(False))
@@ -108,7 +108,7 @@ def csv_rows(items: DataFrame) -> DataFrame:
     money = lambda c: F.when(F.coalesce(F.col(c), F.lit(0.0)) != 0, F.col(c).cast("string")).otherwise("")
     m = F.coalesce(F.col("matched"), F.lit(False))
     return items.select(
-        blank("pay_item_no").alias("Pay Item No"), blank("description").alias("Description"), blank("unit").alias("Unit"), F.coalesce(F.col("quantity"), F.lit(0.0)).alias("Quantity"),
+        *keys, blank("pay_item_no").alias("Pay Item No"), blank("description").alias("Description"), blank("unit").alias("Unit"), F.coalesce(F.col("quantity"), F.lit(0.0)).alias("Quantity"),
         money("unit_price").alias("Unit Price"), money("line_cost").alias("Line Cost"), blank("page").alias("Page"), blank("source").alias("Source"), blank("confidence").alias("Confidence"),
         F.format_number(score, 2).alias("Confidence Score"), F.when(review, "Yes").otherwise("").alias("Needs Review"), F.when(m, "Yes").otherwise("No").alias("Matched"),
         F.when(m, F.coalesce(F.col("match_source"), F.lit("rules"))).otherwise("").alias("Match Source"), blank("ai_match_reason").alias("AI Match Reason"),

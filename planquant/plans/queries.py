@@ -12,7 +12,7 @@ from planquant.functions import rules, text as T
 from planquant.operators import catalog as C, extract as E, gates as G, geometry, layout, messy, pages as P, pricing, products, review, rollup, structures, summary
 from planquant.plans import takeoff
 from planquant.plans.registry import register
-from planquant.sources import files
+from planquant.sources import files, flow, sinks
 from planquant.streaming import mail
 
 MATERIALS = ("RCP", "PVC", "HDPE", "CMP")
@@ -437,3 +437,65 @@ register(
     lambda s, d: messy.nearby_items(messy.code_lines(_parts(s, d).select("file_id", cat("999-1 BASE WORK\n", c("n"), " SY\n", c("n") + 1000).alias("text")), ["file_id"]), ["file_id"]).select("file_id", "pay_item_no", "description", "quantity", "unit"),
     f"with {_PARTS} select file_id, '999-1' as pay_item_no, 'BASE WORK' as description, cast(n + 1000 as double) as quantity, 'SY' as unit from parts",
 )
+
+
+# Control flow and small projections.
+def _files(s: SparkSession, d: str) -> DataFrame:
+    return _table(s, d, "orders").select(c("o_orderkey").alias("file_id"), (c("o_totalprice") / 10000).alias("mb"), (c("o_orderkey") % 400 + 1).alias("n_pages"), "o_custkey", "o_orderstatus")
+
+
+_FILES = "files as (select o_orderkey as file_id, o_totalprice / 10000 as mb, o_orderkey % 400 + 1 as n_pages, o_custkey, o_orderstatus from orders)"
+register(
+    "split_stats",
+    lambda s, d: flow.split_stats(base(s, d).groupBy("file_id", c("ln").alias("part_no")).agg(F.sum("q").cast("double").alias("mb"), F.max("pk").alias("n_pages")), "file_id").select("file_id", "n_parts", "total_mb", "total_pages", F.get("parts", F.lit(0))["mb"].alias("first_mb")),
+    f"with {BASE}, p as (select file_id, ln, cast(sum(q) as double) as mb, max(pk) as n from base group by all) select file_id, count(*) as n_parts, sum(mb) as total_mb, cast(sum(n) as bigint) as total_pages, min_by(mb, ln) as first_mb from p group by file_id",
+)
+register(
+    "split_files",
+    lambda s, d: flow.split_files(_files(s, d), files.split_plan(_files(s, d).filter("file_id % 7 <> 0"))).groupBy("original_file", "route").agg(F.count(F.lit(1)).alias("n"), F.max("last_page").cast("long").alias("last_page")),
+    f"""with {_FILES}, k as (select *, greatest(ceil(mb / 25), ceil(n_pages / 90), 1) as k, mb > 25 or n_pages > 90 as large from files), z as (select *, least(ceil(n_pages / k), 90) as size from k)
+    select file_id as original_file, case when large and file_id % 7 = 0 then 'skip' else 'extract' end as route, cast(case when large and file_id % 7 <> 0 then ceil(n_pages / size) else 1 end as bigint) as n, cast(n_pages as bigint) as last_page from z""",
+)
+_selected = lambda s, d, known: flow.selected_pages(_files(s, d).filter(known).select("file_id", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("page_num")), _files(s, d).select("file_id", (c("file_id") % 6 + 1).cast("int").alias("page_num")))
+register(
+    "vision_selected_errors",
+    lambda s, d: _selected(s, d, "file_id % 2 = 0")[1],
+    f"with {_FILES}, w as (select file_id, cast(file_id % 6 + 1 as int) as page_num, file_id % 2 = 0 as known from files) select file_id, page_num, 'Page ' || page_num || ' out of range (document has ' || case when known then 3 else 0 end || ' pages)' as error from w where not known or page_num > 3",
+)
+register("vision_selected_pages", lambda s, d: _selected(s, d, "true")[0], f"with {_FILES} select file_id, cast(file_id % 6 + 1 as int) as page_num from files where file_id % 6 < 3")
+register(
+    "page_placeholders",
+    lambda s, d: flow.with_placeholders(_pages(s, d).filter("doc_id % 3 = 0").select("file_id", c("doc_id").alias("page_num"), "text", "confidence"), P.classified(_pages(s, d)).select("file_id", c("doc_id").alias("page_num"), "page_type", "keywords", "should_ocr")).groupBy("file_id", F.coalesce("method", F.lit("read")).alias("method")).agg(F.count(F.lit(1)).alias("n")),
+    f"""with c as ({_CLASS}), j as (select source, doc_id, c.page_type, c.confidence, count(*) over (partition by source) as n from c join documents using (doc_id))
+    select source as file_id, 'read' as method, count(*) as n from documents where doc_id % 3 = 0 group by source union all select source, 'skipped', count(*) from j where n > 3 and page_type in ('title', 'toc', 'notes') and confidence > 0.7 group by source""",
+)
+register("failure_rows", lambda s, d: flow.failures(_files(s, d).filter("o_orderstatus = 'F'"), F.when(c("file_id") % 2 == 0, "timeout")).select("file_id", "success", "n_items", F.get("errors", F.lit(0)).alias("error")), f"with {_FILES} select file_id, false as success, 0::bigint as n_items, case when file_id % 2 = 0 then 'timeout' else 'Unknown error' end as error from files where o_orderstatus = 'F'")
+register(
+    "routes",
+    lambda s, d: _files(s, d).select(
+        "file_id", P.route_extraction(F.when(c("file_id") % 3 > 0, F.repeat(F.lit("ab "), (c("file_id") % 40).cast("int"))), c("file_id") % 4).alias("after_reading"), P.route_ocr(_pick(("ocr_only", "hybrid", "vision_only"), c("file_id")), c("o_custkey") % 2 == 0, c("o_custkey") % 3).alias("second_reading"),
+        P.next_dpi((c("file_id") % 9 * 50).cast("int")).alias("dpi"), files.clamped_dpi((c("file_id") % 900).cast("int")).alias("clamped"), files.chosen_method(c("o_custkey") % 200, c("file_id") % 2 == 0, c("n_pages")).alias("method"), P.is_blank(c("o_custkey") % 100 / 100).alias("blank"),
+    ),
+    f"""with {_FILES} select file_id, case when file_id % 3 > 0 and 3 * (file_id % 40) - 1 > 50 then 'parse' when file_id % 4 < 2 then 'retry' else 'skip' end as after_reading,
+    case when o_custkey % 2 <> 0 then 'parse' when file_id % 3 = 2 then 'vision' when file_id % 3 = 1 and o_custkey % 3 > 0 then 'vision' else 'parse' end as second_reading, cast(least(file_id % 9 * 50 + 50, 400) as int) as dpi, cast(greatest(72, least(600, file_id % 900)) as int) as clamped,
+    case when o_custkey % 200 > 100 then 'native' when file_id % 2 = 0 and n_pages >= 4 then 'parallel_ocr' else 'ocr' end as method, o_custkey % 100 / 100 > 0.98 as blank from files""",
+)
+register(
+    "small_functions",
+    lambda s, d: _parts(s, d).select(
+        "p_partkey", T.confidence_label(c("n") / 50).alias("label"), T.code_key(cat("  a-", c("n"), " ")).alias("code"), T.safe_filename(cat("a b/", c("n"), ".pdf")).alias("filename"), products.extended_price(c("n").cast("double"), F.when(c("n") % 2 == 0, 2.5).otherwise(0.0)).alias("extended"),
+        summary.success_rate(c("n").cast("double"), c("n") % 3).alias("rate"), summary.is_drainage(F.when(c("n") % 2 == 0, "430-1").otherwise("9"), F.when(c("n") % 3 == 0, "Storm line").otherwise("sign")).alias("drainage"), F.round(review.validation_score((c("n") % 5).cast("double"), F.lit(3)), 6).alias("score"),
+        rollup.progress(c("n") % 4, F.lit(4), F.lit(0.5)).alias("progress"), structures.structure_number(cat("MH #", c("n"))).alias("number"), structures.depth_bucket(cat(c("n") % 12, "' DEEP")).alias("depth"),
+    ),
+    f"""with {_PARTS} select p_partkey, case when n / 50 >= 0.85 then 'high' when n / 50 >= 0.6 then 'medium' else 'low' end as label, 'A-' || n as code, 'a_b_' || n || '.pdf' as filename, case when n % 2 = 0 then n * 2.5 else 0 end::double as extended,
+    case when n % 3 > 0 then n / (n % 3) else 0 end::double as rate, n % 2 = 0 or n % 3 = 0 as drainage, round(greatest(0.0, 1 - (n % 5) / 3)::double, 6) as score, least(100.0, 95.0 * (n % 4 + 0.5) / 4)::double as progress, cast(n as varchar) as number,
+    case when n % 12 < 4 then '<4''' when n % 12 < 6 then '4''-6''' when n % 12 < 8 then '6''-8''' when n % 12 < 10 then '8''-10''' else '>10''' end as depth from parts""",
+)
+register("vision_dedup", lambda s, d: rollup.vision_dedup(base(s, d).select("file_id", c("pk").alias("item_no"), c("mat").alias("pay_item_no"), c("cfg").alias("description"), _pick(("high", "medium", "low"), c("pk")).alias("confidence")).distinct(), "file_id").select("file_id", "pay_item_no", "description", "item_no", "confidence"), f"with {BASE}, x as (select distinct file_id, pk as item_no, mat as pay_item_no, cfg as description, {_sql_pick(('high', 'medium', 'low'), 'pk')} as confidence, pk % 3 as r from base) select file_id, pay_item_no, description, item_no, confidence from x qualify row_number() over (partition by file_id, pay_item_no, description order by r, item_no) = 1")
+register("counts_by_type", lambda s, d: rollup.counts_by_type(base(s, d).select(c("cfg").alias("type"))).withColumnRenamed("count", "n"), f"with {BASE} select cfg as type, count(*) as n from base group by cfg")
+register("ocr_success_rate", lambda s, d: rollup.ocr_success_rate(base(s, d).select("mat", (c("q") % 2 == 0).alias("success")), "mat").select("mat", F.round("success_rate", 6).alias("success_rate")), f"with {BASE} select mat, round(avg(case when q % 2 = 0 then 1.0 else 0 end), 6) as success_rate from base group by mat")
+register(
+    "csv_report",
+    lambda s, d: sinks.csv_report(_rolled(s, d).withColumn("page", F.lit(1)).withColumn("ai_match_reason", F.lit(None).cast("string")), pipes=rollup.material_pipes(_rolled(s, d), "file_id")).select("file_id", F.size(F.split("report", "\n")).cast("long").alias("n_lines"), F.contains("report", F.lit("PIPE SUMMARY")).alias("has_pipes")),
+    f"with {_ROLLED}, n as (select file_id, count(*) as n, count(distinct sz) filter (pk % 6 = 5) as p from r group by file_id) select file_id, n + 1 + case when p > 0 then p + 3 else 0 end as n_lines, p > 0 as has_pipes from n",
+)
