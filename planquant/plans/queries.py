@@ -499,3 +499,42 @@ register(
     lambda s, d: sinks.csv_report(_rolled(s, d).withColumn("page", F.lit(1)).withColumn("ai_match_reason", F.lit(None).cast("string")), pipes=rollup.material_pipes(_rolled(s, d), "file_id")).select("file_id", F.size(F.split("report", "\n")).cast("long").alias("n_lines"), F.contains("report", F.lit("PIPE SUMMARY")).alias("has_pipes")),
     f"with {_ROLLED}, n as (select file_id, count(*) as n, count(distinct sz) filter (pk % 6 = 5) as p from r group by file_id) select file_id, n + 1 + case when p > 0 then p + 3 else 0 end as n_lines, p > 0 as has_pipes from n",
 )
+
+
+# Every wording of the pattern tables, one line a page.
+def _line_pages(s: SparkSession, d: str, forms: list) -> DataFrame:
+    b = base(s, d).withColumn("a", F.split("oval", "x")[0]).withColumn("b", F.split("oval", "x")[1])
+    text = F.lit("")
+    for k, parts in enumerate(forms):
+        text = F.when((c("pk") + c("ln")) % len(forms) == k, cat(*parts)).otherwise(text)
+    return b.select(F.concat_ws("-", *[c(x).cast("string") for x in ("file_id", "ln", "pk", "sk", "q")]).alias("file_id"), text.alias("text")).distinct()
+
+
+_LINES = f"{BASE}, lines as (select distinct file_id || '-' || ln || '-' || pk || '-' || sk || '-' || q as file_id, pk + ln as k, sz, q, cfg, split_part(oval, 'x', 1) as a, split_part(oval, 'x', 2) as b from base)"
+register(
+    "quantity_first_wordings",
+    lambda s, d: E.quantity_first_items(_line_pages(s, d, [(c("q"), " LF ", c("sz"), '" RCP CLASS III'), (c("q"), " LF ", c("sz"), '" PVC SDR 35'), (c("sz"), '" RCP - ', c("q"), " LF"), (c("sz"), '" CMP (', c("q"), " LF)"), (c("q"), " LF of ", c("sz"), '" HDPE'), ("CMP ", c("sz"), '" @ ', c("q"), " LF"), (c("q"), " LF PVC ", c("sz"), '"'), (c("sz"), '" RCP LF ', c("q"))]), ["file_id"]).select("file_id", "pay_item_no", "description", "unit", "quantity"),
+    f"""with {_LINES}, m as (select *, list_value('RCP', 'PVC', 'RCP', 'CMP', 'HDPE', 'CMP', 'PVC', 'RCP')[k % 8 + 1] as mat from lines)
+    select file_id, mat || '-' || sz as pay_item_no, sz || '" ' || mat || case when k % 8 = 0 then ' CLASS III' else '' end as description, 'LF' as unit, cast(q as double) as quantity from m""",
+)
+register(
+    "structure_wordings",
+    lambda s, d: E.structure_items(
+        _line_pages(s, d, [
+            (c("sz"), '" STRAIGHT ENDWALL ', c("cfg")), ("STRAIGHT CONCRETE END WALL ", c("sz"), '" ', c("cfg")), (c("sz"), '" WINGED ENDWALL 45 DEG'), ("WING WALL ", c("sz"), '" U-TYPE'), (c("sz"), '" U-TYPE ENDWALL 4:1 WITH GRATE'), ("U-TYPE ENDWALL ", c("sz"), '" 3:1 BAFFLES'), (c("sz"), '" PIPE CRADLE'), ("CRADLE ", c("sz"), '"'),
+            (c("sz"), '" MES 4:1'), ("MES 4:1 ", c("sz"), '"'), ("MITERED END SECTION ", c("sz"), '"'), (c("sz"), '" MITERED END'), (c("oval"), " MES"), ("MES ", c("oval")), (c("sz"), '" FLARED END'), ("FLARED END SECTION ", c("sz"), '"'),
+        ]), ["file_id"]).select("file_id", "pay_item_no", "description"),
+    f"""with {_LINES}, m as (select *, k % 16 as f, list_value('STRAIGHT_ENDWALL', 'STRAIGHT_ENDWALL', 'WINGED_ENDWALL', 'WINGED_ENDWALL', 'U_TYPE_ENDWALL', 'U_TYPE_ENDWALL', 'PIPE_CRADLE', 'PIPE_CRADLE', 'MES', 'MES', 'MES', 'MES', '', '', 'FLARED_END', 'FLARED_END')[k % 16 + 1] as kind,
+      case k % 16 when 0 then ' ' || cfg when 1 then ' ' || cfg when 2 then ' 45 DEGREE' when 3 then ' U-TYPE' when 4 then ' 4:1 WITH GRATE' when 5 then ' 3:1 WITH BAFFLES' else '' end as more from lines)
+    select file_id, kind || '-' || sz || '"' as pay_item_no, sz || '" ' || replace(kind, '_', ' ') || more as description from m where f not in (12, 13)
+    union all select file_id, 'U_TYPE_ENDWALL-' || sz || '"', sz || '" U TYPE ENDWALL' from m where f = 3
+    union all select file_id, 'MES_ELLIPTICAL-' || a || '"x' || b || '"', a || '"x' || b || '" MES (ELLIPTICAL)' from m where f in (12, 13)
+    union all select file_id, 'MES-' || n || '"', n || '" MES' from (select file_id, case f when 12 then b else a end as n from m where f in (12, 13)) where cast(n as int) in {rules.PIPE_SIZES}""",
+)
+register(
+    "galvanized_wordings",
+    lambda s, d: E.galvanized_items(_line_pages(s, d, [(c("sz"), '" GALV STEEL MES DOUBLE RUN WITH FRAME'), ("GALVANIZED MES ", c("sz"), '" TRIPLE RUN'), (c("oval"), " GALV MES"), ("GALV MES ", c("oval"), " DOUBLE RUN NO FRAME")]), ["file_id"]).select("file_id", "pay_item_no", "run_config", "frame_option"),
+    f"""with {_LINES}, m as (select *, k % 4 as f from lines)
+    select file_id, 'GALV-MES-' || case when f < 2 then cast(sz as varchar) else a || 'x' || b end as pay_item_no, list_value('DOUBLE RUN', 'TRIPLE RUN', 'SINGLE RUN', 'DOUBLE RUN')[f + 1] as run_config, case when f = 0 then 'WITH FRAME' else 'NO FRAME' end as frame_option from m
+    union all select file_id, 'GALV-MES-' || n, 'SINGLE RUN', 'NO FRAME' from (select file_id, case f when 2 then b else a end as n from m where f >= 2) where cast(n as int) in {rules.PIPE_SIZES}""",
+)
