@@ -22,9 +22,9 @@ SLICE_BYTES = 8 << 20
 #: Bytes of an Arrow batch: rows are sent to a worker in batches of this size (a larger row is a batch of its own), since
 #: 10,000 rows of text, the default, can be any size. A session that asks for less keeps its own.
 BATCH_BYTES = 4 << 20
-#: A result or table has parts of this size at least, but `PARTS_PER_CORE` for each core of the session in any case: hundreds of
+#: A result or table has parts of this size at least (by the optimizer, which takes a text for 20 bytes), but `PARTS_PER_CORE` for each core of the session in any case: hundreds of
 #: small files cost more than they hold, and a local file system starts a process for each.
-PART_BYTES = 16 << 20
+PART_BYTES = 8 << 20
 PARTS_PER_CORE = 4
 
 
