@@ -2,6 +2,11 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; `run` writes each stage's rows as Parquet in the
 shared folder and reads them again as the next one's docs.
+
+Null and empty texts have no words and go with the first stage. Null ids are kept as they are; rows that repeat an id and a
+text go to one, rows that repeat an id with another text are documents of their own. Empty tables: no documents give no pieces, no
+labels leave the quality verdict to the fixed rules, no benchmark leaves nothing contaminated. Texts of any length are
+worked on whole. Only the columns of `COLUMNS` are read and passed on, so other columns, whatever they are called, never clash.
 """
 
 from __future__ import annotations
