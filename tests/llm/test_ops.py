@@ -697,3 +697,18 @@ def test_components(spark):
     got = {x["node"]: x["root"] for x in components(spark.createDataFrame(pairs, "a long, b long"), 4).collect()}
     assert got == {k: v for k, v in want.items() if k not in alone}
     assert components(spark.createDataFrame([], "a long, b long"), 4).count() == 0
+
+
+@pytest.mark.parametrize("missing", ["documents", "labels", "benchmark"])
+def test_pipeline_with_an_empty_table(spark, tmp_path, missing):
+    import corpus_pipeline as C
+
+    some = {
+        "documents": ([(k, prose(k, 150), "en", "s", 1, "n_removed") for k in range(6)] + [(6, None, None, None, None, None), (7, "", "en", "s", 0, ""), (8, " ".join(prose(70 + k, 400) for k in range(60)), "en", "s", 1, "x"), (None, prose(99, 150), "en", "s", 1, "x")], "doc_id long, text string, lang string, source string, n_chars long, n_removed string"),
+        "labels": ([(k, 1, 0) for k in range(6)], "doc_id long, quality int, toxic int"),
+        "benchmark": ([(1, prose(3, 60))], "item_id long, text string"),
+    }
+    for name, (rows, schema) in some.items():
+        spark.createDataFrame([] if name == missing else rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    got = {r["doc_id"] for r in C.run(spark, str(tmp_path)).collect()}
+    assert got == {"documents": set(), "labels": {0, 1, 2, 4, 5, 8, None}, "benchmark": {*range(6), 8, None}}[missing]
