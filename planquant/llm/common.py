@@ -6,24 +6,23 @@ other columns, whatever they are called, never clash with what an operator adds.
 
 from __future__ import annotations
 
-import os
 import uuid
 from collections.abc import Callable, Iterator
-from pathlib import Path
 from typing import ClassVar
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-ROOT = str(Path(__file__).resolve().parents[2])
+from planquant.workers import workers_find_package
 
 #: Bytes of text that an Arrow function handles at a time.
 SLICE_BYTES = 8 << 20
 #: Bytes of an Arrow batch: rows are sent to a worker in batches of this size (a larger row is a batch of its own), since
 #: 10,000 rows of text, the default, can be any size. A session that asks for less keeps its own.
 BATCH_BYTES = 4 << 20
-#: A result or table has parts of this size at least (by the optimizer, which takes a text for 20 bytes), but `PARTS_PER_CORE` for each core of the session in any case: hundreds of
-#: small files cost more than they hold, and a local file system starts a process for each.
+#: A result or table has parts of this size at least (by the optimizer, which takes a text for 20 bytes), but
+#: `PARTS_PER_CORE` for each core of the session in any case: hundreds of small files cost more than they hold, and a local
+#: file system starts a process for each.
 PART_BYTES = 8 << 20
 PARTS_PER_CORE = 4
 
@@ -39,14 +38,6 @@ def session(df: DataFrame) -> SparkSession:
     return df.sparkSession
 
 
-def workers_find_package(spark: SparkSession) -> None:
-    """Python workers import this package from where the driver has it (or from what was shipped to them)."""
-    env = spark.sparkContext.environment
-    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
-    if ROOT not in paths:
-        env["PYTHONPATH"] = os.pathsep.join([*paths, ROOT])
-
-
 def parts_for(df: DataFrame) -> int:
     """How many parts a result of about the size of `df` should have, by the optimizer's estimate."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

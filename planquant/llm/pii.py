@@ -27,6 +27,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Row, functions as F
 
+from planquant.functions.arrays import let, running
 from planquant.llm.common import compact, parts_for, shared_table
 
 KINDS = ("email", "ip", "card", "phone")
@@ -77,25 +78,6 @@ def _passes(kind: str, s: Column) -> Column:
     return n.between(12, 19) & _luhn(_digits(s)) if kind == "card" else n.between(9, 15)
 
 
-def _let(value: Column, body) -> Column:
-    """body(value), with value computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
-def _running(a: Column, first: int, op) -> Column:
-    """first, op(first, a0), op(op(first, a0), a1) and so on: one value more than a has."""
-    short = lambda x, start: F.aggregate(x, F.array(start), lambda acc, y: F.concat(acc, F.array(op(F.get(acc, F.size(acc) - 1), y))))
-
-    def long(x: Column) -> Column:
-        width = F.ceil(F.sqrt(F.size(x))).cast("int")
-        parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / width).cast("int")), lambda k: F.slice(x, k * width + 1, width))
-        totals = lambda p: F.transform(p, lambda y: F.aggregate(y, F.lit(first), op))
-        rest = lambda p, starts: F.flatten(F.transform(p, lambda y, k: F.slice(short(y, F.get(starts, k)), F.lit(2), F.size(y))))
-        return _let(parts, lambda p: F.concat(F.array(F.lit(first)), _let(short(totals(p), F.lit(first)), lambda starts: rest(p, starts))))
-
-    return F.when(F.size(a) <= 32, short(a, F.lit(first))).otherwise(long(a))
-
-
 _SPAN = "struct<start:int,kind:int,end:int,strict:boolean,body:string,before:string,after:string>"
 
 
@@ -113,7 +95,7 @@ def _found(text: Column, kind: str, pattern: str, hint: str, strict: bool) -> Co
 
     both = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, F.lit(pattern), -1).alias("g"))
     lengths = lambda m, g: F.transform(m, lambda x, i: F.length(x) + F.length(F.get(g, i)))
-    spans = _let(both, lambda b: _let(_let(lengths(b["m"], b["g"]), lambda n: _running(n, 0, lambda s, x: s + x)), lambda at: placed(b["m"], b["g"], at))).cast(f"array<{_SPAN}>")
+    spans = let(both, lambda b: let(let(lengths(b["m"], b["g"]), lambda n: running(n, 0, lambda s, x: s + x)), lambda at: placed(b["m"], b["g"], at))).cast(f"array<{_SPAN}>")
     if strict:
         spans = F.filter(spans, lambda x: _passes(kind, x["body"]))
     possible = F.contains(text, F.lit("@")) if hint == "@" else F.regexp_like(text, F.lit(hint))
@@ -127,12 +109,12 @@ def _apart(loose: Column, base: Column) -> Column:
     def merged(every: Column) -> Column:
         ends = F.transform(every, lambda x: F.when(x["strict"], x["end"]).otherwise(0))
         begins = F.reverse(F.transform(every, lambda x: F.when(x["strict"], x["start"]).otherwise(most)))
-        before = _let(ends, lambda a: _running(a, 0, lambda p, q: F.greatest(p, q)))
-        after = _let(begins, lambda a: _running(a, most, lambda p, q: F.least(p, q)))
-        return _let(F.struct(before.alias("e"), after.alias("b")), lambda r: F.filter(every, lambda x, i: ~x["strict"] & (F.get(r["e"], i) <= x["start"]) & (F.get(r["b"], F.size(every) - i) >= x["end"])))
+        before = let(ends, lambda a: running(a, 0, lambda p, q: F.greatest(p, q)))
+        after = let(begins, lambda a: running(a, most, lambda p, q: F.least(p, q)))
+        return let(F.struct(before.alias("e"), after.alias("b")), lambda r: F.filter(every, lambda x, i: ~x["strict"] & (F.get(r["e"], i) <= x["start"]) & (F.get(r["b"], F.size(every) - i) >= x["end"])))
 
     direct = F.filter(loose, lambda x: ~F.exists(base, lambda b: (x["start"] < b["end"]) & (b["start"] < x["end"])))
-    return F.when((F.size(loose) == 0) | (F.size(base) == 0), loose).when(F.size(loose).cast("long") * F.size(base) <= 1024, direct).otherwise(_let(F.array_sort(F.concat(base, loose)), merged))
+    return F.when((F.size(loose) == 0) | (F.size(base) == 0), loose).when(F.size(loose).cast("long") * F.size(base) <= 1024, direct).otherwise(let(F.array_sort(F.concat(base, loose)), merged))
 
 
 def _vote(yes: Column, no: Column) -> Column:
