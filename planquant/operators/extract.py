@@ -62,6 +62,7 @@ def _first(items: DataFrame, keys: list[str]) -> DataFrame:
     return first_wins(items, [*keys, "dedup_key"], ORDER)
 
 
+# A coded item in one run of text.
 _FDOT = [(rf"({code})\s+(.+?)\s+(LS|EA|LF|SY|CY|SF|TON|GAL|AC)\s+(\d+(?:\.\d+)?)", 4) for code in (r"\d{3}-\d{1,3}-\d{1,3}", r"\d{3}-\d{1,2}")]
 
 
@@ -73,6 +74,7 @@ def fdot_items(pages: DataFrame, keys: list[str], text_col: str = "text") -> Dat
     return _first(_items(ok, keys, 1, F.concat_ws("_", F.lit("fdot"), "g1", "g4"), pay_item_no=F.col("g1"), description=d, unit=F.upper("g3"), quantity=q, source=F.lit("fdot"), confidence=F.lit("high"), source_text=F.col("m")), keys)
 
 
+# Units of items on several lines.
 _MULTILINE_UNITS = ("LS", "EA", "LF", "SY", "CY", "SF", "TON", "GAL", "AC", "AS", "GM")
 
 
@@ -166,6 +168,7 @@ def galvanized_items(pages: DataFrame, keys: list[str], text_col: str = "text")
     return _first(_items(h, keys, 7, F.concat_ws("_", F.lit("galv_mes"), size, "run", "frame"), pay_item_no=F.concat(F.lit("GALV-MES-"), size), description=d, unit=F.lit("EA"), quantity=F.lit(1.0), source=F.lit("galvanized_mes"), confidence=F.lit("medium"), structure_type=F.when(oval, "GALVANIZED_MES_ELLIPTICAL").otherwise("GALVANIZED_MES_ROUND"), rise=F.when(oval, F.col("s")), span=F.col("p"), run_config=F.col("run"), frame_option=F.col("frame"), source_text=F.col("m")), keys)
 
 
+# Materials and units of tables, in their order.
 _TABLE_MATERIALS = ("RCP", "PVC", "HDPE", "CMP", "DIP", "SRCP", "ERCP", "ADS")
 _TABLE_UNITS = ("LF", "EA", "SF", "SY", "CY", "TON", "GAL")
 

@@ -390,9 +390,8 @@ register(
 )
 register("page_should_read", lambda s, d: P.classified(_pages(s, d), page_col="page_num").select("doc_id", "page_type", "should_ocr"), f"with c as ({_CLASS}), j as (select doc_id, c.page_type, c.confidence, count(*) over (partition by source) as n from c join documents using (doc_id)) select doc_id, case when n <= 3 then 'payload' else page_type end as page_type, n <= 3 or not (page_type in ('title', 'toc', 'notes') and confidence > 0.7) as should_ocr from j")
 register("vision_budget_topk", lambda s, d: P.within_budget(_pages(s, d).filter("confidence < 0.65"), 5, page_col="doc_id").select("file_id", "doc_id", "confidence"), "select source as file_id, doc_id, n_chars % 100 / 100 as confidence from documents where n_chars % 100 / 100 < 0.65 qualify row_number() over (partition by source order by n_chars % 100, doc_id) <= 5")
-register("page_override", lambda s, d: P.overridden(_pages(s, d).select("doc_id", "file_id", "text"), _pages(s, d).filter("doc_id % 5 = 0").select("doc_id", "file_id", cat("VISION ", c("doc_id")).alias("text")), page_col="doc_id").select("doc_id", F.left("text", F.lit(40)).alias("head")), "select doc_id, case when doc_id % 5 = 0 then 'VISION ' || doc_id else left(regexp_replace(regexp_replace(text, '^\\s+', ''), '\\s+$', ''), 40) end as head from documents")
 register(
-    "page_override_whole",
+    "page_override",
     lambda s, d: P.overridden(_pages(s, d).select("doc_id", "file_id", "text"), _pages(s, d).filter("doc_id % 5 = 0").select("doc_id", "file_id", cat("VISION ", c("doc_id")).alias("text")), page_col="doc_id").select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256")),
     "with t as (select doc_id, case when doc_id % 5 = 0 then 'VISION ' || doc_id else regexp_replace(regexp_replace(text, '^\\s+', ''), '\\s+$', '') end as text from documents) select doc_id, length(text) as n_chars, sha256(text) as text_sha256 from t",
 )
