@@ -185,3 +185,72 @@ select x.doc_id, coalesce(len(d.w), 0) as n_words, coalesce(c.n_hit, 0) as n_hit
        coalesce(c.n_hit, 0) > 0 and 20 * coalesce(c.n_hit, 0) >= coalesce(len(d.w), 0) as contaminated
 from documents x left join d on x.doc_id = d.doc_id left join covered c on x.doc_id = c.doc_id left join who h on x.doc_id = h.doc_id
 """
+
+
+@query
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from planquant.llm.fill_in_middle import fill_in_middle, restored
+
+    out = fill_in_middle(documents(spark, sf_dir))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(restored("output", "form"), 256).alias("restored_sha256"))
+
+
+ORACLE_SQL["op11_fill_in_middle"] = r"""
+with base as (
+  select doc_id, coalesce(text, '') as t, sha256('42:' || doc_id) as h,
+         regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') as w
+  from documents
+), numbers as (
+  select doc_id, t, w, len(w) as n, [('0x' || h[8 * k + 1:8 * k + 8])::ubigint for k in range(0, 4)] as r from base
+), ends as (
+  select doc_id, t, n, r, least(r[1] % (n + 1), r[2] % (n + 1)) as a, greatest(r[1] % (n + 1), r[2] % (n + 1)) as b, list_transform(w, lambda x: length(x)) as s from numbers
+), chars as (
+  select doc_id, t, n, r, cast(coalesce(list_sum(s[1:a]), 0) as bigint) as p, cast(coalesce(list_sum(s[1:b]), 0) as bigint) as q from ends
+), forms as (
+  select *, case when t = '' or regexp_matches(t, '<[PSM]>') or r[3] % 100 >= 50 then 'plain' when r[4] % 100 < 80 then 'spm' else 'psm' end as form from chars
+)
+select doc_id, cast(n as bigint) as n, form, case when form <> 'plain' then p end as prefix_chars, case when form <> 'plain' then q - p end as middle_chars,
+       sha256(case form when 'plain' then t
+              when 'psm' then concat('<P>', substr(t, 1, p), '<S>', substr(t, q + 1), '<M>', substr(t, p + 1, q - p))
+              else concat('<S>', substr(t, q + 1), '<P>', substr(t, 1, p), '<M>', substr(t, p + 1, q - p)) end) as output_sha256,
+       sha256(t) as restored_sha256
+from forms
+"""
+
+
+@query
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from planquant.llm.ranked_search import index, search
+
+    return search(index(documents(spark, sf_dir)), table(spark, sf_dir, "benchmark"))
+
+
+_TERMS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+ORACLE_SQL["op12_ranked_search"] = f"""
+with d as (
+  select row_number() over () as k, doc_id, {_TERMS} as w from documents where text is not null
+), whole as (
+  select count(*) as big_n, sum(len(w)) as big_l from d where len(w) > 0
+), places as (
+  select k, doc_id, len(w) as n, unnest(w) as term from d
+), tf as (
+  select k, doc_id, n, term, count(*) as tf from places group by all
+), df as (
+  select term, count(*) as df from tf group by term
+), q as (
+  select item_id, text, term, count(*) as qn from (select item_id, text, unnest({_TERMS}) as term from (select distinct item_id, text from benchmark where item_id is not null)) group by all
+), scored as (
+  select q.item_id, q.text, tf.k, tf.doc_id,
+         cast(sum(q.qn * cast(floor(1000 * ln((2 * big_n + 2) / (2 * df.df + 1))) as bigint) * ((1000000000 * tf.tf) // (1000 * tf.tf + 12 * (75 + cast((25 * tf.n * big_n) // big_l as bigint))))) as bigint) as score
+  from q join df using (term) join tf using (term), whole group by all
+)
+select item_id, cast(row_number() over (partition by item_id, text order by score desc, doc_id) as int) as rank, doc_id, score
+from scored where score > 0 qualify row_number() over (partition by item_id, text order by score desc, doc_id) <= 20
+"""
+
+
+@query
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from planquant.llm.sharding import shards
+
+    return shards(documents(spark, sf_dir)).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
