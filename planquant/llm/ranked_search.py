@@ -225,38 +225,42 @@ class Treaps:
         seeds = np.unique(self.place[np.concatenate(tops)])
         offer(seeds, scores(seeds))
 
-        def open_(nodes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        def open_(nodes: np.ndarray, first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, ...]:
             """Ranges that can still enter, and what they can reach; ties only with a document before the k-th best."""
-            reach = (self.impact[nodes] * weights).sum(axis=1)
+            reach = self.impact[nodes] @ weights
             bound, last = (best_score[-1], best_place[-1]) if len(best_place) == k else (least, docs)
             keep = (reach > bound) | ((reach == bound) & (first < last))
-            return nodes[keep], first[keep], reach[keep]
+            return nodes[keep], first[keep], end[keep], reach[keep]
 
-        nodes, first, reach = open_(self.roots[terms][None, :], np.zeros(1, np.int64))
+        nodes, first, end, reach = open_(self.roots[terms][None, :], np.zeros(1, np.int64), np.full(1, docs))
         while len(nodes):
-            order = np.lexsort((first, -reach))
-            now, later = order[:STEP], order[STEP:]
-            n, f = nodes[now], first[now]
+            later = np.zeros(0, np.int64)
+            if len(nodes) > STEP:
+                order = np.argpartition(-reach, STEP)
+                now, later = order[:STEP], order[STEP:]
+            else:
+                now = slice(None)
+            n, f, e = nodes[now], first[now], end[now]
             pivot = self.place[n[np.arange(len(n)), np.argmax(self.impact[n] * weights, axis=1)]]
             offer(pivot, scores(pivot))
-            at = pivot[:, None]
-            low = self._down(n, at, self.left, before=True)
-            high = self._down(n, at, self.right, before=False)
-            nodes, first, reach = open_(np.concatenate([nodes[later], low, high]), np.concatenate([first[later], f, pivot + 1]))
+            low, high = self._inside(n, f, pivot), self._inside(n, pivot + 1, e)
+            nodes, first, end, reach = open_(np.concatenate([nodes[later], low, high]), np.concatenate([first[later], f, pivot + 1]), np.concatenate([end[later], pivot, e]))
         return best_place, best_score
 
-    def _down(self, nodes: np.ndarray, pivot: np.ndarray, child: np.ndarray, before: bool) -> np.ndarray:
-        """The nodes of greatest impact on one side of the pivots."""
-        nodes = nodes.copy()
-        pivot = np.broadcast_to(pivot, nodes.shape)
-        outside = lambda x, p: (x != self.none) & ((self.place[x] >= p) if before else (self.place[x] <= p))
-        rows = np.nonzero(outside(nodes, pivot))
-        while len(rows[0]):
-            moved = child[nodes[rows]]
-            nodes[rows] = moved
-            still = outside(moved, pivot[rows])
-            rows = rows[0][still], rows[1][still]
-        return nodes
+    def _inside(self, nodes: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The nodes of greatest impact in the ranges, from nodes above them."""
+        shape = nodes.shape
+        nodes = nodes.ravel().copy()
+        place = self.place[nodes]
+        first, end = (np.repeat(x, shape[1]) for x in (first, end))
+        at = np.flatnonzero((nodes != self.none) & ((place < first) | (place >= end)))
+        while len(at):
+            own = nodes[at]
+            moved = np.where(self.place[own] < first[at], self.right[own], self.left[own])
+            nodes[at] = moved
+            place = self.place[moved]
+            at = at[(moved != self.none) & ((place < first[at]) | (place >= end[at]))]
+        return nodes.reshape(shape)
 
 
 # Search.
