@@ -46,8 +46,11 @@ def _chunks(over: int, modulus: int) -> Column:
 
     ahead = lines("slice(a, i + 1, 4)", f"slice(a, i + 1, {over + 1})")
     back = lines("reverse(slice(a, greatest(i - 2, 1), least(4, i + 1)))", f"reverse(slice(a, greatest(i + 1 - {over}, 1), least({over + 1}, i + 1)))")
-    windows = f"array_distinct(concat(transform(a, (x, i) -> named_struct('i', i, 'n', {ahead})), transform(a, (x, i) -> transform(array({back}), n -> named_struct('i', i + 1 - n, 'n', n))[0])))"
-    keyed = f"transform(filter({windows}, c -> c.n is not null), c -> named_struct('key', xxhash64(transform(slice(a, c.i + 1, c.n), x -> x.h)), 'first', a[c.i].at, 'last', a[c.i + c.n - 1].at))"
+    # A window is one number, i * m + n: distinct numbers are found by hashing, distinct structs by comparing all pairs.
+    m = over + 2
+    windows = f"array_distinct(concat(transform(a, (x, i) -> i * {m} + {ahead}), transform(a, (x, i) -> transform(array({back}), n -> (i + 1 - n) * {m} + n)[0])))"
+    each = f"transform(filter({windows}, v -> v is not null), v -> named_struct('i', cast(v div {m} as int), 'n', cast(v % {m} as int)))"
+    keyed = f"transform({each}, c -> named_struct('key', xxhash64(transform(slice(a, c.i + 1, c.n), x -> x.h)), 'first', a[c.i].at, 'last', a[c.i + c.n - 1].at))"
     return F.expr(keyed if modulus == 1 else f"filter({keyed}, c -> pmod(c.key, {modulus}) = 0)")
 
 
@@ -83,7 +86,9 @@ def dedup_lines(docs: DataFrame, over_words: int = OVER_WORDS, id_col: str = "do
     # The bytes of each kept chunk, from its own text; rows that repeat a text give them once.
     of_text = kept.select(_row("kept.id", "kept.hash").alias("row"), "key", "kept.*").groupBy("row").agg(F.collect_list(F.struct("key", "id", "hash", "first", "last")).alias("chunks"))
     one = texts.join(of_text, "row").groupBy("row").agg(F.any_value("given").alias("given"), F.any_value("chunks").alias("chunks"))
-    bodies = one.select(F.split(of("text"), "\n").alias("lines"), F.explode("chunks").alias("c")).select(F.col("c.key").alias("of_key"), F.struct("c.id", "c.hash", "c.first").alias("kept"), F.expr(_BODY).alias("body"))
+    # The bodies are made before the chunks become rows, from lines that are split once: rows of chunks must not carry whole texts.
+    bodied = F.expr(f"transform(array(split(given[0].text, '\\n')), lines -> transform(chunks, c -> struct(c.key as of_key, struct(c.id, c.hash, c.first) as kept, {_BODY} as body)))[0]")
+    bodies = one.select(F.explode(bodied).alias("b")).select("b.*")
 
     # Every other place of the chunk, held against those bytes where its own text is.
     more = places.join(bodies, F.col("key") == F.col("of_key")).filter(~F.struct("id", "hash", "first").eqNullSafe(F.col("kept")))

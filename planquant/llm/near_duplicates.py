@@ -98,7 +98,7 @@ def digest(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
-def _row_key(id_col: str, text_col: str) -> Column:
+def row_key(id_col: str, text_col: str) -> Column:
     """Tells rows apart that differ in id or text, where ids are null or repeated too."""
     return F.sha2(F.concat_ws("|", F.col(id_col).cast("string"), F.sha2(F.col(text_col), 256)), 256)
 
@@ -119,7 +119,7 @@ def signatures(docs: DataFrame, bands: int, rows: int, size: int = SIZE, id_col:
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(found, pa.list_(pa.int64()))], ["id", "key", "digest", "size", "bands"])
 
     kind = docs.select(id_col).dtypes[0][1]
-    return arrow_map(docs.select(id_col, text_col, _row_key(id_col, text_col).alias("key")), run, f"id {kind}, key string, digest binary, size long, bands array<long>")
+    return arrow_map(docs.select(id_col, text_col, row_key(id_col, text_col).alias("key")), run, f"id {kind}, key string, digest binary, size long, bands array<long>")
 
 
 def common(sets: list[np.ndarray], others: list[np.ndarray]) -> np.ndarray:
@@ -184,11 +184,13 @@ def _unit(ids: list, copies: list[int], sets: list[np.ndarray], mine: list[bool]
     return [(ids[k], int(n[k]), ids[top(k)]) for k in range(len(ids)) if n[k]]
 
 
-def classes(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, recall: float = RECALL, size: int = SIZE, block: int = BLOCK, block_hashes: int = BLOCK_HASHES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, class_id, n_links) of every row: the smallest id of its class, and how many other rows it is linked to."""
+def classes(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, recall: float = RECALL, size: int = SIZE, block: int = BLOCK, block_hashes: int = BLOCK_HASHES, id_col: str = "doc_id", text_col: str = "text", with_rows: bool = False) -> DataFrame:
+    """(id, class_id, n_links) of every row: the smallest id of its class, and how many other rows it is linked to. With `with_rows` also
+    `row_key` of the row, and is_first: whether it is the row that stands for its class, the one of smallest id (null ids last), then
+    smallest key; rows that repeat its id and text are so too, and a text without words stands for itself."""
     bands, rows = banding(threshold[0] / threshold[1], recall)
     found = shared_table(signatures(docs, bands, rows, size, id_col, text_col), "signatures")
-    sets = found.filter("digest is not null").groupBy("digest").agg(F.min("id").alias("rep"), F.min("key").alias("key"), F.max("size").alias("size"), F.count(F.lit(1)).alias("copies"))
+    sets = found.filter("digest is not null").groupBy("digest").agg(F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "key")).alias("rep"), F.min("key").alias("key"), F.max("size").alias("size"), F.count(F.lit(1)).alias("copies"))
     parts = parts_for(found)  # what follows is smaller
     sets = cut(compact(sets, parts))
 
@@ -204,7 +206,7 @@ def classes(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, recall: flo
     blocks = F.greatest(F.ceil(n / F.greatest(F.lit(block), F.ceil(3 * F.sqrt(n)))), F.ceil(hashes / block_hashes)).cast("int")
     members = sized.join(sized.groupBy("root").agg(blocks.alias("n_blocks")), "root")
     members = members.select("key", "root", "n_blocks", F.pmod(F.xxhash64("digest"), "n_blocks").cast("int").alias("own"), "digest", "copies")
-    texts = docs.select(_row_key(id_col, text_col).alias("key"), F.col(text_col).alias("text")).filter("text is not null")
+    texts = docs.select(row_key(id_col, text_col).alias("key"), F.col(text_col).alias("text")).filter("text is not null")
     chosen = texts.join(members.hint("shuffle_hash"), "key")
 
     def to_sets(batches):
@@ -249,5 +251,7 @@ def classes(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, recall: flo
     verdict = counts.join(roots.withColumnRenamed("node", "digest"), "digest")
     placed = sets.join(verdict, "digest", "left").select("digest", "rep", "root", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"))
     firsts = placed.filter("root is not null").groupBy("root").agg(F.min("rep").alias("first"))
-    named = placed.join(firsts, "root", "left").select("digest", F.coalesce("first", "rep").alias("class_id"), "n_links")
-    return compact(found.select("id", "digest").join(named, "digest", "left"), parts).select("id", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    named = placed.join(firsts, "root", "left").select("digest", F.coalesce("first", "rep").alias("first"), "n_links")
+    out = compact(found.select("id", "key", "digest").join(named, "digest", "left"), parts)
+    own = F.col("first").isNull() | (F.col("key") == F.col("first.key"))
+    return out.select("id", F.coalesce("first.id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), *([F.col("key"), own.alias("is_first")] if with_rows else []))

@@ -712,3 +712,37 @@ def test_pipeline_with_an_empty_table(spark, tmp_path, missing):
         spark.createDataFrame([] if name == missing else rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
     got = {r["doc_id"] for r in C.run(spark, str(tmp_path)).collect()}
     assert got == {"documents": set(), "labels": {0, 1, 2, 4, 5, 8, None}, "benchmark": {*range(6), 8, None}}[missing]
+
+
+def test_near_duplicate_stage_keeps_one_row_of_a_class_whatever_its_ids(spark):
+    import corpus_pipeline as C
+
+    a, b, c = (prose(k, 80) for k in (301, 302, 303))
+    near = lambda t, word: t + " " + word
+    rows = [(1, a), (3, near(a, "one")), (3, b), (None, near(a, "two")), (None, c), (None, near(c, "three")), (3, b), (None, c), (9, near(b, "x")), (4, near(c, "y"))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    for parts in (1, 4):
+        got = sorted(((r["doc_id"] is None, r["doc_id"], r["text"]) for r in C.near_duplicates(spark, docs.repartition(parts), "").collect()))
+        assert got == [(False, 1, a), (False, 3, b), (False, 4, near(c, "y"))]
+    nameless = docs.filter("doc_id is null")
+    got = {r["text"] for r in C.near_duplicates(spark, nameless, "").collect()}
+    assert len(got) == 2 and near(a, "two") in got
+
+
+def test_quality_fit_does_not_depend_on_partitioning(spark):
+    rows = [(k % 60, prose(k, 30 + 7 * (k % 40)), k) for k in range(180)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n long")
+    labels = spark.createDataFrame([(k, int(k % 3 > 0)) for k in range(60)], "doc_id long, quality int")
+    fits = [Q.fit_on(d, labels) for d in (docs, docs.repartition(7), docs.orderBy(F.desc("n")))]
+    assert len({(t.cut, t.value.tobytes(), t.threshold.tobytes()) for t in fits}) == 1
+
+
+def test_line_dedup_takes_time_in_proportion_to_lines(spark):
+    import time
+
+    lines = [f"w{k}" for k in range(100_000)]
+    docs = spark.createDataFrame([(1, "\n".join(lines)), (2, "\n".join(lines[50_000:]))], "doc_id long, text string")
+    start = time.perf_counter()
+    got = {r["doc_id"]: r for r in LD.dedup_lines(docs).collect()}
+    assert time.perf_counter() - start < 90
+    assert got[1]["n_removed"] == 0 and got[2]["n_removed"] == 50_000 and got[2]["text"] == ""
