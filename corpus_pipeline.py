@@ -4,7 +4,7 @@ Every stage takes (spark, docs, sf_dir) and returns a DataFrame; `run` writes ea
 shared folder and reads them again as the next one's docs.
 
 Null and empty texts have no words and go with the first stage. Null ids are kept as they are; rows that repeat an id and a
-text go to one, rows that repeat an id with another text are documents of their own. Empty tables: no documents give no pieces, no
+text go to one, rows that repeat an id with another text are documents of their own, and each is a near duplicate or not by its own text. Empty tables: no documents give no pieces, no
 labels leave the quality verdict to the fixed rules, no benchmark leaves nothing contaminated. Texts of any length are
 worked on whole. Only the columns of `COLUMNS` are read and passed on, so other columns, whatever they are called, never clash.
 """
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from planquant.llm.common import compact, documents, parts_for, shared_table, table, tokenizer_file
 from planquant.llm.decontamination import contamination
 from planquant.llm.line_dedup import dedup_lines
-from planquant.llm.near_duplicates import classes
+from planquant.llm.near_duplicates import classes, row_key
 from planquant.llm.packing import pack
 from planquant.llm.quality_rules import quality_rules
 
@@ -35,12 +35,11 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates stays, the one with the smallest id; a row that repeats it goes too."""
-    firsts = classes(docs).filter("id <=> class_id").groupBy("id").agg(F.count(F.lit(1)).alias("n_rows"))
-    kept = docs.select(*COLUMNS).join(firsts.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(firsts["id"])).select(*COLUMNS, "n_rows")
-    once, again = kept.filter("n_rows = 1").select(*COLUMNS), kept.filter("n_rows > 1 and doc_id is not null").select(*COLUMNS)
-    nameless = kept.filter("n_rows > 1 and doc_id is null").select(*COLUMNS)
-    return compact(once.unionByName(again.dropDuplicates(["doc_id", "text"])).unionByName(nameless), parts_for(docs))
+    """One row of each class of near duplicates stays: that of the smallest id (null ids last), whatever ids its others have."""
+    firsts = classes(docs, with_rows=True).filter("is_first").groupBy("key").agg(F.count(F.lit(1)).alias("n_rows"))
+    kept = docs.select(*COLUMNS, row_key("doc_id", "text").alias("own_key")).join(firsts.hint("shuffle_hash"), F.col("own_key") == F.col("key"))
+    once, again = kept.filter("n_rows = 1"), kept.filter("n_rows > 1").dropDuplicates(["own_key"])
+    return compact(once.select(*COLUMNS).unionByName(again.select(*COLUMNS)), parts_for(docs))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
