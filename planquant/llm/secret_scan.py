@@ -6,10 +6,15 @@ itself and takes, from each layer, the layers below it:
 * the layer with every run of URL escapes (%41), or of Unicode escapes (\\u0041, \\x41), replaced once, position by position;
 * the layer in which escapes of both kinds are replaced until none is left, escapes of escapes included. A stack does so in
   one pass over the characters that an escape can have, so a chain of any depth takes time in proportion to its length;
-* every base64 run (19 characters or more, as many as the shortest match has; both alphabets) as a layer of its own: the
-  text that its bytes are (UTF-8, or byte by byte where they are no UTF-8), or what they inflate to as zlib or gzip
-  data, once or more often. Inflated data is scanned whole, in parts of about `STEP` bytes, cut where no match can
-  cross; only an unbroken run longer than that is held whole.
+* every base64 run (19 characters or more, as many as the shortest match has; both alphabets; runs that fill whole lines one after the
+  other, quoted or indented or not, also joined) as layers of its own, one for each of the four alignments where it isn't text or
+  compressed data from its start, since characters of the alphabet may stand before it: the text that its bytes are (UTF-8, or byte by byte where they are no UTF-8), or what they
+  inflate to as zlib or gzip data, once or more often, where a head of such data starts a group of the run;
+* bytes written in URL, \\x or \\u escapes (with plain characters between) that start with a zlib or gzip head: what they inflate to;
+* a layer with NUL characters without them: UTF-16 text, of which one byte after the other was decoded.
+
+Inflated data is scanned whole, in parts of about `STEP` bytes, cut where no match can
+cross; only an unbroken run longer than that is held whole.
 
 A layer whose digest has been seen is not opened again, so cycles end; the rest ends as each step shortens the text
 or unpacks it. A match found in a lower layer becomes a span over the characters of the original text from which
@@ -49,11 +54,16 @@ _UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2})+")
 #: Characters that an escape, or an escape of an escape, can go on with.
 _REGION = re.compile(r"[%\\][%\\0-9A-Fa-fxu]*")
 _COMPRESSED = re.compile(rb"\x1f\x8b|\x78")
-#: Up to the last character that is in no match, escape or base64 run, or a blank between words that no escape touches.
-_LAST_CUT = re.compile(r"""(?s:.*)(?:[^A-Za-z0-9+/_.=\-"'\x20:%\\]|\x20[A-Za-z0-9]+\x20(?=[A-Za-z0-9]))""")
+#: Up to the last character that is in no match, escape or base64 run, or a blank between words that no escape touches, or the end of
+#: a line that no run goes on from.
+_LAST_CUT = re.compile(r"""(?s:.*)(?:[^A-Za-z0-9+/_.=\-"'\x20:%\\\r\n\t,;>]|\x20[A-Za-z0-9]+\x20(?=[A-Za-z0-9])|(?<![A-Za-z0-9+/_-]{19})(?<![\x20\t"',;>\r])\n)""")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{19,}={0,2}")
-#: A run that letters of one case or digits alone make up is a word or number; hex runs are no base64 either.
-_PLAIN = re.compile(r"[0-9]*[A-Za-z]?[a-z]*|[A-Z]+|[0-9a-fA-F]+")
+#: Runs that fill line after line, quoted or indented or not, of 19 characters or more; the last of any length.
+_WRAPPED = re.compile(r"""(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{19,}+(?:[\x20\t"',;>]*+\r?\n[\x20\t"'>]*+[A-Za-z0-9+/_-]{19,}+)*+(?:[\x20\t"',;>]*+\r?\n[\x20\t"'>]*+[A-Za-z0-9+/_-]++)?={0,2}""")
+_NO_BASE64 = re.compile(r"[^A-Za-z0-9+/_-]+")
+_NULS = re.compile(r"\x00+([^\x00]?)")
+#: A word, number or hex run, whose bytes hold no secret and no layer: those all need other letters in any alignment (tested).
+_PLAIN = re.compile(r"[0-9]*[A-Za-z]?[a-z]*|[0-9a-fA-F]+")
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -125,11 +135,10 @@ def _cut(parts: Iterator[bytes], encoding: str) -> Iterator[str]:
     """Parts of text, cut only where no match and no run can go on in any layer."""
     decoder, held = codecs.getincrementaldecoder(encoding)(), []
     for part in parts:
-        text = decoder.decode(part)
-        if m := _LAST_CUT.match(text):
-            yield "".join(held) + m[0]
-            held, text = [], text[m.end() :]
-        held.append(text)
+        if held and (m := _LAST_CUT.match(held[-1])):
+            yield "".join(held[:-1]) + m[0]
+            held = [held[-1][m.end() :]]
+        held.append(decoder.decode(part))
     if text := "".join(held):
         yield text
 
@@ -172,15 +181,77 @@ def _texts(data: bytes) -> Iterator[str]:
         depth += 1
 
 
+#: Heads of gzip and zlib data.
+_HEADS = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]")
+
+
+def _inflates(data: bytes) -> bool:
+    try:
+        zlib.decompressobj(47).decompress(data, 64)
+    except zlib.error:
+        return False
+    return True
+
+
+def _whole(data: bytes) -> bool:
+    """Whether bytes from a run's own start are text or compressed data, so that other alignments have nothing to say."""
+    if _COMPRESSED.match(data) and _inflates(data[:64]):
+        return True
+    try:
+        data.decode()
+    except UnicodeDecodeError:
+        return False
+    return True
+
+
 def _base64_texts(run: str) -> Iterator[str]:
+    """What a run holds in each of its four alignments; one if it is whole from its own start. Characters before the true start decode to bytes that mean nothing and end
+    with a group, so text behind them is whole; compressed data is tried wherever its head starts a group."""
     body = run.rstrip("=").translate({45: 43, 95: 47})
-    if len(body) % 4 == 1:
-        return
-    try:
-        data = base64.b64decode(body + "=" * (-len(body) % 4))
-    except (binascii.Error, ValueError):
-        return
-    yield from _texts(data)
+    for shift in range(4):
+        own = body[shift:]
+        own = own[:-1] if len(own) % 4 == 1 else own
+        try:
+            data = base64.b64decode(own + "=" * (-len(own) % 4))
+        except (binascii.Error, ValueError):
+            continue
+        yield from _texts(data)
+        if not shift and _whole(data):
+            return
+        for m in _HEADS.finditer(data, 1):
+            if m.start() % 3 == 0 and _inflates(data[m.start() : m.start() + 64]):
+                yield from _texts(data[m.start() :])
+
+
+#: Where compressed bytes begin in URL escapes, and in \x or \u escapes; one byte of what they go on with.
+_URL_HEAD = re.compile(r"%1[fF]%8[bB]%08|(?:%78|(?<![A-Za-z0-9])x|(?<=%[0-9A-Fa-f]{2})x)(?:%01|%5[eE]|\^|%9[cC]|%[dD][aA])")
+_URL_BYTE = re.compile(r"%([0-9A-Fa-f]{2})|([^\s\"<>\x80-\U0010FFFF])")
+_CODE_HEAD = re.compile(r"\\(?:x|u00)1[fF]\\(?:x|u00)8[bB]\\(?:(?:x|u00)08|b)|(?:\\(?:x|u00)78|(?<![A-Za-z0-9])x)(?:\\(?:x|u00)(?:01|5[eE]|9[cC]|[dD][aA])|\^)")
+_CODE_BYTE = re.compile(r"\\(?:x|u00)([0-9A-Fa-f]{2})|([^\\\n\x80-\U0010FFFF])|\\([\\'\"abfnrtv0/])")
+_SHORT = {"a": 7, "b": 8, "f": 12, "n": 10, "r": 13, "t": 9, "v": 11, "0": 0, "\\": 92, "'": 39, '"': 34, "/": 47}
+
+
+def _escaped_data(text: str) -> Iterator[tuple[int, int, bytes]]:
+    """(start, end, bytes) of compressed data that is written in escapes, plain characters between them."""
+    for head, byte in ((_URL_HEAD, _URL_BYTE), (_CODE_HEAD, _CODE_BYTE)):
+        at = 0
+        while m := head.search(text, at):
+            data, ends, fed, opened = bytearray(), [m.start()], 0, zlib.decompressobj(47)
+            try:
+                while not opened.eof and (x := byte.match(text, ends[-1])):
+                    data.append(int(x[1], 16) if x[1] else ord(x[2]) if x[2] else _SHORT[x[3]])
+                    ends.append(x.end())
+                    if len(data) == fed + 512:
+                        opened.decompress(bytes(data[fed:]))
+                        fed = len(data)
+                if not opened.eof:
+                    opened.decompress(bytes(data[fed:]))
+            except zlib.error:
+                at = m.end()
+                continue
+            n = len(data) - len(opened.unused_data)
+            yield m.start(), ends[n], bytes(data[:n])
+            at = max(ends[n], m.end())
 
 
 def _escaped(run: str) -> list[tuple[int, int, str]] | None:
@@ -247,10 +318,11 @@ def _unescaped(layer: Layer, pattern: re.Pattern) -> Layer | None:
 _HEX_DIGITS = frozenset("0123456789abcdefABCDEF")
 
 
-def _reduced(region: str) -> list[tuple[int, int, str, bool]] | None:
+def _reduced(region: str, data: bool = False) -> list[tuple[int, int, str, bool]] | None:
     """(start, end, character, decoded) of a region with escapes replaced until none is left; None if it has none.
 
-    Bytes that are no UTF-8 together stay as they were written."""
+    Bytes that are no UTF-8 together stay as they were written. With `data`, all that was decoded is written in URL
+    escapes of one level."""
     stack: list[tuple[int, int, str | int, bool]] = []
     done = False
 
@@ -278,6 +350,10 @@ def _reduced(region: str) -> list[tuple[int, int, str, bool]] | None:
             stack.append((first, at + 1, new, True))
     if not done:
         return None
+    if data:
+        code = lambda c: c if isinstance(c, int) else ord(c)
+        single = lambda a, b, c, decoded: [(a, b - 2, "%", True), (b - 2, b - 1, f"{code(c):02X}"[0], True), (b - 1, b, f"{code(c):02X}"[1], True)] if decoded and code(c) < 256 else [(a, b, c, decoded)]
+        return [y for x in stack for y in single(*x)]
     out: list[tuple[int, int, str, bool]] = []
     k = 0
     while k < len(stack):
@@ -304,14 +380,21 @@ def _reduced(region: str) -> list[tuple[int, int, str, bool]] | None:
     return out
 
 
-def _fully_unescaped(layer: Layer) -> Layer | None:
-    """The layer with escapes replaced until none is left; None if there are none."""
-    replaced = [(m.start(), x) for m in _REGION.finditer(layer.text) if len(m[0]) > 2 and (x := _reduced(m[0]))]
-    if not replaced:
+def _fully_unescaped(layer: Layer, data: bool = False) -> Layer | None:
+    """The layer with escapes replaced until none is left; None if there are none. With `data`, all are left with one level of
+    URL escapes, for bytes that may be no text; None if no byte is above 127."""
+    replaced = [(m.start(), x) for m in _REGION.finditer(layer.text) if len(m[0]) > 2 and (x := _reduced(m[0], data))]
+    if not replaced or data and not any(c in "89ABCDEF" and x[k - 1][2] == "%" and x[k - 1][3] for _, x in replaced for k, (_, _, c, decoded) in enumerate(x) if k and decoded):
         return None
     return _rewritten(layer, [(at + x[0][0], at + x[-1][1], [(at + a, at + b, c, d) for a, b, c, d in x]) for at, x in replaced])
 
 
+def _unpacked(layer: Layer, start: int, end: int, texts: Iterator[str]):
+    first, last, _ = layer.original(start, end)
+    for text in texts:
+        yield Layer(text, [(0, len(text), first, last, True)]), True
+
+
 def _below(layer: Layer, escapes: bool):
     """Layers below, each with whether its own escapes are still to be replaced."""
     if escapes:
@@ -321,11 +404,18 @@ def _below(layer: Layer, escapes: bool):
             yield x, False
         if (x := _fully_unescaped(layer)) is not None:
             yield x, False
-    for m in _BASE64.finditer(layer.text):
-        if not _PLAIN.fullmatch(m[0]):
-            first, last, _ = layer.original(m.start(), m.end())
-            for text in _base64_texts(m[0]):
-                yield Layer(text, [(0, len(text), first, last, True)]), True
+        if (x := _fully_unescaped(layer, data=True)) is not None:
+            yield x, False
+    if "\0" in layer.text:
+        yield _rewritten(layer, [(m.start(), m.end(), [(m.start(), m.end(), m[1], True)] * len(m[1])) for m in _NULS.finditer(layer.text)]), True
+    for pattern in (_BASE64, _WRAPPED):
+        for m in pattern.finditer(layer.text):
+            run = m[0] if pattern is _BASE64 else _NO_BASE64.sub("", m[0])
+            if not _PLAIN.fullmatch(run) and (pattern is _BASE64 or "\n" in m[0]):
+                yield from _unpacked(layer, m.start(), m.end(), _base64_texts(run))
+    if "%" in layer.text or "\\" in layer.text:
+        for start, end, data in _escaped_data(layer.text):
+            yield from _unpacked(layer, start, end, _texts(data))
 
 
 def decoded_spans(text: str) -> set[tuple[int, int, int]]:

@@ -746,3 +746,104 @@ def test_line_dedup_takes_time_in_proportion_to_lines(spark):
     got = {r["doc_id"]: r for r in LD.dedup_lines(docs).collect()}
     assert time.perf_counter() - start < 90
     assert got[1]["n_removed"] == 0 and got[2]["n_removed"] == 50_000 and got[2]["text"] == ""
+
+
+NESTED = "x = 1; password = 'Zq8Lm2Xv9Kp4', y"
+
+
+def _found(text):
+    return [(a, b) for a, k, b in S.decoded_spans(text)]
+
+
+def _wrapped(data: bytes, width: int = 76, by: str = "\n") -> str:
+    import base64
+
+    run = base64.b64encode(data).decode()
+    return by.join(run[k : k + width] for k in range(0, len(run), width))
+
+
+def test_secret_in_wrapped_base64():
+    import gzip
+
+    long = ("filler text " * 9 + NESTED + " more of it" * 9).encode()
+    for data in (long, gzip.compress(long), zlib.compress(long), gzip.compress(zlib.compress(long))):
+        for by in ("\n", "\r\n", "\n    ", "\n> ", '"\n"'):
+            for width in (20, 57, 60, 64, 76):
+                run = _wrapped(data, width, by)
+                text = f"before\n{run}\nAfter that"
+                spans = _found(text)
+                assert any(7 <= a < b <= len(text) - 5 for a, b in spans), (width, by)
+    pem = "-----BEGIN DATA-----\n" + _wrapped(long, 64) + "\n-----END DATA-----"
+    assert _found(pem)
+
+
+def test_secret_in_base64_behind_its_own_alphabet():
+    import base64
+    import gzip
+
+    for data in (NESTED.encode(), gzip.compress(NESTED.encode()), zlib.compress(NESTED.encode())):
+        run = base64.b64encode(data).decode().rstrip("=")
+        for prefix in ("https://h.example/a/", "https://h.example/ab/", "blob_x/", "blob_xy/", "v1-", "abc_", "k/", "-", "abcde"):
+            text = f"see {prefix}{run} there"
+            assert _found(text), (prefix, data[:3])
+
+
+def test_secret_in_escaped_compressed_bytes():
+    import gzip
+    from urllib.parse import quote_from_bytes
+
+    for data in (gzip.compress(NESTED.encode()), zlib.compress(NESTED.encode()), zlib.compress((NESTED + " filler" * 400).encode()), zlib.compress(gzip.compress(NESTED.encode()))):
+        for run in (quote_from_bytes(data), "".join(f"%{x:02x}" for x in data), "".join(f"\\x{x:02x}" for x in data), "".join(f"\\u00{x:02x}" for x in data), repr(data)[2:-1]):
+            text = f"q={run} then"
+            (a, b) = max(_found(text))
+            assert a in (2, 3) and b == len(text) - 5
+
+
+def test_secret_in_utf_16():
+    import base64
+
+    for code in ("utf-16", "utf-16-le", "utf-16-be"):
+        data = NESTED.encode(code)
+        assert _found("a " + base64.b64encode(data).decode() + " b")
+        assert _found("a " + "".join(f"%{x:02x}" for x in NESTED.encode("utf-16-le")) + " b")
+        assert _found("a /p/" + base64.b64encode(data).decode() + " b")
+
+
+def test_no_layer_with_a_secret_is_passed_over_as_plain():
+    import base64
+    import itertools
+
+    words = ["".join(x) for w in ("password", "passwd", "secret", "token", "apikey", "api_key") for x in ([w], [w.upper()], [w.title()])]
+    for shift, word in itertools.product(range(3), [*(w + "=" for w in words), "AKIA", *(c * 32 for c in "0123456789abcdef"), "%41%42%43", "\\x41\\x42"]):
+        run = base64.b64encode(b"?" * shift + word.encode()).decode()[2 if shift else 0 :].rstrip("=")[:-1]
+        assert not S._PLAIN.fullmatch(run), (shift, word, run)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_secret_in_random_nestings(seed):
+    import base64
+    import gzip
+    from urllib.parse import quote, quote_from_bytes
+
+    r = np.random.RandomState(seed)
+    steps = {
+        "url": lambda t: quote(t, safe=""),
+        "url2": lambda t: quote(quote(t, safe=""), safe=""),
+        "unicode": lambda t: "".join(f"\\u{ord(c):04x}" for c in t),
+        "hex": lambda t: "".join(f"\\x{ord(c):02x}" for c in t),
+        "base64": lambda t: base64.b64encode(t.encode()).decode(),
+        "urlsafe": lambda t: base64.urlsafe_b64encode(t.encode()).decode(),
+        "wrapped": lambda t: "data:\n" + _wrapped(t.encode(), 64),
+        "behind": lambda t: "/x/yz/" + base64.b64encode(t.encode()).decode(),
+        "utf16": lambda t: base64.b64encode(t.encode("utf-16-le")).decode(),
+        "gzip": lambda t: base64.b64encode(gzip.compress(t.encode())).decode(),
+        "zlib": lambda t: base64.b64encode(zlib.compress(t.encode())).decode(),
+        "escaped": lambda t: quote_from_bytes(zlib.compress(t.encode())),
+    }
+    for _ in range(25):
+        names = [sorted(steps)[r.randint(len(steps))] for _ in range(1 + r.randint(3))]
+        inner = NESTED
+        for name in names:
+            inner = steps[name](inner)
+        text = f"lead {inner} end"
+        assert any(a >= 5 - 0 and b <= len(text) - 4 for a, b in _found(text)), names
