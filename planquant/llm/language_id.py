@@ -1,15 +1,15 @@
 """Language ID: prediction by partial matching over per-language variable-order byte context trees.
 
-A language's tree holds the counts of every byte after every context of up to `ORDER` bytes, over all of its learning
-documents; a text follows `ORDER` zero bytes. Escapes follow method C: a context seen n times with d different successors
+A language's tree holds the counts of every byte after every context of up to `ORDER` bytes, over its learning
+documents or, where they have more text than its share of `LEARN_BYTES`, over a sample of them; a text follows `ORDER` zero bytes. Escapes follow method C: a context seen n times with d different successors
 gives a successor seen c times c / (n + d), and escapes with d / (n + d) to the next shorter context, from which what
 the longer one predicts is excluded; below the empty context all bytes left are alike. Counts are frozen before anything
 is scored, so the code length of a byte after its context is a fixed number, and a text's is their sum.
 
-Counts are summed within partitions first and then by key, over all learning documents. What reaches the driver is at most
-`MOST_COUNTS` of them (fewer with over 16 languages): if there are more, those stay that are the most frequent within
-their language, by one threshold that a histogram of frequencies gives. The frozen trees become hashed tables (`Tables`) of the
-contexts and successors that were seen in any language, and what an escape from each context costs.
+The sample takes whole rows by a hash of id and text, so it depends on nothing but the rows; it is about as large as the share, and takes no
+row that is longer by itself. It bounds the counts that reach the driver (none is dropped: there are at most as many as bytes),
+whatever the corpus has. Counts are summed within partitions first and then by key. The frozen trees become hashed tables
+(`Tables`) of the contexts and successors that were seen in any language, and what an escape from each context costs.
 
 A text's language is the one with the shortest code (ties: the first by name); the score is its share when code lengths
 are taken as probabilities. Null texts and texts without a letter are `und` with score 0, and so is every text when
@@ -24,12 +24,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from planquant.llm.common import Kept, arrow_map, shared_table, slices
+from planquant.llm.common import Kept, arrow_map, slices
 
 ORDER = 3
-#: Counts (a language, a context and a successor) that the tables may hold; and cells of a table, a cell for each language.
-MOST_COUNTS = 2 << 20
-MOST_CELLS = 32 << 20
+#: Bytes of learning text of all languages together; each has the same share. With more than `WIDE` languages, tables have so many cells
+#: for each count that shares are smaller in proportion.
+LEARN_BYTES = 32 << 20
+WIDE = 16
+#: Counts that a task holds before it passes them on.
+HELD_COUNTS = 2 << 20
 HELD_OUT = 2
 FOLDS = 4
 
@@ -63,9 +66,20 @@ def _summed(codes_: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return c[first], np.add.reduceat(n, first) if len(c) else n
 
 
-def learned_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def learning_rows(docs: DataFrame, learn_bytes: int = LEARN_BYTES, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """(lang, text) of the rows that are learned from."""
+    known = docs.filter((fold(id_col) != HELD_OUT) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
+    size = F.octet_length("text")
+    sizes = known.groupBy("lang").agg(F.sum(size.cast("long")).alias("all"))
+    n = sizes.count()
+    share = learn_bytes // max(1, n) * WIDE // max(WIDE, n)
+    taken = F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30)) < F.lit(float(share << 30)) / F.greatest("all", F.lit(1))
+    return known.join(F.broadcast(sizes), "lang").filter((F.col("all") <= share) | (taken & (size <= share))).select("lang", "text")
+
+
+def learned_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", learn_bytes: int = LEARN_BYTES) -> DataFrame:
     """(lang, code, n): how often each four bytes occur in the learning documents of each language."""
-    known = docs.filter((fold(id_col) != HELD_OUT) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    known = learning_rows(docs, learn_bytes, id_col, text_col, lang_col)
 
     def run(batches):
         Kept.mine("language_id")
@@ -89,13 +103,13 @@ def learned_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     held.append((u, n))
                     if len(held) > 8:
                         kept[lang] = [merged(held)]
-                if sum(len(c) for held in kept.values() for c, _ in held) > MOST_COUNTS:
+                if sum(len(c) for held in kept.values() for c, _ in held) > HELD_COUNTS:
                     for lang in list(kept):
                         yield batch_of(lang, kept.pop(lang))
         for lang, held in kept.items():
             yield batch_of(lang, held)
 
-    parts = arrow_map(known.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")), run, "lang string, code long, n long")
+    parts = arrow_map(known, run, "lang string, code long, n long")
     return parts.groupBy("lang", "code").agg(F.sum("n").alias("n"))
 
 
@@ -192,22 +206,11 @@ class Tables:
         return out
 
 
-def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most_counts: int = MOST_COUNTS) -> Tables:
+def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", learn_bytes: int = LEARN_BYTES) -> Tables:
     """The trees of all languages of the learning documents."""
-    counts = shared_table(learned_counts(docs, id_col, text_col, lang_col), "byte-counts")
-    langs = {r["lang"]: (r["n"], r["rows"]) for r in counts.groupBy("lang").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("rows")).collect()}
-    most = min(most_counts, MOST_CELLS // max(1, len(langs)))
-    if sum(rows for _, rows in langs.values()) > most:
-        total = F.create_map(*[F.lit(x) for lang, (n, _) in langs.items() for x in (lang, float(n))])
-        level = F.floor(8 * F.log2(F.col("n") / F.element_at(total, F.col("lang"))))
-        room, least = most, 1
-        for r in sorted(counts.groupBy(level.alias("level")).count().collect(), key=lambda r: -r["level"]):
-            if r["count"] > room:
-                break
-            room, least = room - r["count"], r["level"]
-        counts = counts.filter(level >= least)
+    counts = learned_counts(docs, id_col, text_col, lang_col, learn_bytes)
     rows = counts.toArrow()
-    names = sorted(langs)
+    names = sorted(rows.column("lang").unique().to_pylist())
     who, code, n = rows.column("lang").to_numpy(), rows.column("code").to_numpy(), rows.column("n").to_numpy()
     parts = []
     for x in names:

@@ -470,12 +470,18 @@ def test_code_lengths_equal_brute_force():
         assert np.abs(np.exp2(-tables._cost(c)).sum(axis=0) - 1).max() < 1e-4
 
 
-def test_language_tables_are_bounded(spark):
-    rows = [(n, tongue(n % 3, n), ("en", "fr", "de")[n % 3]) for n in range(150)]
+def test_languages_are_learned_from_a_bounded_sample(spark):
+    rows = [(n, tongue(n % 3, n), ("en", "fr", "de")[n % 3]) for n in range(600)] + [(1000, "x" * 50_000, "de"), (1001, "rare words", "xx")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    t = L.learn(docs, most_counts=200)
-    assert 0 < sum(len(x.keys) for x in t.seen[3:]) <= 200
-    got = L.identify(docs, t).filter("held_out").collect()
+    whole = sum(len(t) for _, t, _ in rows)
+    sample = L.learning_rows(docs, whole // 8).collect()
+    by = {x: sum(len(r["text"]) for r in sample if r["lang"] == x) for x in ("en", "fr", "de", "xx")}
+    assert by["xx"] == len("rare words") and all(0 < by[x] < whole // 8 // 4 * 2 for x in ("en", "fr", "de"))
+    assert sorted(map(tuple, sample)) == sorted(map(tuple, L.learning_rows(docs.repartition(9), whole // 8).collect()))
+    assert L.learning_rows(docs).count() == sum(1 for r in docs.filter(L.fold("doc_id") != L.HELD_OUT).collect())
+    t = L.learn(docs, learn_bytes=whole // 8)
+    assert sum(len(x.keys) for x in t.seen[3:]) <= whole // 8
+    got = L.identify(docs, t).filter("held_out and doc_id < 600").collect()
     assert np.mean([r["lang_pred"] == ("en", "fr", "de")[r["doc_id"] % 3] for r in got]) > 0.9
 
 
