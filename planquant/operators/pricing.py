@@ -7,6 +7,8 @@ on the few tokens that a pair of the needed overlap must share, the common ones
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from planquant.functions.text import contains_any, extract, is_membrane, size_inches, tokens
@@ -106,25 +108,26 @@ def by_tokens(items: DataFrame, catalog: DataFrame, key: str, least: float = 0.4
     return i.join(best, (F.col("t") == F.col("it")) & (F.col("size_of_item") == F.col("is"))).select(key, "product")
 
 
+#: The steps of the cascade, in order.
+STEPS = ("code", "family", "tokens", "structure")
+
+
 def matched_products(items: DataFrame, catalog: DataFrame, key: str = "item_no") -> DataFrame:
-    """(key, product, match_source): code, then size and family, then tokens, then structure wording. Liners match nothing."""
+    """(key, product, match_source): code, then size and family, then tokens, then structure wording. Liners match nothing.
+
+    Every step looks at all items, which are distinct questions here, and the first step that found something counts: one
+    aggregation over the few hits, where anti joins would have each step contain the plans of all before it."""
     catalog = with_fdot(catalog)
     listed = with_fdot(keyed_catalog(catalog.drop("fdot_norm", "size_norm")))
-    rest = items.filter(~is_membrane(F.col("description"))).select(key, "pay_item_no", "description").withColumn("size_of_item", item_size(F.col("description")))
-    found = []
-    for name, step, table in (("code", by_code, catalog), ("family", by_family, listed), ("tokens", by_tokens, listed)):
-        hit = step(rest, table, key)
-        found.append(hit.select(key, "product", F.lit(name).alias("match_source")))
-        rest = rest.join(hit.select(key), key, "left_anti")
-    s = structure_of(F.col("description"))
+    asked = items.filter(~is_membrane(F.col("description"))).select(key, "pay_item_no", "description").withColumn("size_of_item", item_size(F.col("description")))
+    found = [step(asked, table, key).select(key, "product") for step, table in ((by_code, catalog), (by_family, listed), (by_tokens, listed))]
     wording = contains_any(F.upper("description"), ("INLET", "MANHOLE", "MH", "JUNCTION", "CATCH BASIN", "CB"))
-    st = rest.filter(wording).withColumn("s", s).filter("s.confidence >= 0.6")
+    st = asked.filter(wording).select(key, structure_of(F.col("description")).alias("s")).filter("s.confidence >= 0.6")
     product = F.struct(F.col("s.description").alias("product_type"), F.col("s.subtype").alias("size"), F.lit("Standard").alias("configuration"), F.col("s.unit_price").alias("price"), F.col("s.unit").alias("unit"), F.col("s.fdot_code").alias("fdot_code"), F.lit(None).cast("string").alias("category"))
-    found.append(st.select(key, product.alias("product"), F.lit("structure").alias("match_source")))
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    return out
+    found.append(st.select(key, product.alias("product")))
+    hits = reduce(DataFrame.unionByName, [f.withColumn("step", F.lit(n)) for n, f in enumerate(found)])
+    first = hits.groupBy(key).agg(F.min_by(F.struct("product", "step"), "step").alias("x"))
+    return first.select(key, "x.product", F.get(F.array(*map(F.lit, STEPS)), F.col("x.step")).alias("match_source"))
 
 
 def priced(items: DataFrame, catalog: DataFrame, key: str = "item_no") -> DataFrame:

@@ -1,17 +1,25 @@
 """Product matching: catalog patterns over page text, quantities from the context, one row per product.
 
-The join of pages and products is on the number that a product's size starts with (a required keyword), so pages only
-meet products whose size they mention; the patterns of the remaining pairs are evaluated as a column.
+A page is read once for all products (`pattern_hits`): the literals that patterns can't do without are found by one automaton, and of
+the products whose keywords the page has, only patterns whose literals are there are tried. What comes out are hits with the text
+around them; all else is column expressions over those few rows.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+import re
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from planquant.functions import rules
-from planquant.functions.text import extract, matches, parse_number, placed, rlike
+from planquant.functions.arrays import let
+from planquant.functions.text import extract, parse_number, rlike
+from planquant.workers import workers_find_package
+
+#: Patterns of one pass over the pages, by their characters: what is broadcast of a catalog. A larger one takes more passes.
+PATTERN_CHARS = 16 << 20
 
 # Ways to write a unit.
 UNIT_FORMS = {
@@ -23,14 +31,14 @@ _NUMBER = r"(\d+(?:,\d{3})*(?:\.\d+)?)"
 
 def plausible_quantity(quantity: Column, unit: Column) -> Column:
     """Positive, no pipe size (for LF and EA), and within the unit's range."""
-    sized = quantity.isin(*map(float, rules.PIPE_SIZES))
+    sized = F.array_contains(F.expr(f"array({', '.join(f'{float(n)}D' for n in rules.PIPE_SIZES)})"), quantity)
     return (quantity > 0) & F.when(unit == "LF", ~sized & quantity.between(1, 50_000)).when(unit == "EA", ~sized & quantity.between(1, 500)).otherwise(quantity.between(1, 100_000))
 
 
 def false_pipe(context: Column, size: Column) -> Column:
     """Whether a hit is a liner: its number in mil, a membrane, or a code of the 900 series."""
     up, n = F.upper(context), extract(F.coalesce(size, F.lit("")), r"(\d+)").try_cast("int")
-    words = reduce(lambda a, b: a | b, [F.contains(up, F.lit(w)) for w in rules.MEMBRANE_WORDS])
+    words = rlike(up, "|".join(map(re.escape, rules.MEMBRANE_WORDS)))
     mil = F.regexp_like(up, F.concat(F.lit(r"\b"), n.cast("string"), F.lit(r"\s*MIL\b")))
     return F.coalesce(n.isNotNull() & (mil | (words & (n.isin(*rules.MEMBRANE_MILS) | F.contains(up, F.lit("MEMBRANE")))) | rlike(up, r"\b900-\d")), F.lit(False))
 
@@ -40,54 +48,141 @@ def quantity_near(context: Column, unit: Column, start: Column, end: Column) ->
 
     In this order: number and unit on the hit's line (.95); in the context, by distance (.90, .75, .60), or unit before
     number (.75); behind leaders on the line (.85); behind the hit on the line (.65); behind it (.50); before it (.40)."""
-    up = F.upper(context)
+    head = lambda a: F.get(a, F.lit(0))
+    first = lambda a: head(F.filter(a, lambda x: x.isNotNull()))
+    fine = lambda s, p: head(F.filter(F.transform(F.regexp_extract_all(s, p, F.lit(1)), parse_number), lambda q: plausible_quantity(q, unit)))
+    sure = lambda q, c: F.when(q.isNotNull(), F.struct(q.alias("quantity"), (c if isinstance(c, Column) else F.lit(c)).alias("confidence"), unit.alias("unit")))
+    forms = F.coalesce(*[F.when(unit == name, F.split(F.lit("\t".join(ways)), "\t")) for name, ways in UNIT_FORMS.items()], F.expr("cast(array() as array<string>)"))
+    length = lambda parts, n: F.aggregate(F.slice(parts, F.lit(1), n), F.lit(0), lambda t, x: t + F.length(x))
+
+    def by_distance(up: Column, p: Column) -> Column:
+        """The first plausible number before a unit in the context."""
+
+        def placed_hits(found: Column) -> Column:
+            at = lambda i: length(F.split(up, p, F.lit(-1)), i + 1) + length(found, i)
+            hits = F.transform(found, lambda m, i: F.struct(parse_number(F.call_function("regexp_extract", m, p, F.lit(1))).alias("q"), at(i).alias("start"), F.length(m).alias("n")))
+            return head(F.filter(hits, lambda h: plausible_quantity(h["q"], unit)))
+
+        def ranked(h: Column) -> Column:
+            distance = F.least(F.abs(h["start"] - end), F.abs(h["start"] + h["n"] - start))
+            return sure(h["q"], F.when(distance < 30, 0.90).when(distance < 80, 0.75).otherwise(0.60))
+
+        return let(F.regexp_extract_all(up, p, F.lit(0)), lambda found: let(placed_hits(found), ranked))
+
+    def around(v: Column) -> Column:
+        up, line, after, before = v["up"], v["line"], v["after"], v["before"]
+        number = lambda before_unit, f: F.concat(F.lit(rf"{_NUMBER}\s*(?:"), f, F.lit(")")) if before_unit else F.concat(F.lit("(?:"), f, F.lit(rf")\s*{_NUMBER}"))
+        same_line = first(F.transform(forms, lambda f: sure(fine(F.upper(line), number(True, f)), 0.95)))
+        in_context = first(F.flatten(F.transform(forms, lambda f: F.array(by_distance(up, number(True, f)), sure(fine(up, number(False, f)), 0.75)))))
+        bare = F.lit(rf"\b{_NUMBER}\b")
+        leaders = sure(fine(line, F.lit(rf"[.=\-_]{{3,}}\s*{_NUMBER}")), 0.85)
+        return F.coalesce(same_line, in_context, leaders, sure(fine(F.substring_index(after, "\n", 1), bare), 0.65), sure(fine(after, bare), 0.50), sure(fine(before, bare), 0.40))
+
     before, after = F.left(context, start), F.substring(context, end + 1, F.length(context))
     line = F.concat(F.substring_index(before, "\n", -1), F.substring(context, start + 1, end - start), F.substring_index(after, "\n", 1))
-    value = lambda x: parse_number(x["g1"])
-    fine = lambda a, u: F.filter(a, lambda x: plausible_quantity(value(x), u))
-    head = lambda a: F.get(a, F.lit(0))
-    result = lambda x, c, u: F.when(x.isNotNull(), F.struct(value(x).alias("quantity"), c.alias("confidence"), u.alias("unit")))
-    same_line, in_context = [], []
-    for name, forms in UNIT_FORMS.items():
-        for form in forms:
-            here = F.when(unit == name, head(fine(matches(F.upper(line), rf"{_NUMBER}\s*(?:{form})", 1), unit)))
-            same_line.append(result(here, F.lit(0.95), F.lit(name)))
-            near = F.when(unit == name, head(fine(matches(up, rf"{_NUMBER}\s*(?:{form})", 1, with_start=True, short=True), unit)))
-            distance = F.least(F.abs(near["start"] - end), F.abs(near["start"] + F.length(near["m"]) - start))
-            in_context.append(result(near, F.when(distance < 30, 0.90).when(distance < 80, 0.75).otherwise(0.60), F.lit(name)))
-            turned = F.when(unit == name, head(fine(matches(up, rf"(?:{form})\s*{_NUMBER}", 1), unit)))
-            in_context.append(result(turned, F.lit(0.75), F.lit(name)))
-    leaders = head(fine(matches(line, rf"[.=\-_]{{3,}}\s*{_NUMBER}", 1), unit))
-    bare = lambda s: head(fine(matches(s, rf"\b{_NUMBER}\b", 1), unit))
-    line_after = F.substring_index(after, "\n", 1)
-    return F.coalesce(*same_line, *in_context, result(leaders, F.lit(0.85), unit), result(bare(line_after), F.lit(0.65), unit), result(bare(after), F.lit(0.50), unit), result(bare(before), F.lit(0.40), unit))
+    return let(F.struct(F.upper(context).alias("up"), line.alias("line"), after.alias("after"), before.alias("before")), around)
+
+
+def needed_literal(pattern: str) -> str:
+    """The longest run of characters that every match of a pattern has, in capitals; empty if there is none of two or more."""
+    from re import _constants as kinds, _parser
+
+    runs, run = [""], []
+
+    def walk(parts) -> None:
+        nonlocal run
+        for kind, value in parts:
+            if kind is kinds.LITERAL and value < 128:
+                run.append(chr(value))
+                runs.append("".join(run))
+            elif kind is kinds.SUBPATTERN:
+                walk(value[3])
+            else:
+                run = []
+
+    walk(_parser.parse(pattern))
+    best = max(runs, key=len).upper()
+    return best if len(best) > 1 else ""
+
+
+class Finder:
+    """All patterns of a catalog: what a text has of them."""
+
+    def __init__(self, catalog: list[tuple[int, list[str], list[str]]]):
+        import ahocorasick
+
+        self.products = [(row_no, keywords, [(k, needed_literal(p), p) for k, p in enumerate(patterns)]) for row_no, keywords, patterns in catalog]
+        self.compiled: dict[str, re.Pattern] = {}
+        self.literals = ahocorasick.Automaton()
+        for word in {w for _, keywords, patterns in self.products for w in (*keywords, *(x for _, x, _ in patterns)) if w}:
+            self.literals.add_word(word, word)
+        self.literals.make_automaton()
+
+    def _pattern(self, p: str) -> re.Pattern:
+        # As the JVM reads it: classes and case are ASCII's, a dot stops at any line end.
+        if p not in self.compiled:
+            self.compiled[p] = re.compile(p.replace(".*?", r"[^\n\r\x85\u2028\u2029]*?"), re.IGNORECASE | re.ASCII)
+        return self.compiled[p]
+
+    def hits(self, text: str):
+        """(row_no, pattern, hit, start, end) of every match."""
+        there = {w for _, w in self.literals.iter(text.upper())} if len(self.literals) else set()
+        for row_no, keywords, patterns in self.products:
+            if all(k in there for k in keywords):
+                for k, literal, p in patterns:
+                    if not literal or literal in there:
+                        for i, m in enumerate(self._pattern(p).finditer(text)):
+                            yield row_no, k, i, m.start(), m.end()
+
+
+def pattern_hits(pages: DataFrame, catalog: DataFrame, keys: list[str], text_col: str = "text", window: int = 150) -> DataFrame:
+    """(keys, row_no, pattern_no, hit, context, start, end) of every match of the catalog's patterns; start and end are places in
+    the context. Products without patterns or keywords are not looked for. Null texts have no matches."""
+    workers_find_package(pages.sparkSession)
+    wanted = catalog.filter((F.size("patterns") > 0) & (F.size("keywords") > 0)).select("row_no", "keywords", "patterns")
+    passes: list[list[tuple]] = [[]]
+    room = PATTERN_CHARS
+    for r in wanted.coalesce(1).toLocalIterator():
+        size = sum(map(len, r["patterns"]))
+        if passes[-1] and size > room:
+            passes, room = [*passes, []], PATTERN_CHARS
+        room -= size
+        passes[-1].append((r["row_no"], list(r["keywords"]), list(r["patterns"])))
+    given = pages.select(*keys, F.col(text_col).alias("_text"))
+    key_schema = ", ".join(f"`{n}` {t}" for n, t in given.drop("_text").dtypes)
+    key_types = [to_arrow_type(f.dataType) for f in given.schema.fields[:-1]]
+    out = None
+    for some in passes:
+        held = pages.sparkSession.sparkContext.broadcast(some)
+
+        def run(batches, held=held):
+            finder = Finder(held.value)
+            for batch in batches:
+                rows: list[tuple] = []
+                own = list(zip(*(c.to_pylist() for c in batch.columns[:-1]), strict=True))
+                for key, text in zip(own, batch.column(len(keys)).to_pylist(), strict=True):
+                    for row_no, k, i, a, b in finder.hits(text or ""):
+                        at = max(a - window, 0)
+                        rows.append((*key, row_no, k, i, text[at : b + window], a - at, b - at))
+                columns = list(zip(*rows, strict=True)) or [()] * (len(keys) + 6)
+                types = [*key_types, pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.int32()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], [*keys, "row_no", "pattern_no", "hit", "context", "start", "end"])
+
+        one = given.mapInArrow(run, f"{key_schema}, row_no long, pattern_no int, hit int, context string, start int, end int")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def product_hits(pages: DataFrame, catalog: DataFrame, keys: list[str], text_col: str = "text", window: int = 150) -> DataFrame:
     """A row per hit of a product's pattern: keys, product, quantity, unit, confidence, context.
 
     `catalog` has keywords and patterns. Hits of liners are left out; earlier patterns add up to .1 of confidence."""
-    numbers = F.array_distinct(F.regexp_extract_all(F.col(text_col), F.lit(r"(?=(\d+))\d"), F.lit(1)))
-    # A keyword counts anywhere in a run of digits, so every part of a run is offered.
-    every = F.array_distinct(F.flatten(F.transform(numbers, lambda n: F.transform(F.sequence(F.lit(1), F.length(n)), lambda k: F.left(n, k)))))
     page = [c for c in ("page_num",) if c in pages.columns and c not in keys]
-    offered = pages.select(*keys, *page, F.col(text_col).alias("_text"), F.explode(every).alias("_n"))
-    c = catalog.filter(F.size("patterns") > 0).select("row_no", "id", "category", "product_type", "size", "configuration", "price", F.col("unit").alias("product_unit"), "fdot_code", "keywords", F.get("keywords", F.lit(0)).alias("_n"), "patterns")
-    pairs = offered.join(c, "_n").filter(F.forall("keywords", lambda k: F.contains(F.upper("_text"), k))).drop("_n")
-    tried = pairs.select("*", F.posexplode("patterns").alias("pattern_no", "p")).drop("patterns", "keywords")
-    p = F.concat(F.lit("(?i)"), F.col("p"))
-    found = F.regexp_extract_all("_text", p, F.lit(0))
-    tried = tried.withColumn("found", found).filter(F.size("found") > 0)
-    starts = placed(F.col("found"), F.split(F.col("_text"), F.concat(F.lit("(?i)"), F.col("p")), F.lit(-1)))
-    h = tried.withColumn("h", F.explode(F.zip_with(F.arrays_zip(F.col("found").alias("m"), F.transform("found", lambda m, i: i).alias("i")), starts, lambda x, at: F.struct(x["m"].alias("m"), at.alias("at"), x["i"].alias("i")))))
-    h = h.withColumn("from", F.greatest(F.col("h.at") - window, F.lit(0)))
-    context = F.substring(F.col("_text"), F.col("from") + 1, F.col("h.at") + F.length("h.m") + window - F.col("from"))
-    h = h.withColumn("context", context).filter(~false_pipe(F.col("context"), F.col("size")))
-    start = F.col("h.at") - F.col("from")
-    q = quantity_near(F.col("context"), F.col("product_unit"), start, start + F.length("h.m"))
-    h = h.withColumn("q", F.coalesce(q, F.struct(F.lit(0.0).alias("quantity"), F.lit(0.3).alias("confidence"), F.col("product_unit").alias("unit"))))
+    product = catalog.select("row_no", "id", "category", "product_type", "size", "configuration", "price", F.col("unit").alias("product_unit"), "fdot_code")
+    h = pattern_hits(pages, catalog, [*keys, *page], text_col, window).join(product, "row_no").filter(~false_pipe(F.col("context"), F.col("size")))
+    q = F.coalesce(quantity_near(F.col("context"), F.col("product_unit"), F.col("start"), F.col("end")), F.struct(F.lit(0.0).alias("quantity"), F.lit(0.3).alias("confidence"), F.col("product_unit").alias("unit")))
     bonus = F.greatest(F.lit(0.0), F.lit(0.1) - F.col("pattern_no") * 0.02)
-    return h.select(*keys, *page, "row_no", "id", "category", "product_type", "size", "configuration", "price", "fdot_code", "pattern_no", F.col("h.i").alias("hit"), F.col("q.quantity").alias("quantity"), F.least(F.lit(1.0), F.col("q.confidence") + bonus).alias("confidence"), F.col("q.unit").alias("unit"), F.trim("context").alias("source_text"))
+    return h.withColumn("q", q).select(*keys, *page, "row_no", "id", "category", "product_type", "size", "configuration", "price", "fdot_code", "pattern_no", "hit", F.col("q.quantity").alias("quantity"), F.least(F.lit(1.0), F.col("q.confidence") + bonus).alias("confidence"), F.col("q.unit").alias("unit"), F.trim("context").alias("source_text"))
 
 
 def best_per_product(hits: DataFrame, keys: list[str]) -> DataFrame:

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from planquant.functions import rules
+from planquant.functions.arrays import let
 from planquant.functions.text import extract, matches, rlike, strip
 
 
@@ -16,24 +17,39 @@ def _code_of(kind: str, subtype: str | None) -> tuple[str, float]:
     return rules.DEFAULT_STRUCTURES[kind]
 
 
-def structure_of(text: Column, with_generic: bool = True) -> Column:
-    """struct(fdot_code, description, type, subtype, unit, unit_price, confidence, reason), or null.
+def _ordered() -> list[tuple[str, str, str | None]]:
+    return [*(r for r in rules.STRUCTURE_WORDINGS if r[2]), *(r for r in rules.STRUCTURE_WORDINGS if not r[2])]
+
 
-    The first specific wording wins (0.95); failing that the first generic one (0.70)."""
+def wording_of(text: Column, with_generic: bool = True) -> Column:
+    """The place in `_ordered` of the wording that a text has: the first specific one, failing that the first generic one; or null."""
     up = strip(F.upper(F.coalesce(text, F.lit(""))))
-    specific = [r for r in rules.STRUCTURE_WORDINGS if r[2]]
-    generic = [r for r in rules.STRUCTURE_WORDINGS if not r[2]] if with_generic else []
+    number = lambda s: reduce(lambda out, k: F.when(rlike(s, "(?i)" + k[1][0]), k[0]).otherwise(out), reversed([(n, r) for n, r in enumerate(_ordered()) if r[2] or with_generic]), F.lit(None).cast("int"))
+    return let(up, number)
+
+
+def _structures() -> Column:
+    """What each wording of `_ordered` stands for."""
 
-    def found(kind: str, subtype: str | None) -> Column:
+    def entry(kind: str, subtype: str | None) -> str:
         code, price = _code_of(kind, subtype)
         name = kind.replace("_", " ")
-        return F.struct(
-            F.lit(code).alias("fdot_code"), F.lit(f"{name}, {subtype}" if subtype else name).alias("description"), F.lit(kind).alias("type"), F.lit(subtype or "STANDARD").alias("subtype"),
-            F.lit("EA").alias("unit"), F.lit(float(price)).alias("unit_price"), F.lit(0.95 if subtype else 0.70).alias("confidence"), F.lit(f"Pattern match: {subtype}" if subtype else f"Generic {kind.lower()} match").alias("reason"),
-        )
+        fields = {
+            "fdot_code": code, "description": f"{name}, {subtype}" if subtype else name, "type": kind, "subtype": subtype or "STANDARD", "unit": "EA", "unit_price": float(price),
+            "confidence": 0.95 if subtype else 0.70, "reason": f"Pattern match: {subtype}" if subtype else f"Generic {kind.lower()} match",
+        }
+        quoted = lambda v: f"{v}D" if isinstance(v, float) else "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+        return "named_struct(" + ", ".join(f"'{n}', {quoted(v)}" for n, v in fields.items()) + ")"
+
+    return F.expr("array(" + ", ".join(entry(kind, subtype) for _, kind, subtype in _ordered()) + ")")
+
+
+def structure_of(text: Column, with_generic: bool = True) -> Column:
+    """struct(fdot_code, description, type, subtype, unit, unit_price, confidence, reason), or null.
 
-    rest = F.lit(None)
-    return reduce(lambda out, r: F.when(rlike(up, "(?i)" + r[0]), found(r[1], r[2])).otherwise(out), reversed([*specific, *generic]), rest)
+    The first specific wording wins (0.95); failing that the first generic one (0.70). Wordings are tried once, whatever
+    fields are read: what a wording stands for is looked up by its number."""
+    return F.get(_structures(), wording_of(text, with_generic))
 
 
 def structure_number(text: Column) -> Column:
