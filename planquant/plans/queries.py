@@ -6,6 +6,8 @@ the operators, and held against SQL over the structured columns.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from planquant.functions import rules, text as T
@@ -537,3 +539,60 @@ register(
     select file_id, 'GALV-MES-' || case when f < 2 then cast(sz as varchar) else a || 'x' || b end as pay_item_no, list_value('DOUBLE RUN', 'TRIPLE RUN', 'SINGLE RUN', 'DOUBLE RUN')[f + 1] as run_config, case when f = 0 then 'WITH FRAME' else 'NO FRAME' end as frame_option from m
     union all select file_id, 'GALV-MES-' || n, 'SINGLE RUN', 'NO FRAME' from (select file_id, case f when 2 then b else a end as n from m where f >= 2) where cast(n as int) in {rules.PIPE_SIZES}""",
 )
+
+
+# The workflow.
+def _reader_at(dpi: int):
+    """Stands for an engine: page texts parted by form feeds. Files of a path with r are legible at 300 dpi only, those with x never."""
+
+    def read(batches):
+        import pandas as pd
+
+        for batch in batches:
+            rows = []
+            for path, content in zip(batch["path"], batch["content"], strict=True):
+                name, _, span = path.rpartition("#")
+                first, last = map(int, span.split("-"))
+                legible = "x" not in name and ("r" not in name or dpi >= 300)
+                for n, text in enumerate(bytes(content).decode().split("\f")[first - 1 : last], start=1):
+                    rows.append((path, n, text if legible else "?", 0.9, 9, f"at {dpi}"))
+            yield pd.DataFrame(rows, columns=["file_id", "page_num", "text", "confidence", "block_count", "method"])
+
+    return read
+
+
+def _workflow_files(s: SparkSession, d: str) -> DataFrame:
+    """Orders as files, an order line a page: every seventh needs a second or third reading, every eleventh fails, every third is split."""
+    line = cat("SHEET OF THE DRAINAGE PLAN, SEE THE NOTES BELOW FOR WHAT IS MEANT\n", _code(), " PIPE CULVERT LF ", c("q"))
+    pages = F.transform(F.array_sort(F.collect_list(F.struct("ln", line.alias("t")))), lambda x: x["t"])
+    kind = F.when(c("file_id") % 11 == 0, "x").when(c("file_id") % 7 == 0, "r").otherwise("p")
+    g = base(s, d).groupBy("file_id").agg(pages.alias("pages"))
+    return g.select(c("file_id").cast("string").alias("file_id"), F.concat(kind, c("file_id").cast("string")).alias("path"), F.encode(F.array_join("pages", "\f"), "UTF-8").alias("content"), F.when(c("file_id") % 3 == 0, 60.0).otherwise(5.0).alias("mb"), F.size("pages").alias("n_pages"))
+
+
+def _workflow(s: SparkSession, d: str) -> DataFrame:
+    from planquant.plans.workflow import run_workflow
+    from planquant.workers import checkpoint_folder
+
+    catalog = lambda: s.createDataFrame(list(_FULL_CATALOG), "row_no long, id string, category string, product_type string, size string, configuration string, price double, unit string, fdot_code string")
+    measured = lambda parts: parts.withColumn("mb", (c("last_page") - c("first_page") + 1) * 12.0)
+    status = run_workflow(_workflow_files(s, d), _reader_at, f"{checkpoint_folder(s)}/workflow-{uuid.uuid4().hex}", catalog, measured, use_product_first=False)
+    return status.select("file_id", "original_file", "first_page", "last_page", "status", "stage", "attempts", "n_pages", "n_items", "n_matched", F.round("total_cost", 2).alias("total_cost"), F.array_join("errors", "; ").alias("errors"))
+
+
+_PLANNED = """planned as (select file_id, n, cast(ceil(n / 3.0) as int) as size, 1 + cast(ceil(n / 3.0) as int) * k.k as a from counted, range(7) k(k) where file_id % 3 = 0 and k.k * cast(ceil(n / 3.0) as int) < n),
+  halved as (select file_id, a, least(a + size - 1, n) as b from planned union all
+    select file_id, case x.x when 0 then a else (a + b) // 2 + 1 end, case x.x when 0 then (a + b) // 2 else b end from halved, range(2) x(x) where (b - a + 1) * 12.0 > 30 and b > a),
+  fitting as (select file_id, a, b, row_number() over (partition by file_id order by a) as part from halved where not ((b - a + 1) * 12.0 > 30 and b > a)),
+  parts as (select file_id, cast(file_id as varchar) || '_part' || part as id, a, b from fitting union all select file_id, cast(file_id as varchar), 1, n from counted where file_id % 3 <> 0)"""
+register(
+    "workflow_status",
+    _workflow,
+    f"""with recursive {BASE}, paged as (select *, row_number() over (partition by file_id order by ln, sz || ' PIPE CULVERT LF ' || q) as page from base), counted as (select file_id, cast(count(*) as int) as n from base group by 1), {_PLANNED},
+  found as (select distinct id, sz, q from parts join paged on parts.file_id = paged.file_id and page between a and b where parts.file_id % 11 <> 0),
+  totals as (select id, count(*) as n_items, round(sum(q * 7.5), 2) as cost from found group by id)
+  select parts.id as file_id, cast(file_id as varchar) as original_file, a as first_page, b as last_page, case when file_id % 11 = 0 then 'failed' else 'success' end as status, case when file_id % 11 = 0 then 'read' else 'report' end as stage,
+    cast(case when file_id % 11 = 0 or file_id % 7 = 0 then 3 else 1 end as int) as attempts, cast(case when file_id % 11 = 0 then 0 else b - a + 1 end as bigint) as n_pages, coalesce(n_items, 0) as n_items, coalesce(n_items, 0) as n_matched,
+    coalesce(cost, 0.0)::double as total_cost, case when file_id % 11 = 0 then 'too little text after all retries' else '' end as errors
+  from parts left join totals on totals.id = parts.id""",
+)

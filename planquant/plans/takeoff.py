@@ -15,8 +15,7 @@ from planquant.workers import cut
 
 @dataclass
 class Takeoff:
-    """Results of one run. Items are extracted once and kept in the checkpoint folder; every field is lazy from there on, and
-    what feeds several of them is kept until `release`."""
+    """Results of one run. Items are extracted once and kept in the checkpoint folder; every field is lazy from there on."""
 
     items: DataFrame
     warnings: DataFrame
@@ -25,11 +24,6 @@ class Takeoff:
     structures: DataFrame
     report: DataFrame
     projects: DataFrame
-    kept: tuple[DataFrame, ...] = ()
-
-    def release(self) -> None:
-        for df in self.kept:
-            df.unpersist()
 
 
 KEYS = ["file_id", "page_num"]
@@ -73,7 +67,6 @@ def analyze(pages: DataFrame, catalog: DataFrame | None = None, clean: bool = Fa
             items = items.withColumn(c, F.lit(None).cast(kind))
     items = cut(numbered(items))
     read.unpersist()
-    kept: tuple[DataFrame, ...] = ()
     warnings = gates.warnings_of(items, "file_id", "item_no")
     if validate:
         items = gates.accepted(items)
@@ -82,6 +75,6 @@ def analyze(pages: DataFrame, catalog: DataFrame | None = None, clean: bool = Fa
     items = items.withColumn("item_key", F.concat_ws(":", "file_id", F.col("item_no").cast("string")))
     if catalog is not None:
         items = cut(pricing.priced(items, catalog, "item_key"))
-    text = document_text(pages)
+    text = document_text(pages.withColumn("text", clean_ocr(F.col("text"))) if clean else pages)
     facts = text.select("file_id", project_facts(F.col("text"), F.col("file_id")).alias("p")).select("file_id", "p.*")
-    return Takeoff(items, warnings, rollup.categorized(items, "file_id", "item_no"), rollup.material_pipes(items, "file_id"), rollup.material_structures(items, "file_id"), rollup.takeoff_report(items, "file_id"), facts, kept)
+    return Takeoff(items, warnings, rollup.categorized(items, "file_id", "item_no"), rollup.material_pipes(items, "file_id"), rollup.material_structures(items, "file_id"), rollup.takeoff_report(items, "file_id"), facts)

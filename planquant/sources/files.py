@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from planquant.functions.arrays import let
 from planquant.functions.text import project_of
+from planquant.workers import cut
 
 PAGES = "file_id string, page_num int, text string, confidence double, block_count int, method string"
 VISION = (
@@ -36,13 +38,27 @@ def recorded_vision(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("file_id string, page_num int, response string").json(path)
 
 
+def balanced_object(response: Column) -> Column:
+    """The first stretch from an opening brace to the one that closes it, braces counted as they come; null if none closes.
+
+    Only braces matter, so the text is cut at them: a running depth over those few pieces finds the end."""
+    pieces = F.split(F.substring(response, F.locate("{", response), F.length(response)), r"(?<=[{}])")
+    # Depth after each piece, and how many pieces it takes until it is 0 for the first time.
+    sign = lambda x: F.when(F.endswith(x, F.lit("{")), 1).when(F.endswith(x, F.lit("}")), -1).otherwise(0)
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("n"), F.lit(False).alias("done"))
+    step = lambda s, x: F.when(s["done"], s).otherwise(let(s["depth"] + sign(x), lambda d: F.struct(d.alias("depth"), (s["n"] + 1).alias("n"), (d == 0).alias("done"))))
+    closed = lambda p: F.aggregate(p, start, step, lambda s: F.when(s["done"], F.array_join(F.slice(p, F.lit(1), s["n"]), "")))
+    return F.when(F.contains(response, F.lit("{")), let(pieces, closed))
+
+
 def vision_json(response: Column) -> Column:
-    """The answer as a struct: the whole of it, a fenced block, or from its first brace to its last."""
+    """The answer as a struct: the whole of it, its first balanced object, a fenced block, or from its first brace to its last. Null
+    if none of them is an object with items or a summary."""
     read = lambda s: F.from_json(s, VISION)
     fenced = F.nullif(F.regexp_extract(response, r"(?s)```(?:json)?\s*(\{.*?\})\s*```", 1), F.lit(""))
     braces = F.nullif(F.regexp_extract(response, r"(?s)(\{.*\})", 1), F.lit(""))
     good = lambda x: F.when(x["pay_items"].isNotNull() | x["page_summary"].isNotNull(), x)
-    return F.coalesce(good(read(response)), good(read(fenced)), good(read(braces)))
+    return F.coalesce(good(read(response)), good(read(balanced_object(response))), good(read(fenced)), good(read(braces)))
 
 
 def vision_items(answers: DataFrame) -> DataFrame:
@@ -79,6 +95,23 @@ def halves(parts: DataFrame, mb_col: str = "mb") -> DataFrame:
     return parts.withColumn("_r", F.explode(ranges)).withColumn("first_page", F.col("_r.a")).withColumn("last_page", F.col("_r.b")).drop("_r")
 
 
+def split_to_fit(parts: DataFrame, measured: Callable[[DataFrame], DataFrame], file_col: str = "file_id") -> DataFrame:
+    """Parts (file_col, first_page, last_page) of at most 30 MB, numbered anew, or of a single page: parts that are larger are halved, written
+    and measured again until none is left. `measured` adds the size `mb` of the parts it is given. Each round halves
+    pages, so rounds are few; parts that fit are not measured again."""
+    done, left = None, parts.select(file_col, "first_page", "last_page")
+    while True:
+        sized = cut(measured(left))
+        fits = (F.col("mb") <= SAFE_MB) | (F.col("last_page") <= F.col("first_page"))
+        good = sized.filter(fits).select(file_col, "first_page", "last_page", "mb")
+        done = good if done is None else done.unionByName(good)
+        large = sized.filter(~fits)
+        if not large.limit(1).count():
+            break
+        left = halves(large).select(file_col, "first_page", "last_page")
+    return done.select(file_col, (F.row_number().over(Window.partitionBy(file_col).orderBy("first_page")) - 1).alias("part_no"), "first_page", "last_page", "mb")
+
+
 def chosen_method(native_chars: Column, parallel: Column, n_pages: Column) -> Column:
     """native where the file has text (over 100 characters), else parallel recognition from four pages on, else sequential."""
     return F.when(native_chars > 100, "native").when(parallel & (n_pages >= 4), "parallel_ocr").otherwise("ocr")

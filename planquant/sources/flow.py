@@ -121,13 +121,13 @@ def failures(files: DataFrame, error: Column) -> DataFrame:
 
 def read_with_retries(files: DataFrame, reader_at: Callable[[int], Reader], dpi: int = 200, most: int = 2) -> tuple[DataFrame, DataFrame]:
     """(pages, failures): files(file_id, path, content) read at `dpi`; files whose text is too short are read again, at a higher
-    resolution each time, `most` times at most, and then fail. Only what failed is read again."""
+    resolution each time, `most` times at most, and then fail. Only what failed is read again. Pages say at which attempt they were read."""
     workers_find_package(files.sparkSession)
     done, left = None, files
     for k in range(most + 1):
         pages = cut(left.select("path", "content").mapInPandas(reader_at(dpi), PAGES))
         ok = pages.groupBy("file_id").agg(F.array_join(F.collect_list("text"), "\n").alias("t")).filter(route_extraction(F.col("t"), F.lit(k), most) == "parse").select("file_id")
-        good = pages.join(ok, "file_id", "left_semi")
+        good = pages.join(ok, "file_id", "left_semi").withColumn("attempt", F.lit(k + 1))
         done = good if done is None else done.unionByName(good)
         left = left.join(ok, "file_id", "left_anti")
         dpi = int(files.sparkSession.range(1).select(next_dpi(F.lit(dpi))).head()[0])

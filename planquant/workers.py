@@ -18,12 +18,10 @@ def workers_find_package(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([*paths, ROOT])
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The rows, kept in the shared checkpoint folder, so that what follows neither plans nor computes them again.
-
-    The folder is the session's (`spark.checkpoint.dir`); only a session that runs in one process may name none."""
-    sc = df.sparkSession.sparkContext
-    known = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The session's shared folder (`spark.checkpoint.dir`); only a session that runs in one process may name none."""
+    sc = spark.sparkContext
+    known = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if known is None:
         if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
@@ -32,4 +30,10 @@ def cut(df: DataFrame) -> DataFrame:
         known = tempfile.mkdtemp(prefix="planquant-checkpoint-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(known)
+    return known
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The rows, kept in the shared checkpoint folder, so that what follows neither plans nor computes them again."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
