@@ -261,13 +261,39 @@ def extract_items(pages: DataFrame, keys: list[str], text_col: str = "text") ->
     return without_covered_callouts(_first(every, keys), keys)
 
 
+def _candidates(items: DataFrame, blocks: DataFrame, keys: list[str], item_key: str) -> DataFrame:
+    """(keys, item, block_no, match_points, text_points) of items(_match, _text) and the blocks(_block) that hold a word of theirs, or that may hold
+    a whole one without words.
+
+    An inverted index: words of items meet the distinct tokens of a file on their first three characters, and tokens know their blocks, so items
+    and blocks only meet where they share something."""
+    words = lambda s: F.filter(F.split(s, r"\s+"), lambda w: F.length(w) > 2)
+    each = lambda c, m, t: F.transform(words(F.col(c)), lambda w: F.struct(w.alias("word"), F.lit(m).alias("m"), F.lit(t).alias("t")))
+    wanted = items.select(*keys, item_key, F.explode(F.concat(each("_match", 20, 0), each("_text", 0, 10))).alias("w")).groupBy(*keys, item_key, "w.word").agg(F.sum("w.m").alias("m"), F.sum("w.t").alias("t"))
+    postings = blocks.select(*keys, "block_no", F.explode(F.array_distinct(words(F.col("_block")))).alias("token"))
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("token") - 2), lambda k: F.substring(F.col("token"), k, F.lit(3))))
+    tokens = postings.select(*keys, "token").distinct().select(*keys, "token", F.explode(grams).alias("gram"))
+    asked = wanted.select(*keys, "word").distinct().withColumn("gram", F.left("word", F.lit(3)))
+    held = asked.join(tokens, [*keys, "gram"]).filter(F.contains("token", "word")).select(*keys, "word", "token").distinct()
+    places = held.join(postings, [*keys, "token"]).select(*keys, "word", "block_no").distinct()
+    by_words = wanted.join(places, [*keys, "word"]).groupBy(*keys, item_key, "block_no").agg(F.sum("m").alias("match_points"), F.sum("t").alias("text_points"))
+
+    whole = items.select(*keys, item_key, F.explode(F.array("_match", "_text")).alias("whole")).filter((F.col("whole") != "") & (F.size(words(F.col("whole"))) == 0))
+    short = whole.select(*keys, item_key, F.left("whole", F.lit(3)).alias("gram")).distinct()
+    parts = F.flatten(F.transform(F.sequence(F.lit(1), F.length("_block")), lambda k: F.array(*[F.substring(F.col("_block"), k, F.lit(n)) for n in (1, 2, 3)])))
+    there = blocks.filter(F.col("_block") != "").select(*keys, "block_no", F.explode(F.array_distinct(parts)).alias("gram")).join(short.select(*keys, "gram").distinct(), [*keys, "gram"], "left_semi")
+    by_parts = short.join(there, [*keys, "gram"]).select(*keys, item_key, "block_no", F.lit(0).cast("long").alias("match_points"), F.lit(0).cast("long").alias("text_points"))
+    return by_words.unionByName(by_parts).groupBy(*keys, item_key, "block_no").agg(F.max("match_points").alias("match_points"), F.max("text_points").alias("text_points"))
+
+
 def located(items: DataFrame, blocks: DataFrame, keys: list[str], item_key: str, match_col: str = "source_text") -> DataFrame:
     """Items with the text block they most likely come from: the block that holds the match scores 100, else 20 for
     each of its words; the description 50, or 10 for each word; 20 are needed, the first of the best wins."""
     low = lambda c: F.lower(F.coalesce(F.col(c), F.lit("")))
-    words = lambda s: F.filter(F.split(s, r"\s+"), lambda w: F.length(w) > 2)
-    score = lambda of, whole, each: F.when((of != "") & F.contains(F.col("_block"), of), whole).otherwise(F.size(F.filter(words(of), lambda w: F.contains(F.col("_block"), w))) * each)
     b = blocks.select(*keys, F.lower("text").alias("_block"), F.struct("page", "bbox", F.left("text", F.lit(100)).alias("text_context"), F.col("confidence").alias("ocr_confidence")).alias("_at"), "block_no")
-    total = score(low(match_col), 100, 20) + score(low("description"), 50, 10)
-    best = items.join(b, keys).withColumn("_score", total).filter("_score >= 20").groupBy(*keys, item_key).agg(F.max_by("_at", F.struct("_score", -F.col("block_no"))).alias("source_location"))
+    i = items.select(*keys, item_key, low(match_col).alias("_match"), low("description").alias("_text"))
+    holds = lambda c: (F.col(c) != "") & F.contains("_block", F.col(c))
+    score = F.when(holds("_match"), 100).otherwise(F.col("match_points")) + F.when(holds("_text"), 50).otherwise(F.col("text_points"))
+    pairs = _candidates(i, b, keys, item_key).join(i, [*keys, item_key]).join(b, [*keys, "block_no"]).withColumn("_score", score).filter("_score >= 20")
+    best = pairs.groupBy(*keys, item_key).agg(F.max_by("_at", F.struct("_score", -F.col("block_no"))).alias("source_location"))
     return items.join(best, [*keys, item_key], "left")

@@ -17,28 +17,39 @@ def _up(c: str) -> Column:
     return F.upper(F.coalesce(F.col(c), F.lit("")))
 
 
+def _material() -> Column:
+    """struct(pipe, size, material, type, amount) of a row that counts as material, else null: pipes measured in LF that have a size in inches, with
+    their length; structures and other pieces with their whole quantity, 1 where there is none."""
+    d, unit, q = _up("description"), _up("unit"), F.coalesce(F.col("quantity").cast("double"), F.lit(0.0))
+    size, material = extract(d, "(\\d{1,2})\\s*[\"”]"), F.coalesce(extract(d, r"\b(RCP|PVC|HDPE|CMP|DIP|SRCP|ERCP)\b"), F.lit("PIPE"))
+    kind = reduce(lambda rest, w: F.when(F.contains(d, F.lit(w)), w).otherwise(rest), reversed(STRUCTURE_WORDS), F.lit("OTHER"))
+    pipe = contains_any(d, PIPE_WORDS) & (unit == "LF")
+    none = F.lit(None).cast("string")
+    row = lambda is_pipe, a, b, c, x: F.struct(F.lit(is_pipe).alias("pipe"), a.alias("size"), b.alias("material"), c.alias("type"), x.alias("amount"))
+    of_pipe = F.when(size.isNotNull(), row(True, size, material, none, q))
+    return F.when(pipe, of_pipe).when(contains_any(d, STRUCTURE_WORDS) | (unit == "EA"), row(False, none, none, kind, F.when(q == 0, F.lit(1.0)).otherwise(q.cast("long").cast("double"))))
+
+
 def material_pipes(items: DataFrame, *keys: str) -> DataFrame:
     """LF and count per size and material of pipes measured in LF; pipes without a size in inches don't count."""
-    d = _up("description")
-    size, material = extract(d, "(\\d{1,2})\\s*[\"”]"), F.coalesce(extract(d, r"\b(RCP|PVC|HDPE|CMP|DIP|SRCP|ERCP)\b"), F.lit("PIPE"))
-    p = items.filter(contains_any(d, PIPE_WORDS) & (_up("unit") == "LF")).select(*keys, size.alias("size"), material.alias("material"), F.coalesce(F.col("quantity").cast("double"), F.lit(0.0)).alias("q")).filter("size is not null")
-    return p.groupBy(*keys, "size", "material").agg(F.sum("q").alias("total_lf"), F.count(F.lit(1)).alias("n_items"))
+    p = items.select(*keys, _material().alias("m")).filter("m.pipe")
+    return p.groupBy(*keys, "m.size", "m.material").agg(F.sum("m.amount").alias("total_lf"), F.count(F.lit(1)).alias("n_items"))
 
 
 def material_structures(items: DataFrame, *keys: str) -> DataFrame:
     """Count per structure type: whole quantities, 1 where there is none."""
-    d, unit, q = _up("description"), _up("unit"), F.coalesce(F.col("quantity").cast("double"), F.lit(0.0))
-    pipe = contains_any(d, PIPE_WORDS) & (unit == "LF")
-    kind = reduce(lambda rest, w: F.when(F.contains(d, F.lit(w)), w).otherwise(rest), reversed(STRUCTURE_WORDS), F.lit("OTHER"))
-    s = items.filter(~pipe & (contains_any(d, STRUCTURE_WORDS) | (unit == "EA"))).select(*keys, kind.alias("structure_type"), F.when(q == 0, F.lit(1)).otherwise(q.cast("long")).cast("long").alias("n"))
-    return s.groupBy(*keys, "structure_type").agg(F.sum("n").alias("n_structures"))
+    s = items.select(*keys, _material().alias("m")).filter("not m.pipe")
+    return s.groupBy(*keys, F.col("m.type").alias("structure_type")).agg(F.sum("m.amount").cast("long").alias("n_structures"))
 
 
 def material_totals(items: DataFrame) -> DataFrame:
-    """One row: pipe LF, pipe sizes, structures, structure types."""
-    p = material_pipes(items).agg(F.coalesce(F.sum("total_lf"), F.lit(0.0)).alias("total_pipe_lf"), F.count(F.lit(1)).alias("total_pipe_sizes"))
-    s = material_structures(items).agg(F.coalesce(F.sum("n_structures"), F.lit(0)).cast("long").alias("total_structures"), F.count(F.lit(1)).alias("total_structure_types"))
-    return p.withColumn("_k", F.lit(1)).join(s.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    """One row: pipe LF, pipe sizes, structures, structure types; in one pass, by kind first and then over the few kinds."""
+    kinds = items.select(_material().alias("m")).filter("m is not null").groupBy("m.pipe", "m.size", "m.material", "m.type").agg(F.sum("m.amount").alias("n"))
+    pipe = F.col("pipe")
+    return kinds.agg(
+        F.coalesce(F.sum(F.when(pipe, F.col("n"))), F.lit(0.0)).alias("total_pipe_lf"), F.count_if(pipe).alias("total_pipe_sizes"),
+        F.coalesce(F.sum(F.when(~pipe, F.col("n"))), F.lit(0)).cast("long").alias("total_structures"), F.count_if(~pipe).alias("total_structure_types"),
+    )
 
 
 def is_drainage_item() -> Column:

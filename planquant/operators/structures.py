@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from planquant.functions import rules
@@ -91,11 +92,44 @@ def structure_codes(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(rules.STRUCTURES), "fdot_code string, type string, subtype string, price double, depth string")
 
 
+def sequence_ratio(a: Column, b: Column) -> Column:
+    """Twice the characters in common blocks over all characters of both: the longest common block (the first in a, then in b), then the same to
+    its left and to its right."""
+
+    @F.pandas_udf("double")
+    def ratio(left: pd.Series, right: pd.Series) -> pd.Series:
+        from difflib import SequenceMatcher
+
+        return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(left, right, strict=True)], dtype="float64")
+
+    return ratio(a, b)
+
+
 def closest_subtype(structures: DataFrame, wanted: DataFrame) -> DataFrame:
-    """For subtypes without a code of their own: the table's subtype of the same type with the least edit distance
-    (relative), a shared depth counting a tenth; at least half alike, the first by code on ties. No wording of `structure_of`
-    needs it: all of theirs have a code or are standard."""
-    likeness = 1 - F.levenshtein(F.upper("w.subtype"), F.upper("s.subtype")) / F.greatest(F.length("w.subtype"), F.length("s.subtype"))
-    score = likeness + F.when(F.col("w.depth") == F.col("s.depth"), 0.1).otherwise(0.0)
-    pairs = wanted.alias("w").join(structures.alias("s"), F.col("w.type") == F.col("s.type")).withColumn("score", score).filter("score > 0.5")
-    return pairs.groupBy("w.type", "w.subtype", "w.depth").agg(F.min_by(F.struct("s.fdot_code", "s.price"), F.struct((-F.col("score")).alias("score"), F.col("s.fdot_code").alias("code"))).alias("best")).select("type", "subtype", "depth", "best.*")
+    """For subtypes without a code of their own: the table's subtype of the same type that is most like it (`sequence_ratio`), a shared
+    depth counting a tenth; over half alike, the first by code on ties. Only distinct pairs of subtypes of one type are compared."""
+    asked = wanted.select("type", "subtype", "depth").distinct()
+    pairs = asked.alias("w").join(structures.alias("s"), F.col("w.type") == F.col("s.type"))
+    likeness = pairs.select("w.type", F.upper("w.subtype").alias("a"), F.upper("s.subtype").alias("b")).distinct().withColumn("r", sequence_ratio(F.col("a"), F.col("b")))
+    scored = pairs.select("w.type", "w.subtype", "w.depth", F.col("s.fdot_code").alias("code"), F.col("s.price").alias("price"), F.col("s.depth").alias("has"), F.upper("w.subtype").alias("a"), F.upper("s.subtype").alias("b")).join(likeness, ["type", "a", "b"])
+    score = F.col("r") + F.when(F.col("depth") == F.col("has"), 0.1).otherwise(0.0)
+    scored = scored.withColumn("score", score).filter("score > 0.5")
+    return scored.groupBy("type", "subtype", "depth").agg(F.min_by(F.struct(F.col("code").alias("fdot_code"), "price"), F.struct((-F.col("score")).alias("s"), "code")).alias("best")).select("type", "subtype", "depth", "best.*")
+
+
+#: What a type without a default has.
+FALLBACK = ("425-1-541", 4200.0)
+
+
+def code_lookup(wanted: DataFrame, structures: DataFrame) -> DataFrame:
+    """wanted(type, subtype, depth) with fdot_code, price and how they were found: direct (the subtype has a code), standard, closest, or
+    default (of the type). Subtypes compare in capitals."""
+    up = F.upper("subtype")
+    table = lambda d, n: F.create_map(*[F.lit(x) for k, v in d.items() for x in (k, v[n])])
+    kind = lambda n, cast: F.coalesce(F.element_at(table(rules.DEFAULT_STRUCTURES, n), F.col("type")), F.lit(FALLBACK[n])).cast(cast)
+    direct = F.element_at(table(rules.SUBTYPE_CODES, 0), up)
+    rest = wanted.filter(direct.isNull() & up.isNotNull() & (up != "") & (up != "STANDARD"))
+    near = closest_subtype(structures, rest).select(F.col("type").alias("_t"), F.col("subtype").alias("_s"), F.col("depth").alias("_d"), F.col("fdot_code").alias("_code"), F.col("price").alias("_price"))
+    j = wanted.join(near, F.col("type").eqNullSafe(F.col("_t")) & F.col("subtype").eqNullSafe(F.col("_s")) & F.col("depth").eqNullSafe(F.col("_d")), "left")
+    found = F.when(direct.isNotNull(), "direct").when(up == "STANDARD", "standard").when(F.col("_code").isNotNull(), "closest").otherwise("default")
+    return j.select(*wanted.columns, F.coalesce(direct, F.col("_code"), kind(0, "string")).alias("fdot_code"), F.coalesce(F.element_at(table(rules.SUBTYPE_CODES, 1), up).cast("double"), F.col("_price"), kind(1, "double")).alias("price"), found.alias("found"))

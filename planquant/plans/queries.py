@@ -425,7 +425,18 @@ register(
 )
 register("sender_acl", lambda s, d: _table(s, d, "customer").select("c_custkey", mail.sender_allowed(cat("Name <user", c("c_custkey"), "@", _pick(("a.com", "b.org", "c.net"), c("c_custkey")), ">"), ["user7@b.org", "user5@*", "*@A.com"], []).alias("allowed")), "select c_custkey, c_custkey % 3 = 0 or c_custkey = 5 or (c_custkey = 7 and c_custkey % 3 = 1) as allowed from customer")
 register("link_extract", lambda s, d: _table(s, d, "pages").select("page_id", F.explode(mail.cloud_links(cat("see https://drive.google.com/f/", c("page_id"), " or http://x.org and https://we.tl/", c("page_id") % 7, " https://we.tl/", c("page_id") % 7))).alias("link")), "select page_id, 'https://drive.google.com/f/' || page_id as link from pages union all select page_id, 'https://we.tl/' || page_id % 7 from pages")
-register("rate_limit_fold", lambda s, d: mail.rate_limited(_table(s, d, "events").select("event_id", "ts", "user_id"), "user_id", "ts", ["event_id"], 2, 20))
+register(
+    "rate_limit_fold",
+    lambda s, d: mail.rate_limited(_table(s, d, "events").select("event_id", "ts", "user_id"), "user_id", "ts", ["event_id"], 2, 20).select("event_id", "user_id", "allowed"),
+    """with recursive e as (select event_id, user_id, epoch_us(ts) as us, row_number() over (partition by user_id order by ts, event_id) as n from events),
+  fold as (
+    select event_id, user_id, n, true as allowed, [us] as taken from e where n = 1
+    union all
+    select event_id, user_id, n, ok, case when ok then list_append(held, us) else held end from (
+      select x.*, len(held) < 20 and len(list_filter(held, lambda t: t > us - 3600000000)) < 2 as ok
+      from (select e.*, list_filter(f.taken, lambda t: t > e.us - 86400000000) as held from fold f join e on e.user_id = f.user_id and e.n = f.n + 1) x)
+  ) select event_id, user_id, allowed from fold""",
+)
 register("mail_totals", lambda s, d: rollup.job_totals(rollup.file_results(_rolled(s, d), _table(s, d, "orders").select(c("o_orderkey").alias("file_id"), c("o_custkey").alias("message_id"), (c("o_orderstatus") != "F").alias("success")))).select("message_id", "n_files", "n_ok", "n_items", "status"), f"with {_ROLLED}, f as (select o_custkey as message_id, o_orderstatus <> 'F' as ok, (select count(*) from r where file_id = o_orderkey) as n from orders) select message_id, count(*) as n_files, count(*) filter (ok) as n_ok, cast(sum(n) as bigint) as n_items, case when bool_and(ok) then 'success' when bool_or(ok) then 'partial' else 'failed' end as status from f group by message_id")
 register(
     "messy_materials",
@@ -596,3 +607,47 @@ register(
     coalesce(cost, 0.0)::double as total_cost, case when file_id % 11 = 0 then 'too little text after all retries' else '' end as errors
   from parts left join totals on totals.id = parts.id""",
 )
+
+
+# Places of items, answers of vision models, codes of structures.
+register(
+    "source_locations",
+    lambda s, d: E.located(
+        _parts(s, d).select(c("n").alias("file_id"), c("p_partkey").alias("item_no"), cat(c("p_name"), " ", c("sz"), " LF").alias("source_text"), F.when(c("p_partkey") % 4 > 0, c("p_type")).alias("description")),
+        _parts(s, d).select(c("n").alias("file_id"), F.lit(1).alias("page"), c("p_partkey").alias("block_no"), F.upper(F.when(c("p_partkey") % 3 > 0, cat("SEE ", c("p_name"), " ", c("sz"), " LF")).otherwise(cat(c("p_type"), " ", c("p_brand")))).alias("text"), F.lit(None).cast("array<array<double>>").alias("bbox"), F.lit(0.9).alias("confidence")),
+        ["file_id"],
+        "item_no",
+    ).select("file_id", "item_no", c("source_location.page").alias("page"), c("source_location.text_context").alias("text_context"), c("source_location.ocr_confidence").alias("ocr_confidence")),
+    f"""with {_PARTS},
+  items as (select n as file_id, p_partkey as item_no, lower(p_name || ' ' || sz || ' LF') as m, lower(case when p_partkey % 4 > 0 then p_type else '' end) as t from parts),
+  blocks as (select n as file_id, p_partkey as block_no, upper(case when p_partkey % 3 > 0 then 'SEE ' || p_name || ' ' || sz || ' LF' else p_type || ' ' || p_brand end) as text from parts),
+  scored as (select i.file_id, i.item_no, b.block_no, b.text,
+      case when contains(lower(b.text), m) then 100 else 20 * len(list_filter(string_split(m, ' '), lambda w: len(w) > 2 and contains(lower(b.text), w))) end
+      + case when t <> '' and contains(lower(b.text), t) then 50 else 10 * len(list_filter(string_split(t, ' '), lambda w: len(w) > 2 and contains(lower(b.text), w))) end as score
+    from items i join blocks b on i.file_id = b.file_id),
+  best as (select * from scored where score >= 20 qualify row_number() over (partition by file_id, item_no order by score desc, block_no) = 1)
+  select i.file_id, i.item_no, case when b.block_no is not null then 1 end as page, left(b.text, 100) as text_context, case when b.block_no is not null then 0.9 end::double as ocr_confidence
+  from items i left join best b on i.file_id = b.file_id and i.item_no = b.item_no""",
+)
+
+
+def _answers(s: SparkSession, d: str) -> DataFrame:
+    """Parts as recorded answers, written in eight ways."""
+    k = c("p_partkey")
+    item = lambda code: F.to_json(F.struct(F.array(F.struct(cat(code, k).alias("pay_item_no"), c("p_name").alias("description"), F.lit("LF").alias("unit"), c("n").cast("double").alias("quantity"), F.lit("high").alias("confidence"))).alias("pay_items"), F.lit("sheet {A} of }{").alias("page_summary") if code == "430-" else F.lit("second").alias("page_summary")))
+    whole, plain = item("430-"), F.regexp_replace(item("430-"), r"sheet \{A\} of \}\{", "sheet")
+    ways = (whole, cat("The items: ", plain, " and {more}."), cat("```json\n", plain, "\n```"), cat("{no} object, ", plain), cat(plain, "\n", item("431-")), cat("```\n", plain, "\n``` with {braces}"), F.lit("{broken"), F.lit("I can't read this page."))
+    return _parts(s, d).select(c("file_id"), F.lit(1).alias("page_num"), F.get(F.array(*ways), (k % 8).cast("int")).alias("response"))
+
+
+register(
+    "vision_answers",
+    lambda s, d: files.vision_items(_answers(s, d)).select("file_id", "item_no", "pay_item_no", "description", "unit", "quantity", "confidence"),
+    f"with {_PARTS} select file_id, 0 as item_no, '430-' || p_partkey as pay_item_no, p_name as description, 'LF' as unit, cast(n as double) as quantity, 'high' as confidence from parts where p_partkey % 8 in (0, 1, 2, 4, 5)",
+)
+register(
+    "structure_code_lookup",
+    lambda s, d: structures.code_lookup(_parts(s, d).select("p_partkey", _pick(("INLET", "MANHOLE", "WELL"), c("p_partkey")).alias("type"), _pick(("type 7", "STANDARD", "CURB TYPE P-5", "zzzz"), c("p_partkey")).alias("subtype"), F.lit(None).cast("string").alias("depth")), structures.structure_codes(s)).select("p_partkey", "fdot_code", "price", "found"),
+    f"""select p_partkey, case p_partkey % 4 when 0 then '425-2-41' when 2 then '425-1-621' else {_sql_pick([rules.DEFAULT_STRUCTURES.get(t, structures.FALLBACK)[0] for t in ("INLET", "MANHOLE", "WELL")], 'p_partkey')} end as fdot_code,
+  cast(case p_partkey % 4 when 0 then 5500.0 when 2 then 7200.0 else {_sql_pick([float(rules.DEFAULT_STRUCTURES.get(t, structures.FALLBACK)[1]) for t in ("INLET", "MANHOLE", "WELL")], 'p_partkey')} end as double) as price, {_sql_pick(('direct', 'standard', 'direct', 'default'), 'p_partkey')} as found from part""",
+)

@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from planquant.functions.text import sender_address
 
@@ -77,31 +78,65 @@ def rate_limited(events: DataFrame, key: str, ts: str, order: list[str], per_hou
     return part.mapInPandas(run, f"{fields}, allowed boolean")
 
 
-STATE = "times array<long>"
+HOUR, DAY = 3_600_000_000, 86_400_000_000
 
 
-def rate_limited_stream(events: DataFrame, key: str, ts: str, per_hour: int = PER_HOUR, per_day: int = PER_DAY) -> DataFrame:
-    """The same over a stream: (key, ts, allowed), the allowed times of a key being its state; it expires a day after the last."""
-    out = f"{key} {dict(events.dtypes)[key]}, ts timestamp, allowed boolean"
+class _RateLimit(StatefulProcessor):
+    """A sender's times (microseconds): those waiting for the watermark, and those allowed within a day."""
 
-    def step(k, pdfs, state):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        taken = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(pdfs)).sort_values(ts)
+    def __init__(self, key: str, id_type: str, per_hour: int, per_day: int):
+        self.key, self.id_type, self.per_hour, self.per_day = key, id_type, per_hour, per_day
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", f"us long, id {self.id_type}")
+        self.taken = handle.getListState("taken", "us long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
+        for pdf in rows:
+            new = [(int(t.value // 1000), i) for t, i in zip(pd.to_datetime(pdf["ts"]), pdf["id"], strict=True)]
+            self.waiting.appendList(new)
+            for ms in {-(-us // 1000) for us, _ in new}:
+                self.handle.registerTimer(ms)
+        yield pd.DataFrame({self.key: pd.Series(dtype="object"), "ts": pd.Series(dtype="datetime64[us]"), "id": pd.Series(dtype="object"), "allowed": pd.Series(dtype="bool")})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802
+        at = expiredTimerInfo.getExpiryTimeInMs() * 1000
+        held = sorted(self.waiting.get()) if self.waiting.exists() else []
+        due, rest = [x for x in held if x[0] <= at], [x for x in held if x[0] > at]
+        taken = [x[0] for x in self.taken.get()] if self.taken.exists() else []
         allowed = []
-        for t in rows[ts]:
-            us = int(t.value // 1000)
-            taken = [x for x in taken if x > us - 86_400_000_000]
-            ok = sum(x > us - 3_600_000_000 for x in taken) < per_hour and len(taken) < per_day
+        for us, _ in due:
+            taken = [x for x in taken if x > us - DAY]
+            ok = sum(x > us - HOUR for x in taken) < self.per_hour and len(taken) < self.per_day
             taken += [us] if ok else []
             allowed.append(ok)
-        state.update((taken,))
-        state.setTimeoutDuration(86_400_000)
-        yield pd.DataFrame({key: [k[0]] * len(rows), "ts": rows[ts].to_numpy(), "allowed": allowed})
-
-    return events.select(key, ts).groupBy(key).applyInPandasWithState(step, out, STATE, "append", "ProcessingTimeTimeout")
+        for state, values in ((self.waiting, rest), (self.taken, [(x,) for x in taken])):
+            state.put(values) if values else state.clear()
+        if not due and not rest:
+            self.taken.clear()  # the timer a day after the last mail
+        elif due and not rest:
+            self.handle.registerTimer(due[-1][0] // 1000 + DAY // 1000 + 1)
+        yield pd.DataFrame({self.key: [key[0]] * len(due), "ts": pd.to_datetime([x[0] for x in due], unit="us"), "id": [x[1] for x in due], "allowed": pd.Series(allowed, dtype="bool")})
+
+    def close(self) -> None:
+        pass
+
+
+def rate_limited_stream(events: DataFrame, key: str, ts: str, per_hour: int = PER_HOUR, per_day: int = PER_DAY, late: str = "10 minutes", id_col: str | None = None) -> DataFrame:
+    """The same over a stream: (key, ts, id, allowed). Mails are held until the watermark (`late` behind the newest) has passed them and then decided in
+    order of time, so the result is the batch's however they arrive; what comes later than that is dropped by the watermark.
+    Equal times go by id. State is what waits and the allowed times of a day, and goes a day after a sender's last mail, all by event time.
+    The session must use the RocksDB state store (`use_rocksdb`)."""
+    given = events.select(F.col(key), F.col(ts).alias("ts"), (F.col(id_col) if id_col else F.lit(0)).alias("id")).withWatermark("ts", late)
+    kinds = dict(given.dtypes)
+    out = f"{key} {kinds[key]}, ts timestamp, id {kinds['id']}, allowed boolean"
+    return given.groupBy(key).transformWithStateInPandas(_RateLimit(key, kinds["id"], per_hour, per_day), out, "append", "eventtime")
+
+
+def use_rocksdb(spark: SparkSession) -> None:
+    """The state store that state with timers needs."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
 def message_stream(spark: SparkSession, path: str) -> DataFrame:

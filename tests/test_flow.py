@@ -73,6 +73,24 @@ def test_closest_subtype_takes_the_first_code_of_ties(spark):
     assert [(r["subtype"], r["fdot_code"]) for r in structures.closest_subtype(table, wanted).collect()] == [("TYPE A", "1")]
 
 
+def test_codes_of_subtypes_follow_the_ratio(spark):
+    from difflib import SequenceMatcher
+
+    from planquant.functions import rules
+
+    table = structures.structure_codes(spark)
+    rows = table.collect()
+    wanted = [(t, s, d) for t in ("INLET", "MANHOLE", "WELL") for s in ("TYPE D MODIFIED", "type 7", "DITCH BOTTOM TYPE", "CURB P-6", "MODIFIED P", "STANDARD", "QQQ", None, "", "BOTTOM DITCH TYPE E") for d in (None, "<6'", rows[0]["depth"])]
+    got = {(r["type"], r["subtype"], r["depth"]): (r["fdot_code"], r["price"], r["found"]) for r in structures.code_lookup(spark.createDataFrame(wanted, "type string, subtype string, depth string"), table).collect()}
+    for t, s, d in wanted:
+        up = (s or "").upper()
+        default = rules.DEFAULT_STRUCTURES.get(t, structures.FALLBACK)
+        scores = [(-(SequenceMatcher(None, up, r["subtype"].upper()).ratio() + (0.1 if d and r["depth"] == d else 0.0)), r["fdot_code"], r["price"]) for r in rows if r["type"] == t]
+        best = min(scores, default=(0, "", 0))
+        want = (*rules.SUBTYPE_CODES[up], "direct") if up in rules.SUBTYPE_CODES else (*default, "standard") if up == "STANDARD" else (*best[1:], "closest") if up and -best[0] > 0.5 else (*default, "default")
+        assert got[(t, s, d)] == want, (t, s, d)
+
+
 def test_csv_report_quotes(spark):
     items = spark.createDataFrame([("f", "1", 'pipe, 18" "x"', "LF", 2.0)], "file_id string, pay_item_no string, description string, unit string, quantity double")
     for c in ("unit_price", "line_cost", "confidence_score"):

@@ -1,6 +1,7 @@
 """Known facts of the take-off domain, property checks, and the pipeline end to end."""
 
 import datetime as dt
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -153,6 +154,28 @@ def test_location(spark):
     assert got[1]["ocr_confidence"] == 0.8 and got[2] is None
 
 
+def test_location_is_the_brute_force(spark):
+    import random
+
+    r = random.Random(4)
+    pool = ["pipe", "culvert", "rcp", '18"', "lf", "5", "inlet", "type", "piping", "24", "ea", "x", "pip"]
+    text = lambda: " ".join(r.choice(pool) for _ in range(r.randint(0, 5)))
+    items = [(k % 2, k, r.choice([text(), "5", "lf", "", None]), r.choice([text(), None, "x"])) for k in range(60)]
+    blocks = [(k % 2, 1, k, r.choice([text(), "", "5 lf x", "Culvert  PIPE"]), None, k / 100) for k in range(24)]
+
+    def score(block, whole, one, of):
+        return whole if of and of in block else one * sum(w in block for w in re.split(r"\s+", of) if len(w) > 2)
+
+    want = {}
+    for f, k, match, desc in items:
+        best = max(((score(b[3].lower(), 100, 20, (match or "").lower()) + score(b[3].lower(), 50, 10, (desc or "").lower()), -b[2]) for b in blocks if b[0] == f), default=(0, 0))
+        want[k] = -best[1] / 100 if best[0] >= 20 else None
+    i = spark.createDataFrame(items, "file_id int, item_no int, source_text string, description string")
+    b = spark.createDataFrame(blocks, "file_id int, page int, block_no int, text string, bbox array<array<double>>, confidence double")
+    got = {x["item_no"]: x["source_location"] and x["source_location"]["ocr_confidence"] for x in E.located(i, b, ["file_id"], "item_no").collect()}
+    assert got == want and None in want.values()
+
+
 def test_lines_follow_the_previous_block(spark):
     rows = [(1, k, t, float(y), float(x)) for k, (t, y, x) in enumerate([("c", 20, 5), ("a", 0, 9), ("b", 10, 1), ("d", 60, 0)])]
     b = spark.createDataFrame(rows, "page int, block_no int, text string, y_center double, x_center double")
@@ -176,17 +199,22 @@ def test_rate_limit_is_a_fold(spark):
     assert got == [True] * 3 + [False] * 5
 
 
-def test_rate_limit_stream_matches_batch(spark, tmp_path):
+def test_rate_limit_stream_matches_batch_whatever_the_order_of_arrival(spark, tmp_path):
+    import random
+
+    mail.use_rocksdb(spark)
     t0 = dt.datetime(2024, 1, 1)
-    rows = [(k % 3, t0 + dt.timedelta(minutes=7 * k)) for k in range(40)]
-    ev = spark.createDataFrame(rows, "user_id int, ts timestamp")
-    ev.coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(ev.schema).parquet(str(tmp_path / "in"))
-    q = mail.rate_limited_stream(stream, "user_id", "ts", per_hour=2).writeStream.format("memory").queryName("limited").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    got = {(r["user_id"], r["ts"]): r["allowed"] for r in spark.table("limited").collect()}
-    want = {(r["user_id"], r["ts"]): r["allowed"] for r in mail.rate_limited(ev, "user_id", "ts", [], per_hour=2).collect()}
-    assert got == want
+    rows = [(k % 3, t0 + dt.timedelta(minutes=7 * k), k) for k in range(60)] + [(0, t0 + dt.timedelta(minutes=21), 100)]
+    ev = spark.createDataFrame(rows, "user_id int, ts timestamp, event_id int")
+    shuffled = sorted(rows, key=lambda r: (r[1] - t0).total_seconds() / 420 + random.Random(r[2]).uniform(0, 14))
+    for n, part in enumerate((shuffled[:20], shuffled[20:41], shuffled[41:], [(9, t0 + dt.timedelta(days=3), 999)])):
+        spark.createDataFrame(part, ev.schema).coalesce(1).write.parquet(str(tmp_path / f"in/{n}"))
+    stream = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    q = mail.rate_limited_stream(stream, "user_id", "ts", per_hour=2, late="2 hours", id_col="event_id").writeStream.format("memory").queryName("limited").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination(200)
+    got = {int(r["id"]): r["allowed"] for r in spark.table("limited").collect()}
+    want = {r["event_id"]: r["allowed"] for r in mail.rate_limited(ev, "user_id", "ts", ["event_id"], per_hour=2).collect()}
+    assert got == want and not all(want.values())
 
 
 def test_mail_decisions(spark):
