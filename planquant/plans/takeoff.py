@@ -25,6 +25,9 @@ class Takeoff:
     report: DataFrame
     projects: DataFrame
 
+    def release(self) -> None:
+        """For callers that end a run: nothing is held in memory, what was cut is in the checkpoint folder."""
+
 
 KEYS = ["file_id", "page_num"]
 FILE = ["file_id"]
