@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from planquant.functions import text as T
-from planquant.operators import extract as E
+from planquant.operators import extract as E, geometry
 
 
 def plan(df) -> str:
@@ -22,3 +22,29 @@ def test_double_reads_what_a_cast_reads(spark):
     values = ["1", " 1.5 ", "1.", ".5", "-2e3", "+7f", "3D", "NaN", "nan", "Infinity", "-inf", "0x1p3", "\t4\n", "1,000", "LF", "", "430-175-1", "1e", "\x01 9", "٣", ".", "e5", None]
     rows = spark.createDataFrame([(v,) for v in values], "s string").select("s", F.col("s").try_cast("double").alias("a"), T.to_double(F.col("s")).alias("b"))
     assert rows.filter(~F.col("a").eqNullSafe(F.col("b"))).collect() == []
+
+
+def test_boxes_of_many_pages_are_clustered_together(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = [(f, k, [[float(x), float(y)], [x + 9.0, float(y)], [x + 9.0, y + 4.0], [float(x), y + 4.0]]) for f in [*range(300), None] for k in range(rng.choice([1, 3, 40])) for x, y in [(rng.randrange(600), rng.randrange(600))]]
+    want = []
+    for f in {r[0] for r in rows}:
+        free, n = sorted((r for r in rows if r[0] == f), key=lambda r: r[1]), 0
+        while free:
+            (x1, y1), (x2, y2) = free[0][2][0], free[0][2][2]
+            near = [r for r in free if max(x1, r[2][0][0]) - min(x2, r[2][2][0]) <= 50 and max(y1, r[2][0][1]) - min(y2, r[2][2][1]) <= 50]
+            free = [r for r in free if r not in near]
+            want.append((f, n, min(r[2][0][0] for r in near), max(r[2][2][1] for r in near), len(near)))
+            n += 1
+    boxes = spark.createDataFrame(rows, "file_id long, block_no int, bbox array<array<double>>").repartition(3)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        found = geometry.merged_boxes(boxes, ["file_id"])
+        assert "FlatMapGroupsInPandas" not in plan(found)
+        got = [(r.file_id, r.cluster_no, r.bbox[0][0], r.bbox[2][1], r.n_boxes) for r in found.collect()]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert sorted(got, key=repr) == sorted(want, key=repr)
