@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from planquant.functions import text as T
-from planquant.operators import extract as E, geometry
+from planquant.operators import extract as E, geometry, products
 
 
 def plan(df) -> str:
@@ -48,3 +48,28 @@ def test_boxes_of_many_pages_are_clustered_together(spark):
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def test_equal_items_and_blocks_meet_once(spark, monkeypatch):
+    met = []
+    candidates = E._candidates
+
+    def seen(items, blocks, keys, item_key):
+        out = candidates(items, blocks, keys, item_key)
+        met.append(out.count())
+        return out
+
+    monkeypatch.setattr(E, "_candidates", seen)
+    items = spark.createDataFrame([(1, k, "Blue PIPE", None if k % 2 else "large") for k in range(40)], "file_id int, item_no int, source_text string, description string")
+    blocks = spark.createDataFrame([(1, 1, k, ("see BLUE pipe", "Large blue", "See blue pipe", "none")[k % 4], None, 0.9) for k in reversed(range(40))], "file_id int, page int, block_no int, text string, bbox array<array<double>>, confidence double")
+    got = E.located(items, blocks, ["file_id"], "item_no").select("item_no", "source_location.text_context").collect()
+    assert sorted(map(tuple, got)) == [(k, "see BLUE pipe") for k in range(40)]
+    assert met == [4]
+
+
+def test_hits_of_products_are_found_once(spark):
+    hits = spark.createDataFrame([(1, "a", 0.95, 0.0, "LF", 0, 0), (1, "a", 0.6, 7.0, "EA", 1, 0), (1, "a", 0.5, 9.0, "LF", 1, 1), (1, "b", 0.3, 0.0, "LF", 0, 0), (2, "a", 0.9, 3.0, "LF", 0, 0), (2, "a", 0.8, 4.0, "LF", 1, 0), (3, "a", 0.7, 0.0, "LF", 0, 0), (3, "a", 0.4, 5.0, "LF", 1, 0)], "file_id int, id string, confidence double, quantity double, unit string, pattern_no int, hit int")
+    best = products.best_per_product(hits, ["file_id"])
+    assert "Join" not in plan(best)
+    got = best.select("file_id", "id", "quantity", "confidence", "unit").collect()
+    assert sorted(map(tuple, got)) == [(1, "a", 7.0, 0.6, "EA"), (1, "b", 0.0, 0.3, "LF"), (2, "a", 3.0, 0.9, "LF"), (3, "a", 0.0, 0.7, "LF")]
