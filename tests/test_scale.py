@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from planquant.functions import text as T
-from planquant.operators import extract as E, geometry, products
+from planquant.operators import extract as E, geometry, pricing, products, summary
+from planquant.sources import sinks
 
 
 def plan(df) -> str:
@@ -73,3 +74,80 @@ def test_hits_of_products_are_found_once(spark):
     assert "Join" not in plan(best)
     got = best.select("file_id", "id", "quantity", "confidence", "unit").collect()
     assert sorted(map(tuple, got)) == [(1, "a", 7.0, 0.6, "EA"), (1, "b", 0.0, 0.3, "LF"), (2, "a", 3.0, 0.9, "LF"), (3, "a", 0.0, 0.7, "LF")]
+
+
+def test_summary_lines_are_read_within_their_page(spark):
+    sheet = "SUMMARY\n12\n430-175-118\nPIPE\n1,200\nLF\n7\n425-1-1\nINLET\n3\nEA\n4\n"
+    pages = spark.createDataFrame([(1, sheet), (2, None), (3, "425-1-2\nBOX\n5\n\n")], "file_id long, text string")
+    for found, want in (
+        (summary.standard_items(pages, ["file_id"]), [(1, 2, "430-175-118", "PIPE", 1200.0, "LF", 12), (1, 7, "425-1-1", "INLET", 4.0, "EA", 7), (3, 0, "425-1-2", "BOX", 5.0, "EA", None)]),
+        (summary.tabulated_items(pages, ["file_id"]), [(1, 2, "430-175-118", "PIPE", 7.0, "LF", None), (1, 7, "425-1-1", "INLET", 4.0, "EA", None), (3, 0, "425-1-2", "BOX", 5.0, "EA", None)]),
+    ):
+        assert sorted(map(tuple, found.drop("confidence").collect())) == want
+        # Neither sorted nor gathered: a task holds a page.
+        assert not any(x in plan(found) for x in ("Window", "Sort", "Aggregate"))
+
+
+def test_inline_items_are_computed_once(spark):
+    pages = spark.createDataFrame([(1, 'ITEM 430-175-118 PIPE, 24" LF 30\nITEM 425-1-1 INLET OF STEEL 5 EA')], "file_id long, text string")
+    found = summary.inline_items(pages, ["file_id"])
+    assert sorted(map(tuple, found.select("pay_item_no", "description", "quantity", "unit").collect())) == [("425-1-1", "ITEM INLET OF STEEL", 5.0, "EA"), ("430-175-118", 'ITEM PIPE, 24"', 30.0, "LF")]
+    assert len(plan(found)) < 60_000
+
+
+def test_strategies_are_cut_before_they_meet(spark):
+    pages = spark.createDataFrame([(1, 1, "430-175-118 PIPE LF 30 ;\nRCP 24 ;\nMH 3")], "file_id long, page_num int, text string")
+    found = E.extract_items(pages, ["file_id"])
+    assert "regexp_extract_all" not in plan(found)
+    assert sorted(r.pay_item_no for r in found.collect()) == ["430-175-118", "MANHOLE", "RCP-24"]
+
+
+def test_covered_callouts_need_no_join_of_items(spark):
+    rows = [(1, "fdot", '24" RCP', "430-1"), (1, "callout", "x", "RCP-24"), (1, "callout", "x", "RCP-30"), (2, "callout", "x", "RCP-24"), (None, "fdot", '24" RCP', "430-1"), (None, "callout", "x", "RCP-24")]
+    found = E.without_covered_callouts(spark.createDataFrame(rows, "file_id long, source string, description string, pay_item_no string"), ["file_id"])
+    assert "Join" not in plan(found)
+    assert sorted((str(r.file_id), r.pay_item_no) for r in found.filter("source = 'callout'").collect()) == [("1", "RCP-30"), ("2", "RCP-24"), ("None", "RCP-24")]
+
+
+def test_table_lines_sort_nothing(spark):
+    pages = spark.createDataFrame([(1, "a  b  c\nd  e  f\nx\ng  h  i\n\nj  k  l\nm  n  o"), (2, None)], "file_id long, text string")
+    found = E.table_lines(pages, ["file_id"])
+    assert not any(x in plan(found) for x in ("Window", "Sort"))
+    assert sorted((r.line_no, r.cells[0]) for r in found.collect()) == [(0, "a"), (1, "d"), (5, "j"), (6, "m")]
+
+
+def test_gated_quantities_write_no_warnings(spark):
+    pages = spark.createDataFrame([(1, '20000 LF 24" RCP\n30 LF 18" PVC\n1000 LF 18" PVC')], "file_id long, text string")
+    found = E.quantity_first_items(pages, ["file_id"])
+    assert "Suspicious" not in plan(found)
+    assert sorted(r.quantity for r in found.collect()) == [30.0, 1000.0]
+
+
+def test_misreading_rules_only_run_where_they_can_match(spark):
+    from functools import reduce
+
+    words = ["tipe", "24 ROP", "h0pe", "END  WALL", "1F", "12 inch", '24"1NCH', "A0B", "1X", "PAY 1TEM", "EX.", "18 IN", "manhoi3 #4", "30” HDPE", "é", None]
+    rows = spark.createDataFrame([(f"{a} {b}" if a and b else a,) for a in words for b in words], "s string")
+    plainly = reduce(lambda out, rule: F.regexp_replace(out, *rule), (*T.rules.OCR_FIXES, *T.rules.SIZE_FIXES), F.upper("s"))
+    assert rows.filter(~T.clean_ocr(F.col("s")).eqNullSafe(plainly)).collect() == []
+    assert T.needed_strings(r"\bR[C0]P\b") == ["RCP", "R0P"] and T.needed_strings(r"\d+\s*(AB|CD)") == ["AB", "CD"] and T.needed_strings(r"\d+(A|\d)") == []
+    assert "contains" in plan(rows.select(T.clean_ocr(F.col("s"))))
+
+
+def test_csv_report_reads_each_table_once(spark):
+    columns = "file_id long, pay_item_no string, description string, unit string, quantity double, unit_price double, line_cost double, page int, source string, confidence string, confidence_score double, needs_verification boolean, matched boolean, match_source string, ai_match_reason string"
+    items = spark.createDataFrame([(f, "1-2", d, "LF", 2.0, None, None, 1, "s", "high", None, False, False, None, None) for f, d in ((1, "b, c"), (1, 'a "x"'), (2, "d"))], columns)
+    pipes = spark.createDataFrame([(1, "24", "RCP")], "file_id long, size string, material string")
+    found = sinks.csv_report(items, pipes=pipes)
+    assert plan(found).count("LogicalRDD") == 2
+    texts = {r.file_id: r.report.split("\n") for r in found.collect()}
+    assert [x[:13] for x in texts[1][1:3]] == ['1-2,"a ""x"""', '1-2,"b, c",LF'] and texts[1][3:] == ["", "PIPE SUMMARY", "size,material", "24,RCP"]
+    assert len(texts[2]) == 2 and texts[2][0].startswith("Pay Item No,")
+
+
+def test_products_of_equal_words_are_compared_once(spark):
+    listed = spark.createDataFrame([(k, "Blue Pump", "", ("large", "small")[k % 2], float(k), "EA", f"c{k}", "x") for k in range(20)], "row_no long, product_type string, size string, configuration string, price double, unit string, fdot_code string, category string")
+    items = spark.createDataFrame([("i", "blue pump small", "")], "item_no string, description string, size_of_item string")
+    found = pricing.by_tokens(items, pricing.with_fdot(listed), "item_no")
+    assert [(r.item_no, r.product.fdot_code) for r in found.collect()] == [("i", "c1")]
+    assert "Aggregate [ct" in plan(found)
