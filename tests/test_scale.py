@@ -151,3 +151,63 @@ def test_products_of_equal_words_are_compared_once(spark):
     found = pricing.by_tokens(items, pricing.with_fdot(listed), "item_no")
     assert [(r.item_no, r.product.fdot_code) for r in found.collect()] == [("i", "c1")]
     assert "Aggregate [ct" in plan(found)
+
+
+def test_patterns_run_where_they_can_match(spark):
+    import random
+    import re
+
+    from planquant.functions import rules
+
+    assert T.needed_clauses(r"\b(MANHOLE|MH)\b(?!\s*\d)") == [["MANHOLE", "MH"]] and T.needed_clauses(r"(?:ab+|\d)?[xX×]\s*(é|B)(?:CD){2}") == [["CD"], ["X", "×"]]
+    tables = (rules.QUANTITY_FIRST, rules.ELLIPTICAL, rules.ELLIPTICAL_ENDS, rules.STRUCTURE_ITEMS, rules.GALVANIZED, rules.CALLOUTS)
+    patterns = [*dict.fromkeys([r[0] for t in tables for r in t] + [p for p, _ in E._FDOT] + list(E._LABELS) + [p for p, _ in rules.GENERIC_LABELS])]
+    words = ["430-175-118", "PIPE", "rcp", "HDPE", "Lf", "EA", "12", '24"', "14x23", "19”×30”", "ERCP", "Ellip", "FE", "Flared End", "mes", "4:1", "MITERED", "end", "STRAIGHT", "WINGED", "WALL", "U-Type", "cradle", "GALV", "RUN", "@", "(", ")", "-", "—", "INLET", "#3", "mh", "CATCH  BASIN", "cb", "JB", "JUNCTION", "BOX", "ı", "ſ", "\n"]
+    rng = random.Random(5)
+    pages = spark.createDataFrame([(k, " ".join(rng.choice(words) for _ in range(12))) for k in range(4000)], "n int, text string")
+    seen = pages.select(*[F.struct(F.regexp_like("text", F.lit("(?i)" + p)).alias("has"), T.may_match(F.upper("text"), p).alias("may")).alias(f"p{k}") for k, p in enumerate(patterns)])
+    counts = seen.agg(*[F.struct(F.count_if(F.expr(f"p{k}.has and not p{k}.may")).alias("lost"), F.count_if(F.expr(f"p{k}.has")).alias("had"), F.count_if(F.expr(f"not p{k}.may")).alias("left")).alias(f"p{k}") for k in range(len(patterns))]).head()
+    assert all(c["lost"] == 0 and c["left"] > 0 for c in counts) and sum(c["had"] > 0 for c in counts) > 30
+    # A page without any of the strings meets no pattern.
+    hits = E._hits(pages.withColumnRenamed("n", "file_id"), ["file_id"], "text", [(r[0], 2) for r in rules.ELLIPTICAL_ENDS])
+    assert re.search(r"Filter.*[Cc]ontains", plan(hits))
+
+
+def test_labels_without_numbers_are_mentions(spark):
+    pages = spark.createDataFrame([(1, 1, "MH-3 INLET"), (1, 2, "MANHOLE MANHOLE, INLET TOP"), (2, 1, "catch basin"), (None, 1, "INLET #1"), (None, 2, "INLET")], "file_id long, page_num int, text string")
+    items = E.drainage_labels(pages, ["file_id"])
+    assert sorted(map(repr, items.select("file_id", "description", "mentions").collect())) == sorted(map(repr, [r for r in spark.createDataFrame([(1, "MANHOLE #3", None), (1, "INLET (VERIFY QTY)", 2), (2, "CATCH BASIN (VERIFY QTY)", 1), (None, "INLET #1", None), (None, "INLET (VERIFY QTY)", 1)], "file_id long, description string, mentions int").collect()]))
+    assert "LeftAnti" not in plan(items)
+
+
+def test_prices_are_asked_of_distinct_items(spark, monkeypatch):
+    asked = []
+    matched = pricing.matched_products
+
+    def seen(questions, catalog, key):
+        asked.append((plan(questions), questions.count()))
+        return matched(questions, catalog, key)
+
+    monkeypatch.setattr(pricing, "matched_products", seen)
+    items = spark.range(500).select(F.col("id").alias("item_no"), F.lit("430-1").alias("pay_item_no"), F.concat(F.lit("PIPE "), (F.col("id") % 3).cast("string")).alias("description"), F.lit(2.0).alias("quantity"))
+    catalog = spark.createDataFrame([(0, "A", "Pipe", '24"', "", 3.0, "LF", "430-1")], "row_no long, category string, product_type string, size string, configuration string, price double, unit string, fdot_code string")
+    priced = pricing.priced(items, catalog)
+    assert asked[0][1] == 3 and "Aggregate" not in asked[0][0] and "Range" not in asked[0][0]
+    assert priced.filter("matched and line_cost = 6").count() == 500
+
+
+def test_pages_of_a_file_are_made_from_one_read():
+    import os
+
+    import pytest
+    from pyspark.sql import SparkSession
+
+    from planquant.plans import queries
+
+    data = "/root/testdata/sf0.001"
+    if not os.path.isdir(data):
+        pytest.skip("no test tables")
+    spark = SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
+    pages = queries.full_pages(spark, data)
+    assert plan(pages).count("Join") == 1
+    assert pages.groupBy("file_id").agg(F.count("text").alias("n")).filter("n <> 4").count() == 0
