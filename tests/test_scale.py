@@ -211,3 +211,16 @@ def test_pages_of_a_file_are_made_from_one_read():
     pages = queries.full_pages(spark, data)
     assert plan(pages).count("Join") == 1
     assert pages.groupBy("file_id").agg(F.count("text").alias("n")).filter("n <> 4").count() == 0
+
+
+def test_products_are_broadcast_not_hits(spark, tmp_path):
+    from planquant.operators import catalog as C
+
+    spark.range(50).select(F.col("id").alias("file_id"), F.lit('24" RCP CLASS III - 120 LF').alias("text")).write.parquet(f"{tmp_path}/pages")
+    rows = [(0, "A", "RCP_Price_List", "Round RCP", '24"', "CL III", 7.5, "LF", "", "")]
+    catalog = C.with_patterns(C.with_keywords(spark.createDataFrame(rows, "row_no long, id string, category string, product_type string, size string, configuration string, price double, unit string, fdot_code string, notes string")))
+    hits = products.product_hits(spark.read.parquet(f"{tmp_path}/pages"), catalog, ["file_id"])
+    physical = hits._jdf.queryExecution().sparkPlan().toString()
+    # The pages' file is small, and so is the optimizer's guess of its hits.
+    assert "BuildRight" in physical and "BuildLeft" not in physical
+    assert hits.select("file_id").distinct().count() == 50
